@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .langid import op8_compression_language
 from .packing import op10_exact_complement_packing
+from .repetition import op2_repetition_coverage
+from .substring import op6_count_min_substrings
 from .token_shards import op1_bit_plane_shards
 
-QUERIES = {f.__name__: f for f in (op1_bit_plane_shards, op10_exact_complement_packing)}
+QUERIES = {f.__name__: f for f in (op1_bit_plane_shards, op2_repetition_coverage, op6_count_min_substrings, op8_compression_language, op10_exact_complement_packing)}
 ORACLE_SQL: dict[str, str] = {}
