@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, arrow_rows, batches, mix, spread
+from .shared import MULTIPLIERS, arrow_rows, batches, mix, split_words, spread
 
 #: n-gram length -> largest share of characters in repeated n-grams (published web-text rules).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -65,14 +65,11 @@ def covered(n: int, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 def measure_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
-    number: dict[bytes, int] = {}
-    ids: list[int] = []
-    counts, symbols, dup_lines, dup_line_chars = [], [], [], []
+    import pyarrow.compute as pc
+
+    symbols, dup_lines, dup_line_chars = [], [], []
     for text in texts:
         text = text or b""
-        words = text.split()
-        ids += [number.setdefault(w, len(number)) for w in words]
-        counts.append(len(words))
         symbols.append(sum(text.count(c) for c in SYMBOLS))
         seen, n, chars = set(), 0, 0
         if b"\n" in text:
@@ -84,16 +81,16 @@ def measure_texts(texts: list[bytes | None]) -> dict[str, np.ndarray]:
                     seen.add(line)
         dup_lines.append(n)
         dup_line_chars.append(chars)
-    ids_, n_words = np.array(ids, np.int64), np.array(counts, np.int64)
-    sizes = np.array([len(w.decode("utf-8", "replace")) for w in number], np.int64)[ids_] if ids else np.empty(0, np.int64)
+    ids, words, n_words = split_words(texts)
+    sizes = pc.utf8_length(words).to_numpy().astype(np.int64)[ids]
     doc, n_docs = spread(n_words), len(texts)
     per_doc = lambda x: np.bincount(doc, weights=x, minlength=n_docs).astype(np.int64)
     out = {"n_words": n_words, "word_chars": per_doc(sizes), "n_symbols": np.array(symbols), "n_dup_lines": np.array(dup_lines), "dup_line_chars": np.array(dup_line_chars)}
     for k in NGRAM_LIMITS:
-        starts, later = repeated_windows(ids_, n_words, k)
+        starts, later = repeated_windows(ids, n_words, k)
         if k == 5:
-            out["n_repeat_words"] = per_doc(covered(len(ids_), starts, k))
-        out[f"dup_{k}gram_chars"] = per_doc(sizes * covered(len(ids_), starts[later], k))
+            out["n_repeat_words"] = per_doc(covered(len(ids), starts, k))
+        out[f"dup_{k}gram_chars"] = per_doc(sizes * covered(len(ids), starts[later], k))
     return out
 
 

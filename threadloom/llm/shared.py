@@ -45,26 +45,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordIds:
-    """Maps words (bytes) to random-looking 64-bit values. The cache is bounded; values depend on the word alone."""
-
-    def __init__(self, limit: int = 400_000):
-        import xxhash
-
-        self.limit, self.cache, self.hash = limit, {}, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache, get = self.cache, self.cache.get
-        if len(cache) > self.limit:
-            cache.clear()
-        out = [get(w) for w in words]
-        if None in out:
-            digest = self.hash
-            for i, v in enumerate(out):
-                if v is None:
-                    w = words[i]
-                    out[i] = cache[w] = digest(w)
-        return np.array(out, dtype=np.uint64) if out else np.empty(0, np.uint64)
+def split_words(texts: list[bytes | None]):
+    """Words of all texts (runs of bytes other than space and \\x09-\\x0D; null: none), without an object for each.
+
+    (number of each word in the dictionary, the distinct words as an Arrow array, number of words of each text)
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string()))
+    words, ends = lists.values, lists.offsets.to_numpy()
+    filled = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty string
+    before = np.r_[0, np.cumsum(filled)]
+    coded = words.filter(pa.array(filled)).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.diff(before[ends])
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, which depends on the word alone; and the number of words of each text."""
+    import pyarrow as pa
+    import xxhash
+
+    number, words, counts = split_words(texts)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in words.view(pa.large_binary()).to_pylist()], np.uint64)[number], counts
 
 
 def mix(h: np.ndarray) -> np.ndarray:

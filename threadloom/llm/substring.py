@@ -25,20 +25,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, WordIds, arrow_rows, batches, mix, shuffle_partitions, spread, windows
+from .shared import MULTIPLIERS, arrow_rows, batches, hashed_words, mix, shuffle_partitions, spread, windows
+from .sketch import may_hold, merged_sketch
 
 NO_ID = 2**63 - 1
-SLICE_BITS = 6
 
 
 class BatchWindows:
     """Windows of a batch of whole texts: start (place in the batch's words), document, and minimizer of each."""
 
-    def __init__(self, texts: list[bytes | None], k: int, gram: int, ids_of: WordIds):
-        words = [t.split() if t else [] for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        self.ids = ids_of([w for ws in words for w in ws])
-        self.first = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+    def __init__(self, texts: list[bytes | None], k: int, gram: int):
+        self.ids, counts = hashed_words(texts)
+        self.first = np.cumsum(counts) - counts
         n = np.maximum(counts - k + 1, 0)
         self.doc = spread(n)
         self.start = np.repeat(self.first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if n.sum() else np.empty(0, np.int64)
@@ -66,51 +64,14 @@ class BatchWindows:
         return self.minimizer[new]
 
 
-def cells(anchors: np.ndarray, row: int, width_bits: int) -> np.ndarray:
-    return (mix(anchors * MULTIPLIERS[60 + row]) >> np.uint64(64 - width_bits)).astype(np.uint32)
-
-
 def count_min(docs: DataFrame, k: int, gram: int, depth: int, width_bits: int):
-    """A broadcast list of depth bit arrays: whether each cell of the merged sketch counts 2 or more."""
-    spark = docs.sparkSession
-    slice_bits = min(SLICE_BITS, width_bits - 3)
-    inner = width_bits - slice_bits
-
-    def partial(record_batches):
-        import pyarrow as pa
-
-        ids_of, held, n = WordIds(), [], 0
-
-        def flush():
-            anchors = np.concatenate(held)
-            for row in range(depth):
-                cell, times = np.unique(cells(anchors, row, width_bits), return_counts=True)
-                cuts = np.searchsorted(cell, np.arange(1, 1 << slice_bits, dtype=np.uint32) << np.uint32(inner))
-                ones, twos = np.split(cell, cuts), np.split(np.minimum(times, 2).astype(np.uint8), cuts)
-                yield pa.RecordBatch.from_arrays([pa.array([row << slice_bits | s for s in range(1 << slice_bits)], pa.int32()), pa.array([x.tobytes() for x in ones], pa.binary()), pa.array([np.packbits(x == 2).tobytes() for x in twos], pa.binary())], names=["part", "cells", "twice"])
+    """The merged sketch of all windows' minimizers: whether each cell counts 2 or more."""
 
+    def anchors(record_batches):
         for part in batches(arrow_rows(record_batches, "text"), lambda r: len(r[0] or b""), 4 << 20):
-            held.append(BatchWindows([r[0] for r in part], k, gram, ids_of).anchors())
-            n += len(held[-1])
-            if n > 1 << 21:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    def merge(key, table):
-        import pyarrow as pa
-
-        total = np.zeros(1 << inner, np.uint8)
-        for one, two in zip(table["cells"].to_pylist(), table["twice"].to_pylist(), strict=True):
-            at = np.frombuffer(one, np.uint32) & np.uint32((1 << inner) - 1)
-            total[at] = np.minimum(total[at] + 1 + np.unpackbits(np.frombuffer(two, np.uint8), count=len(at)), 2)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total == 2).tobytes()], pa.binary())})
+            yield BatchWindows([r[0] for r in part], k, gram).anchors()
 
-    parts = docs.select("text").mapInArrow(partial, "part int, cells binary, twice binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
-    found = {r.part: r.bits for r in parts.toLocalIterator()}  # depth * 2**width_bits / 8 bytes in all
-    empty = bytes((1 << inner) // 8)
-    return spark.sparkContext.broadcast([np.frombuffer(b"".join(found.get(row << slice_bits | s, empty) for s in range(1 << slice_bits)), np.uint8) for row in range(depth)])
+    return merged_sketch(docs.select("text"), anchors, depth, width_bits)
 
 
 def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: int) -> DataFrame:
@@ -121,17 +82,13 @@ def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: i
     def find(record_batches):
         import pyarrow as pa
 
-        ids_of, bits = WordIds(), sketch.value
-        for part in batches(arrow_rows(record_batches, "_id", "_key", "text"), lambda r: len(r[2] or b""), 16 << 20):
+        bits = sketch.value
+        for part in batches(arrow_rows(record_batches, "_id", "_key", "text"), lambda r: len(r[2] or b""), 4 << 20):
             part.sort(key=lambda r: r[0])
-            w = BatchWindows([r[2] for r in part], k, gram, ids_of)
+            w = BatchWindows([r[2] for r in part], k, gram)
             if not len(w.start):
                 continue
-            maybe = np.ones(len(w.start), bool)
-            for row, plane in enumerate(bits):
-                c = cells(w.minimizer, row, width_bits)
-                maybe &= (plane[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
-            chosen = np.flatnonzero(maybe)
+            chosen = np.flatnonzero(may_hold(bits, w.minimizer, width_bits))
             if not len(chosen):
                 continue
             h, doc, position = w.hashes(chosen), w.doc[chosen], w.position[chosen].astype(np.uint32)
