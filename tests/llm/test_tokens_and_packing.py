@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from threadloom.llm.encoding import Encoder
+from threadloom.llm.encoding import Encoder, encoder
 from threadloom.llm.packing import op10_exact_complement_packing, pack_documents, plan_packing
 from threadloom.llm.shared import new_path
 from threadloom.llm.token_shards import from_planes, op1_bit_plane_shards, read_token_shards, to_planes, write_token_shards
@@ -17,10 +18,15 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 ODD = ["", None, " ", "a", "it's a dog's 's", "two  spaces", " lead", "trail ", "a\nb\n\nc", "tab\tx", "x \ny", "é é ́x", "a b", "a\x1cb c", "<|endoftext|> x", "👩‍👩‍👧 ok", "１２3 ΣΑΣ ß", "long" * 5000, "a b\r\nc", " x y"]
 
 
-def direct(path, text):
+@lru_cache
+def library(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def direct(path, text):
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("path", "mode"), [(WORD, "words"), (BYTE, "spaces")])
@@ -38,15 +44,7 @@ TEXTS = st.text(alphabet=st.sampled_from(list("aB'sé 1\n\t !Σ́\x1c")), max_s
 @given(TEXTS)
 def test_cached_ids_of_random_texts(text):
     for path, mode in ((WORD, "words"), (BYTE, "spaces")):
-        if (path, mode) not in CODERS:
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            CODERS[path, mode] = Encoder(path, mode), t
-        own, lib = CODERS[path, mode]
-        assert own([text.encode()])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
-
-
-CODERS: dict = {}
+        assert encoder(path, mode)([text.encode()])[0].tolist() == direct(path, text)
 
 
 @pytest.mark.parametrize("bits", [False, True])

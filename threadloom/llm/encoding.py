@@ -1,23 +1,34 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of pieces between white space.
+"""Token ids of whole texts by the tokenizers library, with a cache of pieces between white space.
 
 Both public vocabularies split a text into pieces before merging, and no piece reaches over a cut used here:
 ``words`` (white space is dropped): any run of ASCII white space;
 ``spaces`` (a space belongs to the word after it): a single space or line feed between two characters that aren't white space.
 A text with any other white space in ``spaces`` mode is encoded as a whole. So the ids equal those of the whole text.
+Each distinct piece of a batch is looked up once; the cache is bounded by the number of entries in two generations.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
-ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|[\x1c-\x1f]")
+#: Bytes of any other white space, or the beginning of its UTF-8 form; and NUL, at which pieces are cut.
+ODD = (b"\t", b"\r", b"\x0b", b"\x0c", b"\0", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+#: UTF-8 forms from U+0300 on begin with this byte or a greater one; below, lower case first changes no composed character.
+COMBINING = 0xCC
+
+
+def plain(text: bytes) -> bool:
+    """Whether all white space is single spaces and line feeds, each between two other characters."""
+    return bool(text) and len(text.split()) == text.count(b" ") + text.count(b"\n") + 1 and not any(x in text for x in ODD)
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str, limit: int = 250_000):
+    def __init__(self, path: str, mode: str, limit: int = 500_000):
         if mode not in ("words", "spaces", "whole"):
             raise ValueError(f"mode must be words, spaces or whole, not {mode!r}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -26,40 +37,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.mode, self.limit = mode, limit
-        self.cache: dict = {}
+        self.cache, self.older = {}, {}
+        self.lowers = "Lowercase" in repr(self.tokenizer.normalizer)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        kind = self.type
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        kind, out = "H" if self.type.itemsize == 2 else "I", []
+        for i in range(0, len(pieces), 20_000):
+            part = [p.decode("utf-8", "replace") for p in pieces[i : i + 20_000]]
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _pieces(self, texts: list[bytes | None]):
+        """All pieces of the texts as one Arrow array, and where each text's pieces begin."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def _pieces(self, text: bytes) -> list:
         if self.mode == "words":
-            return text.split()
-        if self.mode == "spaces":
-            s = text.decode("utf-8", "replace")
-            if s and not ODD.search(s):
-                out = []
-                for line in s.split("\n"):
-                    first, *rest = line.split(" ")
-                    out.append(first)
-                    out += [" " + w for w in rest]
-                    out.append("\n")
-                out.pop()
-                return out
-            return [s] if s else []
-        return [text.decode("utf-8", "replace")] if text else []
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+            if self.lowers:  # one case means fewer distinct pieces
+                texts = [t.lower() if t and np.frombuffer(t, np.uint8).max() < COMBINING else t for t in texts]
+            lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.large_binary()).cast(pa.large_string()))
+        elif self.mode == "spaces":
+            cut = [t.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0") if plain(t) else None for t in (t or b"" for t in texts)]
+            lists = pc.split_pattern(pa.array([b"" if c is None else c for c in cut], pa.large_binary()), b"\0")
+            if None in cut:  # these texts are one piece each
+                lists = pa.array([[t or b""] if c is None else x for t, c, x in zip(texts, cut, lists.to_pylist(), strict=True)], lists.type)
+        else:
+            return pa.array([t or b"" for t in texts], pa.large_binary()), np.arange(len(texts) + 1)
+        return lists.values.cast(pa.large_binary()), lists.offsets.to_numpy()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.cache) > self.limit:  # what is still in use comes back from the older generation
+            self.cache, self.older = {}, self.cache
+        found = list(map(self.cache.get, pieces))
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        for i in holes:
+            found[i] = self.older.get(pieces[i])
+        new = [i for i in holes if found[i] is None]
+        for i, ids in zip(new, self._encode([pieces[i] for i in new]), strict=True):
+            found[i] = ids
+        self.cache.update((pieces[i], found[i]) for i in holes if len(pieces[i]) <= 64)
+        return found
+
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """One array of ids for each text (null counts as empty)."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache, get = self.cache, self.cache.get
-        pieces = [self._pieces(t) if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in cache})
-        odd = {}  # long pieces are used once and not kept
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, ids in zip(part, self._encode([p.decode("utf-8", "replace") if isinstance(p, bytes) else p for p in part]), strict=True):
-                (cache if len(p) <= 64 else odd)[p] = ids
-        return [np.frombuffer(b"".join([odd[p] if (x := get(p)) is None else x for p in ps]), self.type) for ps in pieces]
+        if not texts:
+            return []
+        pieces, begins = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), self.type)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+        first, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(first[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(out, np.r_[0, ends][begins[1:-1]])
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, mode: str) -> Encoder:
+    """The encoder of this process: Spark reuses Python workers, so later tasks find a filled cache."""
+    return Encoder(path, mode)

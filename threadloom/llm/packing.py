@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import Encoder
+from .encoding import encoder
 from .shared import arrow_rows, batches, shuffle_partitions, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,90 +28,90 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences), covering exactly the given counts.
 
+    Exact fills by up to three more pieces are tried, and by fewer: where pieces are few, filling greedily can use up
+    the short ones. The plan with the fewest sequences is returned, among equal ones that with most exact fills.
+
     >>> plan_packing({6: 2, 4: 1, 3: 1, 1: 1}, 10)
     [((6, 4), 1), ((6, 3, 1), 1)]
     """
-    left = {n: c for n, c in counts.items() if c}
-    if any(n > capacity or n < 1 for n in left):
+    if any(n > capacity or n < 1 for n, c in counts.items() if c):
         raise ValueError("a length is not between 1 and the capacity")
-    order = sorted(left)
+    return min((_plan(dict(counts), capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(left: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Consumes left. Exact fills with up to most complements, longest length first, then best fit of the rest."""
     plan: list[tuple[tuple[int, ...], int]] = []
+    order = sorted((n for n, c in left.items() if c), reverse=True)
 
-    def take(combination: tuple[int, ...]) -> None:
-        use: dict[int, int] = {}
-        for n in combination:
-            use[n] = use.get(n, 0) + 1
-        times = min(left.get(n, 0) // k for n, k in use.items())
+    def take(*combination: int) -> None:
+        times = min(left[n] // combination.count(n) for n in combination)
         if times:
             plan.append((combination, times))
-            for n, k in use.items():
-                left[n] -= k * times
+            for n in combination:
+                left[n] -= times
 
-    def pairs(total: int, most: int):
-        """Pairs with this sum, largest first; the histogram itself is the hash of what is available."""
-        for a in range(min(most, total - 1), (total - 1) // 2, -1):
+    def pairs(total: int, largest: int):
+        """Pairs with this sum, most unequal first; the histogram is the hash of what is available."""
+        for a in range(min(largest, total - 1), (total - 1) // 2, -1):
             if left.get(a) and left.get(total - a):
                 yield a, total - a
 
-    for n in reversed(order):
+    for n in order:
         gap = capacity - n
-        if left[n] and gap == 0:
-            take((n,))
-        if left[n] and left.get(gap) and gap <= n:
-            take((n, gap))
-        if left[n] and gap >= 2:
+        if gap == 0:
+            take(n)
+        if most >= 1 and left[n] and gap <= n and left.get(gap):
+            take(n, gap)
+        if most >= 2 and left[n]:
             for a, b in pairs(gap, n):
-                take((n, a, b))
+                take(n, a, b)
                 if not left[n]:
                     break
-        if left[n] and gap >= 3:
+        if most >= 3:
             for a in range(min(n, gap - 2), 0, -1):
-                if not left.get(a):
-                    continue
-                for b, c in pairs(gap - a, a):
-                    take((n, a, b, c))
-                    if not left[n] or not left.get(a):
-                        break
                 if not left[n]:
                     break
-    # best fit of the rest, on counts: open sequences by their gap
-    gaps: list[int] = []
-    open_: dict[int, list[list]] = {}
+                for b, c in pairs(gap - a, a) if left.get(a) else ():
+                    take(n, a, b, c)
+                    if not left[n] or not left[a]:
+                        break
+    return plan + _best_fit(left, order, capacity)
+
+
+def _best_fit(left: dict[int, int], order: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, decreasing, on counts: sequences of equal content are handled together."""
+    gaps: list[int] = []  # of open sequences, ascending
+    opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 
     def put(gap: int, lengths: tuple[int, ...], times: int) -> None:
-        if gap not in open_:
-            open_[gap] = []
-            insort(gaps, gap)
-        open_[gap].append([lengths, times])
+        if times:
+            if gap not in opened:
+                opened[gap] = []
+                insort(gaps, gap)
+            opened[gap].append((lengths, times))
 
-    for n in reversed(order):
+    for n in order:
         while left[n]:
             i = bisect_left(gaps, n)
-            if i == len(gaps):
-                each = capacity // n
-                if each > 1 and left[n] >= each:
-                    put(capacity - each * n, (n,) * each, left[n] // each)
-                    left[n] %= each
-                else:
-                    put(capacity - n * left[n] if left[n] < each else capacity - n, (n,) * (left[n] if left[n] < each else 1), 1 if left[n] < each else left[n])
-                    left[n] = 0
-                continue
-            gap = gaps[i]
-            lengths, times = open_[gap].pop()
-            if not open_[gap]:
-                del open_[gap]
-                gaps.pop(i)
-            fit = gap // n
-            if left[n] >= times:
-                each = min(fit, left[n] // times)
-                put(gap - each * n, lengths + (n,) * each, times)
-                left[n] -= each * times
+            if i < len(gaps):
+                gap = gaps[i]
+                lengths, times = opened[gap].pop()
+                if not opened[gap]:
+                    del opened[gap], gaps[i]
             else:
-                put(gap, lengths, times - left[n])
-                put(gap - n, lengths + (n,), left[n])
-                left[n] = 0
-    plan += [(lengths, times) for xs in open_.values() for lengths, times in xs]
-    return plan
+                gap, lengths, times = capacity, (), left[n]
+            # as many of this length to each sequence as fit, then one sequence with what is left over
+            each = min(gap // n, max(1, left[n] // times))
+            if not lengths:
+                each = min(capacity // n, left[n])
+                times = left[n] // each
+            used = min(times, left[n] // each)
+            put(gap - each * n, lengths + (n,) * each, used)
+            if lengths:
+                put(gap, lengths, times - used)
+            left[n] -= each * used
+    return [x for xs in opened.values() for x in xs]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int) -> DataFrame:
@@ -120,9 +120,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
     def cut(record_batches):
         import pyarrow as pa
 
-        encode = None
-        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 4 << 20):
-            encode = encode or Encoder(tokenizer, mode)
+        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 8 << 20):
+            encode = encoder(tokenizer, mode)
             out: list[tuple] = []
             for (doc_id, _), ids in zip(part, encode([r[1] for r in part]), strict=True):
                 ids = np.concatenate([ids.astype("<u4"), np.array([end_id], "<u4")])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import Encoder
+from .encoding import encoder
 from .shared import arrow_rows, batches, new_path, written
 
 MAGIC = b"TPLANES1"
@@ -149,9 +149,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str =
 
         rows = arrow_rows(record_batches, "doc_id", "text")
         writer = None
-        for part in batches(rows, lambda r: len(r[1] or b""), 4 << 20):
+        for part in batches(rows, lambda r: len(r[1] or b""), 8 << 20):
             if writer is None:
-                encode = Encoder(tokenizer, mode)
+                encode = encoder(tokenizer, mode)
                 width = max(encode.type.itemsize, 4 if (end_id or 0) >= 1 << 16 else 2)
                 store, base = pafs.FileSystem.from_uri(folder)
                 shard = TaskContext.get().partitionId()
