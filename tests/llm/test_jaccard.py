@@ -66,13 +66,13 @@ def corpus(rng):
 def test_components_against_all_pairs(spark, seed, block):
     rows = corpus(random.Random(seed))
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, node string")
-    got = similar_components(docs, block=block, sample_docs=50, width_bits=14)
+    got = similar_components(docs, block=block, sample_docs=50, most_bits=16)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute_components(rows)
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert similar_components(docs, width_bits=14).count() == 0
+    assert similar_components(docs).count() == 0
     assert one_of_each(docs).count() == 0
 
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with signature trees: components of documents whose shingle sets are alike, exactly.
 
 1. Each document's set of hashed word shingles; equal sets are one node of the graph (``row`` of the first of them).
-2. Two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 shingles in any fixed order. The order is by hash,
-   shingles that are frequent in a bounded sample last; the sample decides speed, not results. A merged count-min sketch
-   drops prefix shingles that only one node has; exact counts follow. Nodes that share a shingle form a bucket; buckets
-   with the same members are one. A large bucket is dealt in pairs of blocks.
+2. Two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 shingles in any common order. The order here: first
+   shingles that only one set has, as a merged count-min sketch of part of all shingles can tell for sure; then by hash;
+   last, those that are frequent in a bounded sample. Sketch and sample decide speed, not results. Lone shingles need no
+   partner, so unlike documents hardly send anything. The others are counted exactly. Nodes that share a shingle form a
+   bucket; buckets with the same members are one. A large bucket is dealt in pairs of blocks.
 3. In a bucket, or pair of blocks, a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed against
    itself; pairs of tree nodes go when even the largest possible overlap is too small. What stays may be alike; a spanning
    forest of it is enough. Its components are the clusters.
@@ -30,6 +31,8 @@ from .sketch import may_hold, merged_sketch
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UNIT = ["bucket", "i", "j"]
+#: Shingles below this hash (three of eight) are counted by the sketch: more of a set than its prefix has places.
+COUNTED = np.uint64(3 << 61)
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -47,8 +50,8 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
 
 
 def bit_width(n: int) -> int:
-    """Bits of the signature of a set of n: about four for each, 64 at least and 2**17 at most."""
-    return 1 << min(max(int(4 * n - 1).bit_length(), 6), 17)
+    """Bits of the signature of a set of n: two to four for each, 64 at least and 2**17 at most."""
+    return 1 << min(max(int(2 * n - 1).bit_length(), 6), 17)
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
@@ -175,10 +178,22 @@ def tree_join(sizes: np.ndarray, bitmaps: list[np.ndarray], sides: np.ndarray, a
     return forest
 
 
-def document_sets(docs: DataFrame, k: int, num: int, den: int, sample_docs: int) -> DataFrame:
-    """Written: row, doc_id, n, digest, bitmap and prefix (the shingles that one of any like set must be among)."""
-    spark = docs.sparkSession
+def document_sets(docs: DataFrame, k: int, num: int, den: int, sample_docs: int, most_bits: int) -> DataFrame:
+    """Written: row, doc_id, key, n, digest, bitmap and prefix.
+
+    prefix: of the first n - ceil(t n) + 1 shingles, in the common order, those that another set may have.
+    """
     docs = docs.select("doc_id", "text")
+    total = docs.count()
+    # about eight cells of the sketch for each counted shingle, up to a broadcast of 2**most_bits / 8 bytes
+    width_bits = min(most_bits, max(14, int(1024 * total).bit_length()))
+
+    def counted(record_batches):
+        for part in batches(arrow_rows(record_batches, "text"), lambda r: len(r[0] or b""), 4 << 20):
+            tokens = np.concatenate(shingle_sets([r[0] for r in part], k))
+            yield tokens[tokens < COUNTED]
+
+    sketch = merged_sketch(docs.select("text"), counted, 1, width_bits)
 
     def sampled(record_batches):
         import pyarrow as pa
@@ -187,12 +202,11 @@ def document_sets(docs: DataFrame, k: int, num: int, den: int, sample_docs: int)
             tokens, n = np.unique(np.concatenate(shingle_sets([r[0] for r in part], k)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    total = docs.count()
     share = min(1.0, sample_docs / max(total, 1))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # frequent in the sample: in one of 200 of its documents; a bounded list, as the sample is
     hot = drawn.select("text").mapInArrow(sampled, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, int(share * total) // 200)).orderBy(F.desc("n"), "token").limit(1 << 17)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in hot.collect()], np.int64).view(np.uint64)))
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.token for r in hot.collect()], np.int64).view(np.uint64)))
 
     def run(record_batches):
         import pyarrow as pa
@@ -200,43 +214,42 @@ def document_sets(docs: DataFrame, k: int, num: int, den: int, sample_docs: int)
 
         late = frequent.value
         for part in batches(arrow_rows(record_batches, "doc_id", "text", "_key"), lambda r: len(r[1] or b""), 4 << 20):
-            digests, bitmaps, prefixes, sizes = [], [], [], []
-            for s in shingle_sets([r[1] for r in part], k):
+            sets = shingle_sets([r[1] for r in part], k)
+            tokens = np.concatenate(sets)
+            lone = tokens < COUNTED
+            lone[lone] = ~may_hold(sketch.value, tokens[lone], width_bits)
+            common = np.zeros(len(tokens), bool)
+            if len(late):
+                common = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
+            digests, bitmaps, prefixes, sizes, at = [], [], [], [], 0
+            for s in sets:
                 n = len(s)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bitmaps.append(signature(s).tobytes() if n else None)
-                if n and len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    common = late[at] == s
-                    s = np.concatenate([s[~common], s[common]])
-                prefixes.append(s[: n - -(-num * n // den) + 1].tobytes() if n else None)
+                # no other set has a lone shingle: it takes a place, first, and goes to no bucket
+                own, rare = lone[at : at + n], ~(lone[at : at + n] | common[at : at + n])
+                places = n - -(-num * n // den) + 1 - int(own.sum())
+                prefixes.append(np.r_[s[rare], s[~own & ~rare]][:places].tobytes() if n and places > 0 else None)
+                at += n
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "key", "n", "digest", "bitmap", "prefix"])
 
     made = docs.withColumn("_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, n long, digest binary, bitmap binary, prefix binary")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def buckets(nodes: DataFrame, width_bits: int, block: int) -> DataFrame:
+def buckets(nodes: DataFrame, block: int) -> DataFrame:
     """Members of the distinct buckets of two or more nodes: bucket, i, j (blocks), side, node."""
 
-    def keys(record_batches):
-        for rb in record_batches:
-            yield np.frombuffer(b"".join(x or b"" for x in rb.column("prefix").to_pylist()), np.uint64)
-
-    sketch = merged_sketch(nodes.select("prefix"), keys, 2, width_bits)
-
-    def shared_tokens(record_batches):
+    def tokens_of(record_batches):
         import pyarrow as pa
 
         for rb in record_batches:
-            parts = [np.frombuffer(x or b"", np.uint64) for x in rb.column("prefix").to_pylist()]
-            tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            parts = [np.frombuffer(x, np.int64) for x in rb.column("prefix").to_pylist()]
             node = rb.column("node").to_numpy()[spread(np.array([len(p) for p in parts], np.int64))]
-            keep = may_hold(sketch.value, tokens, width_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(node[keep])], names=["token", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *parts])), pa.array(node)], names=["token", "node"])
 
-    postings = written(nodes.select("node", "prefix").mapInArrow(shared_tokens, "token long, node long"), "jaccard-postings")
+    postings = written(nodes.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(tokens_of, "token long, node long"), "jaccard-postings")
     counted = postings.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("h2")).where("members > 1")
     # buckets with the same members (told by 108 bits of commutative hashes) are looked at once
     distinct = counted.groupBy("members", "h1", "h2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -319,12 +332,12 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 2048, sample_docs: int = 4000, width_bits: int = 27) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 2048, sample_docs: int = 4000, most_bits: int = 28) -> DataFrame:
     """docs(doc_id, text) -> row-wise doc_id, n_shingles, component_id and key (xxhash64 of the text)."""
-    rows = document_sets(docs, k, num, den, sample_docs)
+    rows = document_sets(docs, k, num, den, sample_docs, most_bits)
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "jaccard-classes")
     nodes = written(rows.select("row", "doc_id", "key", "n", "bitmap", "prefix").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
-    members = buckets(nodes, width_bits, 2 * block).join(nodes.select("node", "n", "bitmap"), "node")
+    members = buckets(nodes, 2 * block).join(nodes.select("node", "n", "bitmap"), "node")
     maybe = written(joined_units(members, "bitmap", by_bitmap, num, den), "jaccard-candidates")
     clusters = written(connected(maybe).withColumnRenamed("label", "bucket"), "jaccard-clusters")
     sets = cluster_sets(docs, k, nodes, clusters)

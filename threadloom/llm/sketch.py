@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from .shared import MULTIPLIERS, mix
 
-SLICE_BITS = 6
+SLICE_BITS = 8
 
 
 def cells(keys: np.ndarray, row: int, width_bits: int) -> np.ndarray:

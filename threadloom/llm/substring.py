@@ -75,7 +75,7 @@ def count_min(docs: DataFrame, k: int, gram: int, depth: int, width_bits: int):
 
 
 def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: int) -> DataFrame:
-    """(_id, _key, positions): starts of windows that also start in a document of smaller _id, exactly, in several rows."""
+    """(_id, _key, _at): starts of the document's windows that also start in a document of smaller _id, exactly."""
     n = shuffle_partitions(docs.sparkSession)
     schema = "part int, hashes binary, docs binary, counts binary, positions binary"
 
@@ -110,35 +110,53 @@ def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: i
                 p = int(to[a]) if to[a] >= 0 else int(row_id[ds[0]] % n)
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[a:b] if to[a] >= 0 else h[:0], np.stack([row_id[ds], row_key[ds]]), counts.astype(np.uint32), position[a:b]))], names=["part", "hashes", "docs", "counts", "positions"])
 
+    def unpack(table):
+        """Documents (ids, keys), the document of each position, the positions, and the hashes that came with them."""
+        docs, doc, positions, hashes, at = [], [], [], [], 0
+        for h, d, c, p in zip(*(table[x].to_pylist() for x in ("hashes", "docs", "counts", "positions")), strict=True):
+            docs.append(np.frombuffer(d, np.int64).reshape(2, -1))
+            doc.append(spread(np.frombuffer(c, np.uint32)) + at)
+            positions.append(np.frombuffer(p, np.uint32))
+            hashes.append(np.frombuffer(h, np.uint64))
+            at += docs[-1].shape[1]
+        return np.concatenate(docs, axis=1), np.concatenate(doc), np.concatenate(positions), hashes
+
     def decide(table):
+        """Exact groups by window hash. What is decided goes on by buckets of documents, packed."""
         import pyarrow as pa
 
-        out: list[tuple] = []
-        hs, dn, ids, keys, ps = [], [], [], [], []
-        for h, d, c, p in zip(*(table[x].to_pylist() for x in ("hashes", "docs", "counts", "positions")), strict=True):
-            two, counts, p = np.frombuffer(d, np.int64).reshape(2, -1), np.frombuffer(c, np.uint32), np.frombuffer(p, np.uint32)
-            if not h:
-                cut = np.cumsum(counts)[:-1]
-                out += [(int(i), int(key), x.tobytes()) for i, key, x in zip(*two, np.split(p, cut), strict=True)]
-                continue
-            hs.append(np.frombuffer(h, np.uint64))
-            dn.append(spread(counts) + sum(map(len, ids)))
-            ids.append(two[0])
-            keys.append(two[1])
-            ps.append(p)
-        if hs:
-            h, d, ids, keys, p = (np.concatenate(x) for x in (hs, dn, ids, keys, ps))
-            order = np.lexsort((ids[d], h))
-            sh, sid = h[order], ids[d[order]]
-            head = np.r_[True, sh[1:] != sh[:-1]]
-            gone = order[sid > sid[np.flatnonzero(head)][np.cumsum(head) - 1]]
-            gone = gone[np.lexsort((p[gone], d[gone]))]
-            cut = np.flatnonzero(np.r_[True, d[gone][1:] != d[gone][:-1], True]) if len(gone) else [0]
-            out += [(int(ids[d[gone[a]]]), int(keys[d[gone[a]]]), p[gone[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"_id": pa.array(a, pa.int64()), "_key": pa.array(b, pa.int64()), "positions": pa.array(c, pa.binary())})
+        (ids, keys), doc, positions, hashes = unpack(table)
+        open_ = np.concatenate([np.full(len(p), bool(len(h))) for h, p in zip(hashes, (np.frombuffer(x, np.uint32) for x in table["positions"].to_pylist()), strict=True)])
+        h, at = np.concatenate(hashes), np.flatnonzero(open_)
+        order = np.lexsort((ids[doc[at]], h))
+        sh, sid = h[order], ids[doc[at[order]]]
+        head = np.r_[True, sh[1:] != sh[:-1]][: len(sh)]
+        least = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
+        gone = np.r_[np.flatnonzero(~open_), at[order[sid > least]]]
+        doc, positions = doc[gone], positions[gone]
+        to = (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)[doc]
+        order = np.lexsort((positions, doc, to))
+        to, doc, positions = to[order], doc[order], positions[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ds, counts = np.unique(doc[a:b], return_counts=True)
+            rows.append((int(to[a]), b"", np.stack([ids[ds], keys[ds]]).tobytes(), counts.astype(np.uint32).tobytes(), positions[a:b].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names=["part", "hashes", "docs", "counts", "positions"])
+
+    def gather(table):
+        """One row for each document of a bucket."""
+        import pyarrow as pa
+
+        (ids, keys), doc, positions, _ = unpack(table)
+        order = np.lexsort((keys[doc], ids[doc]))
+        i, k, positions = ids[doc[order]], keys[doc[order]], positions[order]
+        cuts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1]), True]) if len(i) else np.zeros(1, np.int64)
+        return pa.table({"_id": pa.array(i[cuts[:-1]]), "_key": pa.array(k[cuts[:-1]]), "_at": pa.array([positions[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
-    return docs.select("_id", "_key", "text").mapInArrow(find, schema).groupBy("part").applyInArrow(decide, "_id long, _key long, positions binary")
+    found = docs.select("_id", "_key", "text").mapInArrow(find, schema)
+    return found.groupBy("part").applyInArrow(decide, schema).groupBy("part").applyInArrow(gather, "_id long, _key long, _at binary")
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2, width_bits: int = 27) -> DataFrame:
@@ -149,7 +167,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
     kept = [c for c in docs.columns if c not in ("_id", "_key", "_at", "n_words", "n_removed", "kept_sha256")]
     keyed = docs.select(*kept, F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_key"))
     sketch = count_min(docs, k, gram, depth, width_bits)
-    at = repeated_positions(keyed, k, gram, sketch, width_bits).groupBy("_id", "_key").agg(F.collect_list("positions").alias("_at"))
+    at = repeated_positions(keyed, k, gram, sketch, width_bits)
     schema = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
 
     def cut(record_batches):
@@ -162,7 +180,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
                 n_words.append(len(words))
                 if at:
                     gone = np.zeros(len(words) + 1, np.int32)
-                    starts = np.concatenate([np.frombuffer(x, np.uint32) for x in at]).astype(np.int64)
+                    starts = np.frombuffer(at, np.uint32).astype(np.int64)
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, np.minimum(starts + k, len(words)), -1)
                     gone = np.cumsum(gone[:-1]) > 0
