@@ -28,7 +28,7 @@ def plain(text: bytes) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, mode: str, limit: int = 500_000):
+    def __init__(self, path: str, mode: str, limit: int = 300_000):
         if mode not in ("words", "spaces", "whole"):
             raise ValueError(f"mode must be words, spaces or whole, not {mode!r}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,18 +81,17 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """One array of ids for each text (null counts as empty)."""
+        import pyarrow as pa
+
         if not texts:
             return []
         pieces, begins = self._pieces(texts)
         coded = pieces.dictionary_encode()
         ids = self._ids(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), self.type)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
-        first, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
-        n = sizes[which]
-        ends = np.cumsum(n)
-        out = flat[np.repeat(first[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(out, np.r_[0, ends][begins[1:-1]])
+        each = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(sizes)], np.frombuffer(b"".join(ids), self.type)).take(coded.indices)
+        ends = each.offsets.to_numpy() - each.offsets[0].as_py()
+        return np.split(each.flatten().to_numpy(), ends[begins[1:-1]])
 
 
 @lru_cache(maxsize=4)

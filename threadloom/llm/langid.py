@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, batches
+from .shared import arrow_rows, batches, sliced
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 OUT = "lang_pred string, score double, rejected boolean"
@@ -98,7 +98,7 @@ def predict(docs: DataFrame, profile: Profile) -> DataFrame:
         import pyarrow as pa
 
         classify = None
-        for rb in record_batches:
+        for rb in sliced(record_batches):
             classify = classify or Classifier(shared.value)
             langs, scores, rejected = [], [], []
             for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 8 << 20):

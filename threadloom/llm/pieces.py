@@ -103,7 +103,7 @@ class Pieces:
 class PieceEncoder(Encoder):
     """Ids as the sentencepiece library gives them; see encoding.Encoder for the cache."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, arrow_rows, batches, mix, split_words, spread
+from .shared import MULTIPLIERS, arrow_rows, batches, mix, sliced, split_words, spread
 
 #: n-gram length -> largest share of characters in repeated n-grams (published web-text rules).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -123,7 +123,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(record_batches):
         import pyarrow as pa
 
-        for rb in record_batches:
+        for rb in sliced(record_batches):
             table = pa.Table.from_batches([rb])
             rows = arrow_rows([rb], "text")
             for part in batches(rows, lambda r: len(r[0] or b""), 4 << 20):
@@ -139,3 +139,27 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(measure(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_CHARS = ", ".join(f"CAST(coalesce(sum(chars) FILTER (k = {k} AND later), 0) AS BIGINT) AS dup_{k}gram_chars" for k in NGRAM_LIMITS)
+_BAD = " OR ".join(f"dup_{k}gram_chars > {limit} * word_chars" for k, limit in NGRAM_LIMITS.items())
+_NGRAMS = ", ".join(f"coalesce(dup_{k}gram_chars, 0) AS dup_{k}gram_chars" for k in NGRAM_LIMITS)
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+per_doc AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM words GROUP BY doc_id),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines, CAST(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS BIGINT) AS dup_line_chars FROM lines WHERE nth > 1 GROUP BY doc_id),
+win AS (SELECT doc_id, k, t.i, array_to_string(ws[t.i : t.i + k - 1], ' ') AS g FROM (SELECT *, unnest([{", ".join(map(str, NGRAM_LIMITS))}]) AS k FROM w), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+rep AS (SELECT doc_id, k, i, row_number() OVER (PARTITION BY doc_id, k, g ORDER BY i) > 1 AS later, count(*) OVER (PARTITION BY doc_id, k, g) AS n FROM win),
+cover AS (SELECT doc_id, k, i, bool_or(later) AS later FROM (SELECT doc_id, k, later, unnest(range(i, i + k)) AS i FROM rep WHERE n > 1) GROUP BY doc_id, k, i),
+grams AS (SELECT doc_id, count(*) FILTER (k = 5) AS n_repeat_words, {_CHARS} FROM (SELECT cover.*, length(word) AS chars FROM cover JOIN words USING (doc_id, i)) GROUP BY doc_id),
+m AS (SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, {_NGRAMS}
+  FROM w LEFT JOIN per_doc USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN grams USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (dup_line_chars > {LINE_LIMIT} * word_chars OR {_BAD}) AS kept FROM b
+"""

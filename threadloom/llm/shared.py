@@ -108,11 +108,18 @@ def batches(rows, size_of, limit: int):
         yield held
 
 
+def sliced(record_batches, rows: int = 1024):
+    """The record batches in parts of at most so many rows, so that few of their texts exist twice at a time."""
+    for rb in record_batches:
+        for at in range(0, rb.num_rows, rows):
+            yield rb.slice(at, rows)
+
+
 def arrow_rows(record_batches, *names: str):
     """Tuples of the named columns; strings arrive as bytes, so words can be cut without decoding."""
     import pyarrow as pa
 
-    for rb in record_batches:
+    for rb in sliced(record_batches):
         cols = []
         for n in names:
             c = rb.column(rb.schema.get_field_index(n))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, arrow_rows, batches, hashed_words, mix, shuffle_partitions, spread, windows
+from .shared import MULTIPLIERS, arrow_rows, batches, hashed_words, mix, shuffle_partitions, sliced, spread, windows
 from .sketch import may_hold, merged_sketch
 
 NO_ID = 2**63 - 1
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
     def cut(record_batches):
         import pyarrow as pa
 
-        for rb in record_batches:
+        for rb in sliced(record_batches):
             texts, n_words, n_removed, digests = [], [], [], []
             for text, at in arrow_rows([rb], "text", "_at"):
                 words = (text or b"").split()
@@ -200,3 +200,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT doc_id, t.i, array_to_string(ws[t.i : t.i + 12], ' ') AS g FROM w, unnest(range(1, len(ws) - 11)) AS t(i)),
+least AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN least USING (g) WHERE d < doc_id),
+kept AS (SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (g.i IS NULL) AS t FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
