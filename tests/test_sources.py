@@ -3,7 +3,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators.index import build_index, current, publish, update_index
+from threadloom.api import CodeIndex
+from threadloom.operators.index import build_index, compact, current, prune, publish, update_index
+from threadloom.operators.render import as_json, as_markdown
 from threadloom.operators.lookup import callees, callers, unused_symbols
 from threadloom.sources import git
 from threadloom.sources.extract import code_lines, generated, references, symbols, is_test_name, is_test_path
@@ -167,3 +169,28 @@ def test_checks_of_paths_and_refs(tmp_path):
         with pytest.raises(ValueError, match="revision"):
             git.checked_ref(bad)
     assert git.checked_ref("HEAD~1") == "HEAD~1"
+
+
+def test_catalogue_of_an_index(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "main.rs").write_text(RUST)
+    (tmp_path / "tree" / "calc.py").write_text(PYTHON)
+    c = CodeIndex.build(spark, str(tmp_path / "tree"))
+    assert [r["name"] for r in c.callers("callee").collect()] == ["caller"]
+    assert c.definition("callee", 1).first().text == "\nfn callee() {}\n"
+    assert {r["name"] for r in c.file("calc.py").collect()} == {"calc.py", "Calculator", "__init__", "add", "main"}
+    assert [r["name"] for r in c.search("call").collect()] == ["callee", "caller"]
+    assert {r["name"] for r in c.impact("callee").collect()} == {"caller"}
+    assert c.hierarchy("Calculator").count() == 3
+    assert c.module_graph()["cycles"].count() == 0
+    assert {r["name"]: r["count"] for r in c.status().where("section = 'total'").collect()}["files"] == 2
+    assert as_markdown(c.callers("nobody")) == "No results."
+    assert as_markdown(c.node("callee").select("name", "kind")) == "| name | kind |\n| --- | --- |\n| callee | function |"
+    assert '"docstring":null' in as_json(c.node("callee")).first().value
+    folder = f"file://{tmp_path}/index"
+    for _ in range(3):
+        publish(c.graph, folder)
+    assert prune(spark, folder, keep=1) == 2
+    before = shape(current(spark, folder))
+    compact(spark, folder)
+    assert shape(CodeIndex.open(spark, folder).graph) == before

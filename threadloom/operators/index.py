@@ -119,3 +119,22 @@ def current(spark: SparkSession, folder: str) -> Graph:
         there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
         tables[name] = spark.read.parquet(path) if there else None
     return Graph(**tables)
+
+
+def prune(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Deletes all but the newest versions below folder, never the current one; returns how many went."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = spark.read.text(f"{folder}/CURRENT").first()[0]
+    found = [s for s in store.listStatus(hadoop) if s.getPath().getName().startswith("v-")]
+    old = sorted((s for s in found if s.getPath().getName() != now), key=lambda s: -s.getModificationTime())[max(keep - 1, 0) :]
+    for s in old:
+        store.delete(s.getPath(), True)
+    return len(old)
+
+
+def compact(spark: SparkSession, folder: str, files: int = 1) -> str:
+    """Publishes the current version again in fewer files."""
+    g = current(spark, folder)
+    tables = {n: None if (t := getattr(g, n)) is None else t.coalesce(files) for n in ("nodes", "edges", "refs", "sources")}
+    return publish(Graph(**tables), folder)
