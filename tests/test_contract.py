@@ -17,6 +17,18 @@ def test_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from threadloom.session import shared_dir
+
+    set_ = SimpleNamespace(conf=spark.conf, sparkContext=spark.sparkContext, _jvm=spark._jvm, _jsc=spark._jsc)
+    assert shared_dir(set_) == spark.conf.get("spark.checkpoint.dir")
+    unset = SimpleNamespace(**vars(set_) | {"conf": {}})
+    assert shared_dir(unset) == shared_dir(unset)
+    assert shared_dir(unset).startswith("file:///")
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import boundary
 from ..functions.text import STOP_WORDS, task_keywords
 from ..operators import changes, coupling, lookup, resolve, search, traverse
 from ..schema import Graph
 from ..sources.slices import slice_lines
-from .star_graph import SQL, star_churn, star_edges, star_graph, star_nodes, star_refs, table, with_lines
+from .star_graph import SQL, star_churn, star_graph, star_nodes, star_refs, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -309,10 +308,10 @@ def changed_files(spark, sf_dir):
     return changes.changed_files(new, old).select("path", "state")
 
 
-@query("SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS ext, count(*) AS count FROM pages GROUP BY 1", graph=False)
-def extensions_by_host(spark, sf_dir):
+@query("SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS count FROM pages GROUP BY 1", graph=False)
+def pages_by_host(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.groupBy(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("ext")).agg(F.count("*").alias("count"))
+    return pages.groupBy(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host")).agg(F.count("*").alias("count"))
 
 
 @query(
