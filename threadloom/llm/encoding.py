@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .shared import CACHES
+
 #: Bytes of any other white space, or the beginning of its UTF-8 form; and NUL, at which pieces are cut.
 ODD = (b"\t", b"\r", b"\x0b", b"\x0c", b"\0", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -98,3 +100,6 @@ class Encoder:
 def encoder(path: str, mode: str) -> Encoder:
     """The encoder of this process: Spark reuses Python workers, so later tasks find a filled cache."""
     return Encoder(path, mode)
+
+
+CACHES.append(encoder)

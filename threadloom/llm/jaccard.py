@@ -250,8 +250,8 @@ def buckets(nodes: DataFrame, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *parts])), pa.array(node)], names=["token", "node"])
 
     postings = written(nodes.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(tokens_of, "token long, node long"), "jaccard-postings")
-    counted = postings.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 20)).alias("h2")).where("members > 1")
-    # buckets with the same members (told by 108 bits of commutative hashes) are looked at once
+    counted = postings.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("members > 1")
+    # buckets with the same members (told by 128 bits of commutative hashes) are looked at once
     distinct = counted.groupBy("members", "h1", "h2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     found = postings.join(distinct, "token").withColumnRenamed("token", "bucket")
     b = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
@@ -317,7 +317,7 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, for the nodes of links(a, b); by alternating stars."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
-        before = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first()
+        before = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         # large star: every neighbour above a node goes to the least around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -328,7 +328,7 @@ def connected(links: DataFrame) -> DataFrame:
         after = written(small, "stars")
         forget(edges)
         edges = after
-        if edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first() == before:
+        if edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

@@ -120,7 +120,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
     def cut(record_batches):
         import pyarrow as pa
 
-        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 8 << 20):
+        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 8 << 20, caching=True):
             encode = encoder(tokenizer, mode)
             out: list[tuple] = []
             for (doc_id, _), ids in zip(part, encode([r[1] for r in part]), strict=True):

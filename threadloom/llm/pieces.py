@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import Encoder, plain
-from .shared import arrow_rows, batches
+from .shared import CACHES, arrow_rows, batches
 
 MARK = "▁"
 WORDS = re.compile(rb" *[^ ]+| +")
@@ -164,13 +164,16 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+CACHES.append(piece_encoder)
+
+
 def piece_ids(docs: DataFrame, model: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (array<int>), decoded (the text that the ids give)."""
 
     def run(record_batches):
         import pyarrow as pa
 
-        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 4 << 20):
+        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 4 << 20, caching=True):
             encode = piece_encoder(model)
             ids = encode([r[1] for r in part])
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
@@ -189,7 +192,7 @@ def op7_shared_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(record_batches):
         import pyarrow as pa
 
-        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 4 << 20):
+        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 4 << 20, caching=True):
             encode = piece_encoder(model)
             ids = encode([r[1] for r in part])
             same = [encode.decode(x).encode() == (r[1] or b"") for r, x in zip(part, ids, strict=True)]

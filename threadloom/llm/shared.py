@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, written  # noqa: F401  the operators take written from here
+
 #: Odd 64-bit multipliers of the rolling hash, one for each place in a window.
 MULTIPLIERS = np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written() once nothing reads it any more."""
     spark = df.sparkSession
@@ -45,6 +29,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Caches that operators keep in a worker process, with cache_info and cache_clear.
+CACHES: list = []
+
+
+def release() -> None:
+    """Gives memory back to the system: caches of other operators' earlier tasks, and what the allocators hold unused."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for c in CACHES:
+        c.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def split_words(texts: list[bytes | None]):
     """Words of all texts (runs of bytes other than space and \\x09-\\x0D; null: none), without an object for each.
 
@@ -94,8 +97,13 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def batches(rows, size_of, limit: int):
-    """Lists of successive rows with a total size of about limit; a single row may be larger."""
+def batches(rows, size_of, limit: int, caching: bool = False):
+    """Lists of successive rows with a total size of about limit; a single row may be larger.
+
+    Before the first, a task that isn't caching itself releases what others left in the process.
+    """
+    if not caching:
+        release()
     held, total = [], 0
     for row in rows:
         n = size_of(row)

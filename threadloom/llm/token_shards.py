@@ -149,7 +149,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str =
 
         rows = arrow_rows(record_batches, "doc_id", "text")
         writer = None
-        for part in batches(rows, lambda r: len(r[1] or b""), 8 << 20):
+        for part in batches(rows, lambda r: len(r[1] or b""), 8 << 20, caching=True):
             if writer is None:
                 encode = encoder(tokenizer, mode)
                 width = max(encode.type.itemsize, 4 if (end_id or 0) >= 1 << 16 else 2)
