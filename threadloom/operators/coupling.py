@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import boundary, distance
 from ..schema import COUPLING_LABELS, STRENGTH, Graph
-from .lookup import edge_endpoints, find_node
+from .lookup import find_node
 from .traverse import strong_components
 
 
@@ -20,7 +20,7 @@ def label(kind: Column) -> Column:
 
 
 def counted(table: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
-    """Per keys: count and by_kind, a map sorted by kind; and max_strength if there."""
+    """Per keys: count; by_kind, a map sorted by kind; and the greatest strength."""
     each = table.groupBy(*keys, kind).agg(F.count("*").alias("n"))
     entries = F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("n"))))
     return each.groupBy(*keys).agg(F.sum("n").alias("count"), F.map_from_entries(entries).alias("by_kind"), F.max(strength(F.col(kind))).alias("strength"))
@@ -33,8 +33,10 @@ def as_text(by_kind: Column) -> Column:
 
 def module_edges(g: Graph, granularity: str = "module") -> DataFrame:
     """from, to, count, by_kind, strength of edges between different modules, without contains and tests."""
-    ends = edge_endpoints(g).where(~F.col("kind").isin("contains", "tests"))
-    folded = ends.select(boundary(F.col("source_file"), granularity).alias("from"), boundary(F.col("target_file"), granularity).alias("to"), "kind").where(F.col("from") != F.col("to"))
+    # boundaries belong to nodes: worked out below the joins, they aren't repeated for every edge
+    end = lambda column, name: g.nodes.select(F.col("id").alias(column), boundary(F.col("file_path"), granularity).alias(name))
+    edges = g.edges.where(~F.col("kind").isin("contains", "tests")).select("source_id", "target_id", "kind")
+    folded = edges.join(end("source_id", "from"), "source_id").join(end("target_id", "to"), "target_id").where(F.col("from") != F.col("to"))
     return counted(folded, ["from", "to"])
 
 
