@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -132,3 +133,16 @@ def test_language_edge_cases(spark):
     assert got[4].lang_pred == "en"
     assert {r.lang_pred for r in predict(docs, fit(docs.limit(0))).collect()} == {"und"}
     assert predict(docs.limit(0), Profile(())).count() == 0
+
+
+def test_verdict_does_not_depend_on_length(spark):
+    draw = random.Random(7)
+    words = {lang: ["".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(3000)] for lang, letters in (("xa", "abcdefghijkl"), ("xb", "ghijklmnopqr"), ("xc", "mnopqrstuvwx"))}
+    text = lambda lang, n: " ".join(draw.choices(words[lang], k=n))
+    labelled = spark.createDataFrame([(i, text(lang, 500), lang) for i, lang in enumerate(["xa", "xb", "xc"] * 60)], "doc_id long, text string, lang string")
+    whole = text("xb", 1_500_000)
+    assert len(whole) > 10_000_000
+    docs = spark.createDataFrame([(1, whole[:20_000]), (2, whole[:1_000_000]), (3, whole)], "doc_id long, text string")
+    got = {r.doc_id: r for r in predict(docs, fit(labelled)).collect()}
+    assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2, 3)] == [("xb", False)] * 3
+    assert got[3].score > 0.8 * got[1].score

@@ -3,6 +3,8 @@
 For each language, letters of sampled labelled texts become a zstandard raw-content dictionary. A text goes to the language
 whose dictionary makes it smallest; the relative lead over the second is its score. A narrow lead means rejection.
 Before compression a text is lower-cased and runs of anything but letters and marks become one space.
+Whole texts are compressed in pieces of a fixed size, each against each dictionary, and sizes are summed by language: a
+dictionary helps only at the beginning of what it compresses, so in one piece the lead of a long text would shrink away.
 
 The fit uses a bounded sample: about ``dictionary_bytes`` of letters for each of at most ``max_languages`` languages (the
 most frequent), chosen by a hash of doc_id among rows with a label. Prediction sees whole texts and nothing else.
@@ -43,6 +45,7 @@ class Profile:
     dictionaries: tuple[tuple[str, bytes], ...]
     level: int = 5
     min_margin: float = 0.005
+    piece_bytes: int = 1 << 14
 
 
 class Classifier:
@@ -60,7 +63,9 @@ class Classifier:
         body = letters(text.decode("utf-8", "replace")) if text else b""
         if not body or not self.models:
             return "und", 0.0, True
-        sizes = [(len(compress(body)), i) for i, (_, compress) in enumerate(self.models)]
+        step = self.profile.piece_bytes
+        pieces = [body[a : a + step] for a in range(0, len(body), step)]
+        sizes = [(sum(len(compress(p)) for p in pieces), i) for i, (_, compress) in enumerate(self.models)]
         (best, at), *others = sorted(sizes)
         score = 1.0 if not others else (others[0][0] - best) / max(others[0][0], 1)
         return self.models[at][0], score, score < self.profile.min_margin
