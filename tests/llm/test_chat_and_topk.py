@@ -75,6 +75,17 @@ def test_top_k_of_odd_rows(spark, k):
     assert exact_top_k(integer_vectors(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_of_a_query_leave_its_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)]
+    rows += [rows[40]] * 150  # a third of all rows, in every block more than k
+    rows += [(60, [2 * x for x in rows[60][1]])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (64, 4096):
+        got = exact_top_k(integer_vectors(df), F.col("vec_id") % 20 == 0, k=20, block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(brute_top(rows, 20))
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**17 + i), float(-(2**17) + 3 * i), 0.25]) for i in range(0, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -77,6 +77,10 @@ class BlockSearch:
         had_ids, had = self.best[i]
         least = had[-1] if len(had) == self.k else None
         alive = None  # all
+        own = np.flatnonzero(ids == self.ids[i])
+        if len(own):  # rows of the query's id are no candidates, so they set no bound either
+            alive = np.delete(np.arange(len(ids)), own)
+            score = score[alive]
         for g, a in enumerate(cuts):
             if g:
                 rows = c[a : a + self.step]
@@ -87,15 +91,14 @@ class BlockSearch:
             slack = 1e-6 * (1.0 + np.abs(bound))  # the norms are rounded, scores aren't
             low = least
             if len(score) > self.k:  # k candidates reach at least this much
-                sure = np.partition(score - bound - slack, -self.k - 1)[-self.k - 1]  # one more: the query's own row
+                sure = np.partition(score - bound - slack, -self.k)[-self.k]
                 low = sure if low is None else max(low, sure)
             if low is not None:
                 keep = np.flatnonzero(score + bound + slack >= low)
                 if len(keep) < 0.8 * len(score):
                     score, alive = score[keep], keep if alive is None else alive[keep]
         found = ids if alive is None else ids[alive]
-        other = found != self.ids[i]
-        found, score = np.concatenate([had_ids, found[other]]), np.concatenate([had, score[other]])
+        found, score = np.concatenate([had_ids, found]), np.concatenate([had, score])
         if len(score) > 4 * self.k:
             keep = np.flatnonzero(score >= np.partition(score, -self.k)[-self.k])
             found, score = found[keep], score[keep]
