@@ -1,6 +1,8 @@
 from graphs import calls, graph, names, node
 
 from threadloom.operators import coupling, lookup, resolve, traverse
+from threadloom.plans.catalogue import QUERIES
+from threadloom.plans.star_graph import star_edges
 from threadloom.schema import REFS, Graph
 
 
@@ -59,6 +61,15 @@ def test_call_paths_against_a_queue(spark):
     assert paths(long, ids, "a", "l") == brute_paths(chain, "a", "l")
 
 
+def test_call_paths_of_the_whole_star_graph(spark, sf_dir):
+    edges = sorted((r.id, r.source_id, r.target_id) for r in star_edges(spark, sf_dir).where("kind = 'calls'").collect())
+    assert {i % 16 for i, _, _ in edges} == {1, 2, 3}
+    want = brute_paths([(f">{a}", f">{b}") for _, a, b in edges], f">{21 * 8 + 1}", f">{1 * 8 + 1}")
+    got = sorted((r.nth, r.path) for r in QUERIES["call_paths_whole_graph"](spark, sf_dir).collect())
+    assert got == [(n, ">".join(str(int(x) // 8) for x in p[1:].split(">"))) for n, p in enumerate(want, 1)]
+    assert len(got) > 1
+
+
 def test_subgraph_returns_edges_to_unwanted_nodes(spark):
     g = graph(spark, [node(1, "f"), node(2, "g"), node(3, "S", kind="struct")], [(1, 2, "calls"), (1, 3, "references")])
     roots = g.nodes.where("id = 1").select("id")
