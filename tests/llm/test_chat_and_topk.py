@@ -95,6 +95,19 @@ def test_large_components_stay_exact(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_components_of_any_size_take_part_while_scores_fit_a_long(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-(10**7), 10**7, 24)]) for i in range(200)]  # scores beyond 2**53
+    rows += [(200 + i, [3.0e7 + i / 64] + [0.0] * 23) for i in range(40)]  # scores that doubles can't tell apart
+    rows += [(240, [4.0e7] + [0.25] * 23), (241, [300_000.0] * 24), (242, [-300_000.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = [(i, n, j, -s) for i, q in whole if i % 20 == 0 for n, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in whole if j != i)[:15], 1)]
+    for block in (32, 4096):
+        got = exact_top_k(integer_vectors(df), F.col("vec_id") % 20 == 0, k=15, block=block, step=4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_op4_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, op4_columnar_top_k(spark, sf_dir).collect())) == sorted(brute_top(rows, 20))

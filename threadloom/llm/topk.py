@@ -6,8 +6,8 @@ norms of what remains of query and candidate bound what a candidate can still re
 query's k-th best so far go, and the survivors are compacted. Query blocks meet candidate blocks by an equi-join on
 (query block, candidate group); each side is repeated only for the groups of the other, and each task keeps k per query.
 
-Components are integers floor(64 * x). Defined cases: vectors that are null or hold null, non-finite or too large
-components (over 2**24 in integers) take no part, nor do rows without an id; missing trailing components count as 0;
+Components are integers floor(64 * x). Defined cases: vectors that are null or hold null or non-finite components take no
+part, nor do rows without an id, nor vectors whose inner product with themselves exceeds a long (as scores are longs); missing trailing components count as 0;
 repeated rows are candidates each; a query's own id is never its candidate; queries repeated word for word count once.
 """
 
@@ -19,20 +19,20 @@ from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, written
 
-LARGEST = 1 << 24
+LARGEST = 9.2e18  # of the squared length: all inner products and their parts then fit a long
 HITS = "query_id long, query_key long, vec_id long, score long"
 
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<int>) of the rows that take part."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * 64).cast("double"))
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST))
-    finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= LARGEST))
-    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(good).select("vec_id", F.col("v").cast("array<int>").alias("v"))
+    """(vec_id, v array<long>) of the rows that take part."""
+    finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * 64))
+    length = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    return table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(length <= LARGEST)
 
 
 def packed(vectors: DataFrame, block: str, extra: str = "") -> DataFrame:
-    """One row for each block: ids, keys and a dimensions x vectors matrix of int32 in vertical layout."""
+    """One row for each block: ids, keys and a dimensions x vectors matrix (integers of ``width`` bytes: 4, or 8 where needed) in vertical layout."""
 
     def pack(key, table):
         import pyarrow as pa
@@ -41,12 +41,14 @@ def packed(vectors: DataFrame, block: str, extra: str = "") -> DataFrame:
         lists = table["v"].combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
         d = int(lengths.max(initial=0))
-        m = np.zeros((len(ids), d), np.int32)
-        m[np.repeat(np.arange(len(ids)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = lists.flatten().to_numpy()
+        values = lists.flatten().to_numpy()
+        narrow = -(2**31) < values.min(initial=0) and values.max(initial=0) < 2**31
+        m = np.zeros((len(ids), d), np.int32 if narrow else np.int64)
+        m[np.repeat(np.arange(len(ids)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
         order = np.argsort(ids, kind="stable")
-        return pa.table({block: pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].astype(np.int64).tobytes()], "keys": [table["key"].to_numpy()[order].astype(np.int64).tobytes()], "m": [np.ascontiguousarray(m[order].T).tobytes()]}, pa.schema([(block, pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("m", pa.binary())]))
+        return pa.table({block: pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].astype(np.int64).tobytes()], "keys": [table["key"].to_numpy()[order].astype(np.int64).tobytes()], "m": [np.ascontiguousarray(m[order].T).tobytes()], "width": pa.array([m.itemsize], pa.int32())}, pa.schema([(block, pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("m", pa.binary()), ("width", pa.int32())]))
 
-    return vectors.groupBy(block).applyInArrow(pack, f"{block} int, ids binary, keys binary, m binary")
+    return vectors.groupBy(block).applyInArrow(pack, f"{block} int, ids binary, keys binary, m binary, width int")
 
 
 class BlockSearch:
@@ -54,13 +56,13 @@ class BlockSearch:
 
     def __init__(self, ids: np.ndarray, keys: np.ndarray, q: np.ndarray, k: int, step: int):
         self.ids, self.keys, self.q, self.k, self.step = ids, keys, q, k, step
-        self.best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
         d = max(len(c), self.q.shape[1])
         c = np.vstack([c, np.zeros((d - len(c), c.shape[1]), c.dtype)])
         q = np.hstack([self.q, np.zeros((len(self.q), d - self.q.shape[1]), self.q.dtype)])
-        exact = d * float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**52
+        exact = d * float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**52  # else sums of longs
         kind = np.float64 if exact else np.int64
         order = np.argsort(-(c.astype(np.float64) ** 2).sum(axis=1), kind="stable")
         c, q = c[order].astype(kind), q[:, order].astype(kind)
@@ -89,6 +91,8 @@ class BlockSearch:
                 break
             bound = rest_q[g][i] * (rest_c[g] if alive is None else rest_c[g][alive])
             slack = 1e-6 * (1.0 + np.abs(bound))  # the norms are rounded, scores aren't
+            if score.dtype == np.int64:  # but they are when bounds are added
+                slack += 1e-14 * np.abs(score)
             low = least
             if len(score) > self.k:  # k candidates reach at least this much
                 sure = np.partition(score - bound - slack, -self.k)[-self.k]
@@ -98,7 +102,7 @@ class BlockSearch:
                 if len(keep) < 0.8 * len(score):
                     score, alive = score[keep], keep if alive is None else alive[keep]
         found = ids if alive is None else ids[alive]
-        found, score = np.concatenate([had_ids, found]), np.concatenate([had, score])
+        found, score = np.concatenate([had_ids, found]), np.concatenate([had, score.astype(np.int64)])
         if len(score) > 4 * self.k:
             keep = np.flatnonzero(score >= np.partition(score, -self.k)[-self.k])
             found, score = found[keep], score[keep]
@@ -126,26 +130,26 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, query_block: int = 10
     part = lambda n, salt: F.pmod(F.xxhash64("vec_id", "key", F.monotonically_increasing_id() if salt else F.lit(3)), F.lit(n)).cast("int")
     qs = packed(queries.withColumn("qb", part(q_blocks, False)), "qb").withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # equal rows are spread too, so that no block is made of one vector alone
-    cs = packed(vectors.withColumn("cb", part(c_blocks, True)), "cb").select(F.pmod("cb", F.lit(groups)).cast("int").alias("cg"), F.col("ids").alias("c_ids"), F.col("m").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    cs = packed(vectors.withColumn("cb", part(c_blocks, True)), "cb").select(F.pmod("cb", F.lit(groups)).cast("int").alias("cg"), F.col("ids").alias("c_ids"), F.col("m").alias("c"), F.col("width").alias("c_width"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def search(record_batches):
         at, state = None, None
         for rb in record_batches:
-            cols = {n: rb.column(n) for n in ("qb", "cg", "ids", "keys", "m", "c_ids", "c")}
+            cols = {n: rb.column(n) for n in ("qb", "cg", "ids", "keys", "m", "width", "c_ids", "c", "c_width")}
             for r in range(rb.num_rows):
                 here = cols["qb"][r].as_py(), cols["cg"][r].as_py()
                 if here != at:
                     if state is not None:
                         yield state.rows()
                     ids, keys = (np.frombuffer(cols[n][r].as_py(), np.int64) for n in ("ids", "keys"))
-                    m = np.frombuffer(cols["m"][r].as_py(), np.int32)
+                    m = np.frombuffer(cols["m"][r].as_py(), f"i{cols['width'][r].as_py()}")
                     at, state = here, BlockSearch(ids, keys, m.reshape(-1, len(ids)).T, k, step)
                 ids = np.frombuffer(cols["c_ids"][r].as_py(), np.int64)
-                state.add(ids, np.frombuffer(cols["c"][r].as_py(), np.int32).reshape(-1, len(ids)))
+                state.add(ids, np.frombuffer(cols["c"][r].as_py(), f"i{cols['c_width'][r].as_py()}").reshape(-1, len(ids)))
         if state is not None:
             yield state.rows()
 
-    hits = cs.join(qs, ["qb", "cg"]).select("qb", "cg", "ids", "keys", "m", "c_ids", "c").mapInArrow(search, HITS)
+    hits = cs.join(qs, ["qb", "cg"]).select("qb", "cg", "ids", "keys", "m", "width", "c_ids", "c", "c_width").mapInArrow(search, HITS)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
