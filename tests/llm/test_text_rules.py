@@ -146,3 +146,14 @@ def test_verdict_does_not_depend_on_length(spark):
     got = {r.doc_id: r for r in predict(docs, fit(labelled)).collect()}
     assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2, 3)] == [("xb", False)] * 3
     assert got[3].score > 0.8 * got[1].score
+
+
+def test_no_language_is_left_out(spark):
+    draw = random.Random(11)
+    words = {f"l{i:02}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(100)] for i in range(70)}
+    text = lambda lang: " ".join(draw.choices(words[lang], k=300))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(words)]
+    profile = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(profile.dictionaries) == 70
+    docs = spark.createDataFrame([(lang, text(lang)) for lang in words], "lang string, text string")
+    assert all(r.lang_pred == r.lang and not r.rejected for r in predict(docs, profile).collect())

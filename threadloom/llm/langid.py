@@ -6,8 +6,9 @@ Before compression a text is lower-cased and runs of anything but letters and ma
 Whole texts are compressed in pieces of a fixed size, each against each dictionary, and sizes are summed by language: a
 dictionary helps only at the beginning of what it compresses, so in one piece the lead of a long text would shrink away.
 
-The fit uses a bounded sample: about ``dictionary_bytes`` of letters for each of at most ``max_languages`` languages (the
-most frequent), chosen by a hash of doc_id among rows with a label. Prediction sees whole texts and nothing else.
+The fit uses a bounded sample: about ``dictionary_bytes`` of letters for each language, less when there are more than
+``max_languages``, from the first ``text_bytes`` characters of rows with a label, chosen by a hash of doc_id. No language is
+left out. Prediction sees whole texts and nothing else.
 
 Defined cases: ``und`` with score 0 for null texts and texts without letters; ties go to the language with most labelled
 rows, then by name; without any labelled row everything is ``und``; repeated rows get equal answers.
@@ -53,7 +54,9 @@ class Classifier:
         import zstandard
 
         self.profile, self.models = profile, []
-        params = zstandard.ZstdCompressionParameters.from_level(profile.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # small tables for the small dictionaries of many languages
+        sizes = {"dict_size": max(len(c) for _, c in profile.dictionaries), "source_size": profile.piece_bytes} if len(profile.dictionaries) > 64 else {}
+        params = zstandard.ZstdCompressionParameters.from_level(profile.level, **sizes, write_content_size=False, write_checksum=False, write_dict_id=False)
         for lang, content in profile.dictionaries:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
@@ -72,14 +75,21 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, dictionary_bytes: int = 1 << 18, max_languages: int = 64, text_bytes: int = 4000) -> Profile:
-    """From labelled(doc_id, text, lang); the driver gets at most max_languages * 2 * dictionary_bytes characters."""
+    """From labelled(doc_id, text, lang); all languages share max_languages * dictionary_bytes. The driver gets about twice that,
+    or 16 * text_bytes characters of each language if that is more.
+
+    text_bytes: how many characters of a text may enter.
+    """
+    spark = labelled.sparkSession
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(text_bytes))).alias("chars"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    # a share of each language's rows with about twice the wanted characters
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2 * dictionary_bytes / max(r.chars, 1)))) for r in top)) if top else F.lit(0.0)
+    top = counts.orderBy(F.desc("n"), "lang").collect()
+    dictionary_bytes = max(1, min(dictionary_bytes, max_languages * dictionary_bytes // max(len(top), 1)))
+    # a share of each language's rows with about twice the wanted characters, or 16 long texts, so that no language draws none
+    wanted = [(r.lang, min(1.0, 2 * max(dictionary_bytes, 8 * text_bytes) / max(r.chars, 1))) for r in top]
+    share = F.broadcast(spark.createDataFrame(wanted, "lang string, share double"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    rows = labelled.where(draw < share * (1 << 30)).select("lang", draw.alias("draw"), F.substring("text", 1, text_bytes).alias("text")).collect()
+    rows = labelled.join(share, "lang").where(draw < F.col("share") * (1 << 30)).select("lang", draw.alias("draw"), F.substring("text", 1, text_bytes).alias("text")).collect()
     parts: dict[str, list[bytes]] = {r.lang: [] for r in top}
     for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.text)):
         if sum(map(len, parts[r.lang])) < dictionary_bytes:
