@@ -1,3 +1,4 @@
+import pytest
 from graphs import calls, graph, names, node
 
 from threadloom.operators import coupling, lookup, resolve, traverse
@@ -190,3 +191,10 @@ def test_impact_breakdown(spark):
     churn = spark.createDataFrame([("src/m/mod.rs", 2), ("src/m/lib.rs", 1)], "path string, commits long")
     got = {(r.section, r["name"]): (r.edges, r.churn) for r in coupling.impact_breakdown(g, "S", churn).collect()}
     assert got == {("kind", "field-read (model)"): (2, None), ("kind", "extends"): (1, None), ("total", "S"): (3, None), ("module", "src/m"): (3, 3)}
+
+
+def test_strong_components_never_stop_silently(spark):
+    chain = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        traverse.strong_components(chain, rounds=1)
+    assert {(r.node, r.component) for r in traverse.strong_components(chain).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}

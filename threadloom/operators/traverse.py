@@ -6,6 +6,8 @@ round at most. Frontiers meet the edges in joins; nothing but row counts comes t
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,16 +95,17 @@ def subgraph(g: Graph, roots: DataFrame, depth: int = 2, limit: int = 50, node_k
     return seen, met
 
 
-def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component (its least member) for the nodes of edges(a, b) that lie on a cycle.
 
     Nodes without way in or out are trimmed, round by round. Then, colour by colour: every node takes the least label that
     reaches it; going back from the node whose own label it is, within its label, gives one component of each label; these
     go, and the rest starts again. The work of a round is linear in the edges; the closure is never formed.
+    Every round finishes a component at least, so the loop ends; a bound on the rounds that is reached raises.
     """
     edges = checkpointed(edges.where("a <> b").distinct())
     done = None
-    for _ in range(rounds):
+    for turn in count():
         size = edges.count()
         while size:  # trim
             edges = checkpointed(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
@@ -111,6 +114,8 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
                 break
         if not size:
             break
+        if turn == rounds:
+            raise RuntimeError(f"cycles are left after {rounds} rounds")
         label = checkpointed(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
         while True:
             reach = edges.join(label.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
