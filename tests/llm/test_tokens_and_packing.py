@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -15,14 +16,12 @@ from threadloom.llm.shared import new_path
 from threadloom.llm.token_shards import from_planes, op1_bit_plane_shards, read_token_shards, to_planes, write_token_shards
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", None, " ", "a", "it's a dog's 's", "two  spaces", " lead", "trail ", "a\nb\n\nc", "tab\tx", "x \ny", "é é ́x", "a b", "a\x1cb c", "<|endoftext|> x", "👩‍👩‍👧 ok", "１２3 ΣΑΣ ß", "long" * 5000, "a b\r\nc", " x y"]
+ODD = ["", None, " ", "a", "it's a dog's 's", "two  spaces", " lead", "trail ", "a\nb\n\nc", "tab\tx", "x \ny", "é é ́x", "a b", "a\x1cb c", "<|endoftext|> x", "a<|ENDOFTEXT|>, b <|startoftext|>c <|", "end.(of)x,y;\n\n  z!\n", "(a)-b é.f ×. a÷, \t\tq \u2028 r’s", "naïve,ç;", "a\0b.c", "ab" * 3000 + ",c", "👩‍👩‍👧 ok", "１２3 ΣΑΣ ß", "long" * 5000, "a b\r\nc", " x y"]
 
 
 @lru_cache
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def direct(path, text):
@@ -47,6 +46,25 @@ def test_cached_ids_of_random_texts(text):
         assert encoder(path, mode)([text.encode()])[0].tolist() == direct(path, text)
 
 
+def test_special_tokens_as_text():
+    t = Tokenizer.from_file(BYTE)
+    t.encode_special_tokens = True
+    texts = ["<|endoftext|> x", "plain, text"]
+    for text, ids in zip(texts, Encoder(BYTE, "spaces", literal=True)([x.encode() for x in texts]), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 50256 in Encoder(BYTE, "spaces")([b"a <|endoftext|>"])[0]
+    assert 50256 in Encoder(BYTE, "whole")([b"a <|endoftext|>"])[0]
+
+
+def test_new_words_of_many_kinds_in_one_call():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgéñßΣσжд中", k=rng.randint(1, 12))) + rng.choice(["", ",", "!!", "'s", "1"]) for _ in range(5000)]
+    for path, mode in ((WORD, "words"), (BYTE, "spaces")):
+        texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+        for text, ids in zip(texts, Encoder(path, mode)([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == direct(path, text)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("width", [2, 4])
 def test_planes_round_trip(bits, width):
@@ -128,13 +146,7 @@ def test_op10_is_near_the_lower_bound(spark, sf_dir):
     texts = {r.doc_id: [r.text] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op10_exact_complement_packing(spark, sf_dir).collect()
     n, total = check_packing(rows, texts, 1024)
-    gaps: list = []
-    for length in sorted((r.length for r in rows), reverse=True):  # plain best fit, decreasing
-        fit = min((g for g in gaps if g >= length), default=None)
-        if fit is not None:
-            gaps.remove(fit)
-        gaps.append((1024 if fit is None else fit) - length)
-    assert -(-total // 1024) <= n <= len(gaps)
+    assert -(-total // 1024) <= n <= plain_best_fit([r.length for r in rows], 1024)
 
 
 @settings(max_examples=200, deadline=None)
@@ -149,6 +161,55 @@ def test_plan_covers_counts(counts):
     assert seen == counts
 
 
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(pieces)
+
+    def put(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(pieces):
+            best = len(gaps)
+            return
+        for k in sorted({g: k for k, g in enumerate(gaps) if g >= pieces[i]}.values()):
+            put(i + 1, [*gaps[:k], gaps[k] - pieces[i], *gaps[k + 1 :]])
+        put(i + 1, [*gaps, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def plain_best_fit(lengths, capacity):
+    gaps: list = []
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - length)
+    return len(gaps)
+
+
+def test_plans_against_every_packing_of_few_pieces():
+    rng, more, fewer = random.Random(11), 0, 0
+    for _ in range(400):
+        pieces = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
+        n = sum(t for _, t in plan_packing(dict(Counter(pieces)), 20))
+        least = fewest(pieces, 20)
+        assert least <= n <= plain_best_fit(pieces, 20)
+        more, fewer = more + (n > least), fewer + (n < plain_best_fit(pieces, 20))
+    assert more <= 4  # in a hundredth of the cases one sequence too many
+
+
+def test_plans_of_many_pieces_use_sums_of_two_and_three():
+    rng = random.Random(5)
+    pieces = [rng.randint(1, 1023) for _ in range(3000)]
+    plan = plan_packing(dict(Counter(pieces)), 1024)
+    exact = Counter(len(c) for c, t in plan if sum(c) == 1024 for _ in range(t))
+    assert exact[2] > 300 and exact[3] > 20 and exact[4] > 5
+    assert -(-sum(pieces) // 1024) <= sum(t for _, t in plan) <= plain_best_fit(pieces, 1024)
+
+
 def test_plan_prefers_exact_fills():
     assert plan_packing({6: 2, 4: 1, 3: 1, 1: 1}, 10) == [((6, 4), 1), ((6, 3, 1), 1)]
     assert sum(t for _, t in plan_packing({5: 4, 3: 2, 2: 2}, 10)) == 3

@@ -1,13 +1,14 @@
 """Best-fit packing by exact-complement hashing.
 
-Lengths are at most the capacity, so their histogram is a table of fixed size. The packing is planned on it: for each
-length, from the longest, a hash of single, pair and triple sums gives combinations that fill the gap exactly; they are
+Lengths are at most the capacity, so their histogram is a table of fixed size. The packing is planned on it: hashes of the
+sums of one, two and three available lengths give combinations that fill the gap beside a length exactly; they are
 consumed as often as the available counts allow; what stays is placed by best fit. The plan says how often each
 combination of lengths occurs. Pieces then get their place by their rank among the pieces of the same length, which Spark
 counts in salted buckets, so neither pieces nor a hot length meet in one task or on the driver.
 
 Defined cases: null text counts as empty (one end id); repeated rows are packed as separate pieces; an empty table gives an
-empty result; a longer document is cut into pieces of the capacity, the first of which may be shorter.
+empty result; a longer document is cut into pieces of the capacity, the first of which may be shorter; a very long text is
+held by one worker with its ids; ties of length go by doc_id, piece and start; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,21 +29,27 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences), covering exactly the given counts.
 
-    Exact fills by up to three more pieces are tried, and by fewer: where pieces are few, filling greedily can use up
-    the short ones. The plan with the fewest sequences is returned, among equal ones that with most exact fills.
+    Short pieces in exact fills spare gaps now and are missing for gaps later, which tells where pieces are few. So plans
+    are made that leave parts below several lengths to the best fit; the one with the fewest sequences is returned, among
+    equal ones that with most exact fills.
 
     >>> plan_packing({6: 2, 4: 1, 3: 1, 1: 1}, 10)
     [((6, 4), 1), ((6, 3, 1), 1)]
     """
     if any(n > capacity or n < 1 for n, c in counts.items() if c):
         raise ValueError("a length is not between 1 and the capacity")
-    return min((_plan(dict(counts), capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(times for _, times in plan))
+    plans = [_plan(counts, capacity, least) for least in sorted({max(1, capacity * i // 32) for i in range(17)})]
+    return min(plans, key=lambda p: (sum(times for _, times in p[0]), -p[1]))[0]
 
 
-def _plan(left: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Consumes left. Exact fills with up to most complements, longest length first, then best fit of the rest."""
+def _plan(counts: dict[int, int], capacity: int, least: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """A plan and how many of its sequences are exact fills; parts below least fill no gap together with others.
+
+    The sums of one, then two, then three available lengths are looked up for the gap beside each length, longest first.
+    Of equal sums that with the longest smaller parts is taken, as short parts fit everywhere.
+    """
+    left = {n: c for n, c in counts.items() if c}
     plan: list[tuple[tuple[int, ...], int]] = []
-    order = sorted((n for n, c in left.items() if c), reverse=True)
 
     def take(*combination: int) -> None:
         times = min(left[n] // combination.count(n) for n in combination)
@@ -51,32 +58,43 @@ def _plan(left: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[in
             for n in combination:
                 left[n] -= times
 
-    def pairs(total: int, largest: int):
-        """Pairs with this sum, most unequal first; the histogram is the hash of what is available."""
-        for a in range(min(largest, total - 1), (total - 1) // 2, -1):
-            if left.get(a) and left.get(total - a):
-                yield a, total - a
+    def lengths(low: int = 1) -> list[int]:
+        return sorted((n for n, c in left.items() if c and n >= low), reverse=True)
 
-    for n in order:
-        gap = capacity - n
-        if gap == 0:
+    for n in lengths():  # sums of one length: the counts are their index
+        if n == capacity:
             take(n)
-        if most >= 1 and left[n] and gap <= n and left.get(gap):
-            take(n, gap)
-        if most >= 2 and left[n]:
-            for a, b in pairs(gap, n):
+        elif left[n] and n >= capacity - n and left.get(capacity - n):
+            take(n, capacity - n)
+    pairs = _pair_sums(lengths(least), capacity)
+    for n in lengths():
+        for a, b in pairs.get(capacity - n, ()):
+            if not left[n]:
+                break
+            if a <= n and left[a] and left[b]:
                 take(n, a, b)
-                if not left[n]:
+    pairs = _pair_sums(lengths(least), capacity)
+    for n in lengths():  # sums of three: those of two and one more
+        for c in reversed(lengths(least)):
+            if not left[n] or 3 * c > capacity - n:
+                break
+            for a, b in pairs.get(capacity - n - c, ()):
+                if not left[n] or not left[c]:
                     break
-        if most >= 3:
-            for a in range(min(n, gap - 2), 0, -1):
-                if not left[n]:
-                    break
-                for b, c in pairs(gap - a, a) if left.get(a) else ():
+                if b >= c and a <= n and left[a] and left[b]:
                     take(n, a, b, c)
-                    if not left[n] or not left[a]:
-                        break
-    return plan + _best_fit(left, order, capacity)
+    exact = sum(times for _, times in plan)
+    return plan + _best_fit(left, lengths(), capacity), exact
+
+
+def _pair_sums(lengths: list[int], capacity: int) -> dict[int, list[tuple[int, int]]]:
+    """Sum -> pairs of available lengths with it, most alike first. A pair may be one length twice."""
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for i, a in enumerate(reversed(lengths)):  # ascending, so that later pairs of a sum are less alike
+        for b in lengths[len(lengths) - 1 - i :]:
+            if a + b < capacity:
+                sums.setdefault(a + b, []).append((a, b))
+    return sums
 
 
 def _best_fit(left: dict[int, int], order: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -137,18 +155,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces (a written table with a length column) and sequence_id, offset: gapless from 0 within each sequence.
+    """pieces (a table with a length column) and sequence_id, offset: gapless from 0 within each sequence.
 
-    The driver sees at most capacity counts. Ranks: a bucket by hash spreads a hot length; buckets are counted first.
+    The driver sees at most capacity counts. Ranks: random buckets, kept in the written table, spread a hot length and
+    repeated rows; buckets are counted first.
     """
     spark = pieces.sparkSession
     buckets = max(64, 4 * shuffle_partitions(spark))
     key = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(buckets)).cast("int"))
+    salted = written(pieces.withColumn("_bucket", F.floor(F.rand() * buckets).cast("int")), "token-pieces")
     by_bucket = salted.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = by_bucket.select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    counts = {int(r[0]): int(r[1]) for r in salted.groupBy("length").count().collect()}  # at most capacity rows
     slots, sequence = [], 0
     used: dict[int, int] = {}
     for lengths, times in plan_packing(counts, capacity):
@@ -156,17 +175,33 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         for n, k in _runs(lengths):
             # k places of one length in each of these sequences: ranks used[n] ... used[n] + k * times - 1
             first = used.get(n, 0)
-            slots.append((n, first, first + k * times, k, sequence, offset))
+            slots.append((n, first, k, sequence, offset))
             used[n] = first + k * times
             offset += n * k
         sequence += times
-    table = spark.createDataFrame(slots, "length long, _first long, _end long, _each long, _sequence long, _offset long")
-    per_length = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("_first", "_end", "_each", "_sequence", "_offset"))).alias("_slots"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*key)) - 1).join(base, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # the plan has a bounded number of rows: a few for each of at most capacity lengths
-    placed = ranked.join(F.broadcast(per_length), "length").withColumn("_slot", F.filter("_slots", lambda s: (s["_first"] <= F.col("_rank")) & (F.col("_rank") < s["_end"]))[0])
-    nth = F.col("_rank") - F.col("_slot._first")
-    return placed.select(*pieces.columns, (F.col("_slot._sequence") + F.floor(nth / F.col("_slot._each"))).cast("long").alias("sequence_id"), (F.col("_slot._offset") + nth % F.col("_slot._each") * F.col("length")).cast("long").alias("offset"))
+    plan = spark.sparkContext.broadcast(np.array(sorted(slots), np.int64).reshape(-1, 5))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*key)) - 1).join(base, ["length", "_bucket"]).select(*pieces.columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
+
+    names = pieces.columns
+
+    def place(record_batches):
+        import pyarrow as pa
+
+        lengths, firsts, each, sequences, offsets = plan.value.T
+        begins = np.searchsorted(lengths, np.arange(capacity + 2))
+        for rb in record_batches:
+            n, rank = (rb.column(rb.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
+            slot = np.empty(len(n), np.int64)
+            for one in np.unique(n).tolist():
+                mine = n == one
+                slot[mine] = begins[one] + np.searchsorted(firsts[begins[one] : begins[one + 1]], rank[mine], "right") - 1
+            nth = rank - firsts[slot]
+            cols = [rb.column(rb.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequences[slot] + nth // each[slot]), pa.array(offsets[slot] + nth % each[slot] * n)], names=[*names, "sequence_id", "offset"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    return ranked.mapInArrow(place, schema)
 
 
 def _runs(lengths: tuple[int, ...]):
@@ -181,7 +216,7 @@ def _runs(lengths: tuple[int, ...]):
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, mode: str = "whole", end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    return pack_pieces(written(token_pieces(docs, tokenizer, mode, end_id, capacity), "token-pieces"), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, mode, end_id, capacity), capacity)
 
 
 def op10_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
