@@ -10,7 +10,9 @@ gives just that pair; and a prefix of an encoding is the encoding of that prefix
 goes first; up to the first merge over a cut, both sides go as they would alone.) So the same pass serves both.
 
 Characters without a piece become byte pieces, or the unknown piece where the model has none. Defined cases: null and empty
-texts have no ids; repeated rows are encoded each; other columns are left out.
+texts have no ids; repeated rows are encoded each; of equally good segmentations the one with the longest last piece counts;
+a very long text is held by one worker, and a long word costs its length times that of the longest piece; other columns are
+left out, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,13 +24,22 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .encoding import Encoder, plain
+from .encoding import Encoder
 from .shared import CACHES, arrow_rows, batches
 
 MARK = "▁"
 WORDS = re.compile(rb" *[^ ]+| +")
 
 
+#: Bytes of white space other than space and line feed, or the beginning of its UTF-8 form; and NUL, at which pieces are cut.
+ODD = (b"\t", b"\r", b"\x0b", b"\x0c", b"\0", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+def plain(text: bytes) -> bool:
+    """Whether all white space is single spaces and line feeds, each between two other characters."""
+    return len(text.split()) == text.count(b" ") + text.count(b"\n") + 1 and not any(x in text for x in ODD)
+
+
 class Pieces:
     """The pieces of a model and the forward pass over sorted words."""
 
