@@ -7,7 +7,9 @@ under the loss mask [loss_start, loss_end). A conversation that ends in other tu
 that the output holds every turn. The last example of a conversation is one row that holds it whole.
 
 Defined cases: null roles and texts count as empty; turns go by turn (nulls first), ties by role and text; repeated rows are
-turns of their own; a null conv_id is a conversation; an empty table gives an empty one; other columns are left out.
+turns of their own; a null conv_id is a conversation; an empty table gives an empty one; other columns are left out,
+whatever their names. Every example holds all turns before its own, so the output of a conversation grows with the square
+of its turns by the method itself; one task holds the turns of one conversation. A very long text is one value of a row.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ So no task holds more than two blocks, and a group of many near copies costs abo
 Shingle hashes have 64 bits and sets are told apart by 128 bits.
 
 Defined cases: fewer words than ``k`` make one shingle; no words (or null): an empty set, linked with nothing; equal sets
-are linked; repeated rows are rows of one node; a null doc_id never is a component's id unless all its members have none.
+are linked; repeated rows are rows of one node; a null doc_id never is a component's id unless all its members have none;
+a very long text is one set, which one worker holds; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, batches, forget, hashed_words, spread, windows, written
+from .shared import arrow_rows, batches, forget, fresh, hashed_words, named, spread, windows, written
 from .sketch import may_hold, merged_sketch
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -333,7 +334,10 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = 2048, sample_docs: int = 4000, most_bits: int = 28) -> DataFrame:
-    """docs(doc_id, text) -> row-wise doc_id, n_shingles, component_id and key (xxhash64 of the text)."""
+    """docs(doc_id, text) -> row-wise doc_id, n_shingles, component_id, key (xxhash64 of the text) and component.
+
+    component: a number of the component itself, whatever the ids; null for an empty set.
+    """
     rows = document_sets(docs, k, num, den, sample_docs, most_bits)
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "jaccard-classes")
     nodes = written(rows.select("row", "doc_id", "key", "n", "bitmap", "prefix").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
@@ -344,9 +348,9 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     links = cluster_links(sets, num, den, block)
     labels = connected(links)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id")
+    ids = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id", F.col("label").alias("component"))
     out = rows.select("doc_id", "key", "n", "digest").join(ids, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", "component")
 
 
 def cluster_sets(docs: DataFrame, k: int, nodes: DataFrame, clusters: DataFrame, width_bits: int = 24) -> DataFrame:
@@ -400,12 +404,19 @@ def cluster_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's id, one row for each; rows with an empty set stay too."""
-    found = similar_components(docs.select("doc_id", "text"))
-    keep = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("key").alias("_key")).unionByName(found.where("n_shingles = 0").select("doc_id", F.col("key").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(keep["doc_id"]) & (keyed["_key"] == keep["_key"])
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    """One row of docs for each component, that with the least doc_id (null: the greatest); rows with an empty set stay too.
+
+    Components are told by themselves, not by ids: documents without an id, or unlike ones with the same id, are kept apart.
+    Of equal ids the least hash of the text goes first, and of rows with equal id and text any.
+    """
+    key, shared = fresh(docs.columns, "_key", "_id")
+    words = F.coalesce(F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    found = similar_components(docs.where(words).select("doc_id", "text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    keep = written(found.groupBy("component").agg(first).select(F.col("first.doc_id").alias(shared), F.col("first.key").alias(key)).distinct(), "jaccard-kept")
+    keyed = docs.where(words).withColumn(key, F.xxhash64("text"))
+    one = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep[shared]) & (keyed[key] == keep[key]), "left_semi").dropDuplicates(["doc_id", key])
+    return one.select(*named(docs.columns)).unionByName(docs.where(~words))
 
 
 def op5_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,24 +7,26 @@ Whole texts are compressed in pieces of a fixed size, each against each dictiona
 dictionary helps only at the beginning of what it compresses, so in one piece the lead of a long text would shrink away.
 
 The fit uses a bounded sample: about ``dictionary_bytes`` of letters for each language, less when there are more than
-``max_languages``, from the first ``text_bytes`` characters of rows with a label, chosen by a hash of doc_id. No language is
-left out. Prediction sees whole texts and nothing else.
+``max_languages``, from pieces of ``sample_chars`` characters, drawn by their hash from all places of all texts with a label;
+equal pieces count once. No language is left out. Prediction sees whole texts and nothing else.
 
 Defined cases: ``und`` with score 0 for null texts and texts without letters; ties go to the language with most labelled
-rows, then by name; without any labelled row everything is ``und``; repeated rows get equal answers.
+rows, then by name; without any labelled row everything is ``und``; repeated rows get equal answers; an empty table gives an
+empty one; a very long text is held by one worker and classified whole; columns of docs named as the answers are replaced by
+``predict`` and kept by ``keep_confident``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import arrow_rows, batches, sliced
+from .shared import arrow_rows, batches, named, sliced
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
-OUT = "lang_pred string, score double, rejected boolean"
 
 
 def letters(text: str) -> bytes:
@@ -74,27 +76,27 @@ class Classifier:
         return self.models[at][0], score, score < self.profile.min_margin
 
 
-def fit(labelled: DataFrame, dictionary_bytes: int = 1 << 18, max_languages: int = 64, text_bytes: int = 4000) -> Profile:
-    """From labelled(doc_id, text, lang); all languages share max_languages * dictionary_bytes. The driver gets about twice that,
-    or 16 * text_bytes characters of each language if that is more.
+def fit(labelled: DataFrame, dictionary_bytes: int = 1 << 18, max_languages: int = 64, sample_chars: int = 2000) -> Profile:
+    """From labelled(text, lang); all languages share max_languages * dictionary_bytes.
 
-    text_bytes: how many characters of a text may enter.
+    The driver gets at most twice dictionary_bytes characters and one piece more of each language.
     """
     spark = labelled.sparkSession
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least(F.length("text"), F.lit(text_bytes))).alias("chars"))
-    top = counts.orderBy(F.desc("n"), "lang").collect()
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     dictionary_bytes = max(1, min(dictionary_bytes, max_languages * dictionary_bytes // max(len(top), 1)))
-    # a share of each language's rows with about twice the wanted characters, or 16 long texts, so that no language draws none
-    wanted = [(r.lang, min(1.0, 2 * max(dictionary_bytes, 8 * text_bytes) / max(r.chars, 1))) for r in top]
-    share = F.broadcast(spark.createDataFrame(wanted, "lang string, share double"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    rows = labelled.join(share, "lang").where(draw < F.col("share") * (1 << 30)).select("lang", draw.alias("draw"), F.substring("text", 1, text_bytes).alias("text")).collect()
+    wanted = 2 * dictionary_bytes // sample_chars + 1
+    # four times the wanted pieces go on from where they are; copies among them then go, and the least hashes stay
+    shares = {r.lang: min(1.0, 4 * max(wanted, 16) * sample_chars / max(r.chars, 1)) for r in top}
+    share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("lang")) if shares else F.lit(0.0)
+    begins = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(sample_chars)))
+    pieces = labelled.select("lang", "text", begins.alias("begin")).select("lang", F.substring("text", F.col("begin"), F.lit(sample_chars)).alias("piece"))
+    drawn = pieces.withColumn("draw", F.xxhash64("piece")).where(F.pmod(F.xxhash64("draw", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "draw"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     parts: dict[str, list[bytes]] = {r.lang: [] for r in top}
-    for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.text)):
+    for r in sorted(drawn.withColumn("nth", nth).where(F.col("nth") <= wanted).collect(), key=lambda r: (r.lang, r.nth)):
         if sum(map(len, parts[r.lang])) < dictionary_bytes:
-            parts[r.lang].append(letters(r.text))
-    # zstandard finds the end of a dictionary most cheaply; order doesn't matter here
+            parts[r.lang].append(letters(r.piece))
     return Profile(tuple((r.lang, b" ".join(parts[r.lang])[:dictionary_bytes]) for r in top if any(parts[r.lang])))
 
 
@@ -103,35 +105,48 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def classified(record_batches, profile: Profile):
+    """(record batch, language, score and rejection of each of its rows), in slices."""
+    classify = None
+    for rb in sliced(record_batches):
+        found: list[tuple] = []
+        for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 8 << 20, caching=classify is not None):
+            classify = classify or Classifier(profile)
+            found += [classify(text) for (text,) in part]
+        yield rb, *(list(zip(*found, strict=True)) or [(), (), ()])
+
+
 def predict(docs: DataFrame, profile: Profile) -> DataFrame:
     """docs with lang_pred, score and rejected; columns of these names in docs are replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(profile)  # at most max_languages * dictionary_bytes
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    shared = docs.sparkSession.sparkContext.broadcast(profile)  # at most max_languages * dictionary_bytes
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
 
     def run(record_batches):
         import pyarrow as pa
 
-        classify = None
-        for rb in sliced(record_batches):
-            classify = classify or Classifier(shared.value)
-            langs, scores, rejected = [], [], []
-            for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 8 << 20):
-                for (text,) in part:
-                    lang, score, no = classify(text)
-                    langs.append(lang)
-                    scores.append(score)
-                    rejected.append(no)
+        for rb, langs, scores, rejected in classified(record_batches, shared.value):
             cols = [rb.column(rb.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
 
-    docs = docs.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + OUT
-    return docs.mapInArrow(run, schema)
+    docs = docs.select(*named(kept))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]))
+
+
+def keep_confident(docs: DataFrame, profile: Profile) -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(profile)
+
+    def run(record_batches):
+        import pyarrow as pa
+
+        for rb, _, _, rejected in classified(record_batches, shared.value):
+            yield rb.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    profile = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    profile = fit(docs.where(~held_out()).select("text", "lang"))
     out = predict(docs.select("doc_id", "text", held_out().alias("held_out")), profile)
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")

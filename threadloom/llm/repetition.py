@@ -5,7 +5,8 @@ documents find n-grams that occur more than once in a text; the rules measure ho
 repeated occurrences (all but an n-gram's first) and in repeated lines. Equal hashes are compared word by word.
 
 Defined cases: null text has no words; base rules fail it as too short; repeated rows are judged each; extra columns are
-left out of the result of ``measure`` and kept by ``keep_good``.
+left out of the result of ``measure`` and kept by ``keep_good``, whatever their names; an empty table gives an empty one; a
+very long text is measured whole by one worker, in memory of some 300 bytes a word.
 """
 
 from __future__ import annotations
@@ -108,31 +109,38 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def bad_shares(counts, line_limit: float, ngram_limits: dict[int, float]):
+    """Whether too much is repeated; counts: name -> column or array."""
+    bad = counts("dup_line_chars") > line_limit * counts("word_chars")
+    for k, limit in ngram_limits.items():
+        bad = bad | (counts(f"dup_{k}gram_chars") > limit * counts("word_chars"))
+    return bad
+
+
+def base_fails(counts):
+    return (counts("n_words") < 10) | (100 * counts("n_repeat_words") > 20 * counts("n_words"))
+
+
 def judged(measured: DataFrame, line_limit: float = LINE_LIMIT, ngram_limits: dict[int, float] = NGRAM_LIMITS) -> DataFrame:
     """Adds base_failed and kept."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    bad = F.col("dup_line_chars") > line_limit * F.col("word_chars")
-    for k, limit in ngram_limits.items():
-        bad = bad | (F.col(f"dup_{k}gram_chars") > limit * F.col("word_chars"))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~bad)
+    return measured.withColumn("base_failed", base_fails(F.col)).withColumn("kept", ~F.col("base_failed") & ~bad_shares(F.col, line_limit, ngram_limits))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns, in one pass."""
+def keep_good(docs: DataFrame, line_limit: float = LINE_LIMIT, ngram_limits: dict[int, float] = NGRAM_LIMITS) -> DataFrame:
+    """The rows of docs that the rules of ``judged`` keep, with all their columns, in one pass."""
 
     def run(record_batches):
         import pyarrow as pa
 
+        caching = False  # what other operators left is released once a task
         for rb in sliced(record_batches):
             table = pa.Table.from_batches([rb])
-            rows = arrow_rows([rb], "text")
-            for part in batches(rows, lambda r: len(r[0] or b""), 4 << 20):
-                m = measure_texts([r[0] for r in part])
-                bad = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"]) | (m["dup_line_chars"] > LINE_LIMIT * m["word_chars"])
-                for k, limit in NGRAM_LIMITS.items():
-                    bad |= m[f"dup_{k}gram_chars"] > limit * m["word_chars"]
+            for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 4 << 20, caching):
+                counts = measure_texts([r[0] for r in part]).__getitem__
+                bad = base_fails(counts) | bad_shares(counts, line_limit, ngram_limits)
                 yield from table.slice(0, len(part)).filter(pa.array(~bad)).to_batches()
                 table = table.slice(len(part))
+            caching = True
 
     return docs.mapInArrow(run, docs.schema)
 

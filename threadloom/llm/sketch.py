@@ -1,7 +1,7 @@
 """Count-min sketches merged by Spark.
 
-Partitions send the cells they touched, slice by slice; a slice is merged by one task, and of the merged sketch one bit a
-cell (count >= at_least) comes back: depth * 2**width_bits / 8 bytes in all, whatever the size of the input.
+Partitions send the cells they touched, slice by slice; a slice is merged by one task as its parts come, so a worker holds
+one slice whatever the input; and of the merged sketch one bit a cell (count >= at_least) comes back: depth * 2**width_bits / 8 bytes in all, whatever the size of the input.
 A count can be too high, never too low.
 """
 
@@ -48,16 +48,23 @@ def merged_sketch(table: DataFrame, keys_of, depth: int, width_bits: int, at_lea
         if n:
             yield from flush()
 
-    def merge(key, slices):
+    def merge(record_batches):
+        """The cells of one slice after another, each merged as its parts come."""
         import pyarrow as pa
 
-        total = np.zeros(1 << inner, np.uint8)
-        for one, two in zip(slices["cells"].to_pylist(), slices["twice"].to_pylist(), strict=True):
-            at = np.frombuffer(one, np.uint32) & np.uint32((1 << inner) - 1)
-            total[at] = np.minimum(total[at] + 1 + np.unpackbits(np.frombuffer(two, np.uint8), count=len(at)), 2)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(total >= at_least).tobytes()], pa.binary())})
-
-    merged = table.mapInArrow(partial, "part int, cells binary, twice binary").groupBy("part").applyInArrow(merge, "part int, bits binary")
+        at, total = None, None
+        for rb in record_batches:
+            for part, one, two in zip(*(rb.column(c).to_pylist() for c in ("part", "cells", "twice")), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= at_least).tobytes()], pa.binary())], names=["part", "bits"])
+                    at, total = part, np.zeros(1 << inner, np.uint8)
+                cell = np.frombuffer(one, np.uint32) & np.uint32((1 << inner) - 1)
+                total[cell] = np.minimum(total[cell] + 1 + np.unpackbits(np.frombuffer(two, np.uint8), count=len(cell)), 2)
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= at_least).tobytes()], pa.binary())], names=["part", "bits"])
+
+    merged = table.mapInArrow(partial, "part int, cells binary, twice binary").repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
     found = {r.part: r.bits for r in merged.collect()}
     empty = bytes((1 << inner) // 8)
     return spark.sparkContext.broadcast([np.frombuffer(b"".join(found.get(row << slice_bits | s, empty) for s in range(1 << slice_bits)), np.uint8) for row in range(depth)])

@@ -12,9 +12,12 @@ doc_id. Three passes over the texts:
    window in a third of all documents sends one entry a batch.
 3. The decided positions join their document's text.
 
-Hashes have 64 bits, built from 64-bit hashes of whole words. Defined cases: null text has no words; a null doc_id counts
-as greater than any other; equal doc_ids never remove each other's words; repeated rows get equal results; an empty table
-gives an empty one.
+Windows are told apart by 128 bits of hashes, built from 64-bit hashes of whole words. Groups are as many as the input is
+large, so that one worker holds a bounded part of the hashes and answers.
+
+Defined cases: null text has no words; a null doc_id counts as greater than any other; equal doc_ids never remove each
+other's words; repeated rows get equal results; an empty table gives an empty one; a very long text is worked on whole by
+one worker; other columns stay as they are, whatever their names, but for those that the report replaces.
 """
 
 from __future__ import annotations
@@ -24,11 +27,16 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import MULTIPLIERS, arrow_rows, batches, hashed_words, mix, shuffle_partitions, sliced, spread, windows
+from .shared import MULTIPLIERS, arrow_rows, batches, fresh, hashed_words, mix, named, shuffle_partitions, sliced, spread, windows
 from .sketch import may_hold, merged_sketch
 
 NO_ID = 2**63 - 1
+#: Columns that remove_repeats adds.
+REPORT = ("n_words", "n_removed", "kept_sha256")
+#: Bytes of text for each group of windows.
+GROUP_BYTES = 32 << 20
 
 
 class BatchWindows:
@@ -50,10 +58,13 @@ class BatchWindows:
         self.k = k
 
     def hashes(self, chosen: np.ndarray) -> np.ndarray:
+        """Two hashes of each chosen window, as columns."""
         at = self.start[chosen]
-        out = np.zeros(len(at), np.uint64)
+        out = np.zeros((len(at), 2), np.uint64)
         for j in range(self.k):
-            out += self.ids[at + j] * MULTIPLIERS[j]
+            ids = self.ids[at + j]
+            out[:, 0] += ids * MULTIPLIERS[j]
+            out[:, 1] += ids * MULTIPLIERS[63 - j]
         return mix(out)
 
     def anchors(self) -> np.ndarray:
@@ -74,11 +85,40 @@ def count_min(docs: DataFrame, k: int, gram: int, depth: int, width_bits: int):
     return merged_sketch(docs.select("text"), anchors, depth, width_bits)
 
 
+def heads(h: np.ndarray) -> np.ndarray:
+    """Where another window begins in sorted rows of hashes."""
+    return np.r_[True, (h[1:] != h[:-1]).any(axis=1)][: len(h)]
+
+
+def bits_of(positions: np.ndarray) -> bytes:
+    """Ascending positions as steps, which compress well."""
+    return np.diff(positions, prepend=np.uint32(0)).astype(np.uint32).tobytes()
+
+
 def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: int) -> DataFrame:
     """(_id, _key, _at): starts of the document's windows that also start in a document of smaller _id, exactly."""
-    n = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // GROUP_BYTES))
     schema = "part int, hashes binary, docs binary, counts binary, positions binary"
 
+    def packed(to, doc, positions, hashes, ids, keys):
+        """Rows of the schema by part, sorted by document and place."""
+        order = np.lexsort((positions, doc, to))
+        to, doc, positions = to[order], doc[order], positions[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ds, counts = np.unique(doc[a:b], return_counts=True)
+            # what is decided already needs no hash and goes to any part
+            open_ = hashes is not None and to[a] >= 0
+            p = int(to[a]) if to[a] >= 0 else int(ids[ds[0]] % n)
+            yield p, hashes[order[a:b]].tobytes() if open_ else b"", np.stack([ids[ds], keys[ds]]).tobytes(), counts.astype(np.uint32).tobytes(), bits_of(positions[a:b])
+
+    def batch_of(rows):
+        import pyarrow as pa
+
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return [pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], ["part", "hashes", "docs", "counts", "positions"]
+
     def find(record_batches):
         import pyarrow as pa
 
@@ -86,70 +126,50 @@ def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: i
         for part in batches(arrow_rows(record_batches, "_id", "_key", "text"), lambda r: len(r[2] or b""), 4 << 20):
             part.sort(key=lambda r: r[0])
             w = BatchWindows([r[2] for r in part], k, gram)
-            if not len(w.start):
-                continue
             chosen = np.flatnonzero(may_hold(bits, w.minimizer, width_bits))
             if not len(chosen):
                 continue
             h, doc, position = w.hashes(chosen), w.doc[chosen], w.position[chosen].astype(np.uint32)
-            row_id = np.array([r[0] for r in part], np.int64)
-            row_key = np.array([r[1] for r in part], np.int64)
-            order = np.lexsort((doc, h))
-            sh, sid = h[order], row_id[doc[order]]
-            head = np.r_[True, sh[1:] != sh[:-1]]
-            least = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
+            row_id, row_key = (np.array([r[i] for r in part], np.int64) for i in (0, 1))
+            order = np.lexsort((doc, h[:, 1], h[:, 0]))
+            sid, head = row_id[doc[order]], heads(h[order])
             here = np.zeros(len(h), bool)
-            here[order] = sid > least
-            to = np.where(here, -1, (h % np.uint64(n)).astype(np.int64))
-            order = np.lexsort((position, doc, to))
-            to, doc, h, position = to[order], doc[order], h[order], position[order]
-            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                ds, counts = np.unique(doc[a:b], return_counts=True)
-                # what is decided here needs no hash and goes to any partition
-                p = int(to[a]) if to[a] >= 0 else int(row_id[ds[0]] % n)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[a:b] if to[a] >= 0 else h[:0], np.stack([row_id[ds], row_key[ds]]), counts.astype(np.uint32), position[a:b]))], names=["part", "hashes", "docs", "counts", "positions"])
+            here[order] = sid > sid[np.flatnonzero(head)][np.cumsum(head) - 1]
+            to = np.where(here, -1, (h[:, 0] % np.uint64(n)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(*batch_of(packed(to, doc, position, h, row_id, row_key)))
 
     def unpack(table):
-        """Documents (ids, keys), the document of each position, the positions, and the hashes that came with them."""
-        docs, doc, positions, hashes, at = [], [], [], [], 0
+        """Documents (ids, keys), the document of each position, the positions, whether each is open, and the hashes of these."""
+        docs, doc, positions, open_, hashes, at = [], [], [], [], [], 0
         for h, d, c, p in zip(*(table[x].to_pylist() for x in ("hashes", "docs", "counts", "positions")), strict=True):
             docs.append(np.frombuffer(d, np.int64).reshape(2, -1))
             doc.append(spread(np.frombuffer(c, np.uint32)) + at)
-            positions.append(np.frombuffer(p, np.uint32))
-            hashes.append(np.frombuffer(h, np.uint64))
+            positions.append(np.cumsum(np.frombuffer(p, np.uint32), dtype=np.uint32))
+            open_.append(np.full(len(positions[-1]), bool(h)))
+            hashes.append(np.frombuffer(h, np.uint64).reshape(-1, 2))
             at += docs[-1].shape[1]
-        return np.concatenate(docs, axis=1), np.concatenate(doc), np.concatenate(positions), hashes
+        return np.concatenate(docs, axis=1), np.concatenate(doc), np.concatenate(positions), np.concatenate(open_), np.concatenate(hashes)
 
     def decide(table):
-        """Exact groups by window hash. What is decided goes on by buckets of documents, packed."""
+        """Exact groups by window. What is decided goes on by buckets of documents, packed."""
         import pyarrow as pa
 
-        (ids, keys), doc, positions, hashes = unpack(table)
-        open_ = np.concatenate([np.full(len(p), bool(len(h))) for h, p in zip(hashes, (np.frombuffer(x, np.uint32) for x in table["positions"].to_pylist()), strict=True)])
-        h, at = np.concatenate(hashes), np.flatnonzero(open_)
-        order = np.lexsort((ids[doc[at]], h))
-        sh, sid = h[order], ids[doc[at[order]]]
-        head = np.r_[True, sh[1:] != sh[:-1]][: len(sh)]
+        (ids, keys), doc, positions, open_, h = unpack(table)
+        at = np.flatnonzero(open_)
+        order = np.lexsort((ids[doc[at]], h[:, 1], h[:, 0]))
+        sid, head = ids[doc[at[order]]], heads(h[order])
         least = sid[np.flatnonzero(head)][np.cumsum(head) - 1]
         gone = np.r_[np.flatnonzero(~open_), at[order[sid > least]]]
         doc, positions = doc[gone], positions[gone]
         to = (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)[doc]
-        order = np.lexsort((positions, doc, to))
-        to, doc, positions = to[order], doc[order], positions[order]
-        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
-        rows = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            ds, counts = np.unique(doc[a:b], return_counts=True)
-            rows.append((int(to[a]), b"", np.stack([ids[ds], keys[ds]]).tobytes(), counts.astype(np.uint32).tobytes(), positions[a:b].tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(cols)], names=["part", "hashes", "docs", "counts", "positions"])
+        arrays, names = batch_of(packed(to, doc, positions, None, ids, keys))
+        return pa.table(arrays, names=names)
 
     def gather(table):
         """One row for each document of a bucket."""
         import pyarrow as pa
 
-        (ids, keys), doc, positions, _ = unpack(table)
+        (ids, keys), doc, positions, _, _ = unpack(table)
         order = np.lexsort((keys[doc], ids[doc]))
         i, k, positions = ids[doc[order]], keys[doc[order]], positions[order]
         cuts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1]), True]) if len(i) else np.zeros(1, np.int64)
@@ -159,23 +179,26 @@ def repeated_positions(docs: DataFrame, k: int, gram: int, sketch, width_bits: i
     return found.groupBy("part").applyInArrow(decide, schema).groupBy("part").applyInArrow(gather, "_id long, _key long, _at binary")
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2, width_bits: int = 27) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2, width_bits: int = 27, report: tuple[str, ...] = REPORT) -> DataFrame:
     """docs(doc_id, text, ...) with text replaced by the kept words, joined by one space, where any word goes.
 
-    Adds n_words, n_removed (long) and kept_sha256 (of the kept words joined by one space).
+    Adds the columns that report names: number of words and of removed words (long), sha256 of the kept words joined by one space.
     """
-    kept = [c for c in docs.columns if c not in ("_id", "_key", "_at", "n_words", "n_removed", "kept_sha256")]
-    keyed = docs.select(*kept, F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_key"))
+    taken = {c.lower() for c in report}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    id_, key, at_ = fresh(docs.columns, "_id", "_key", "_at")
+    keyed = docs.select(*named(kept), F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.xxhash64("text").alias(key))
     sketch = count_min(docs, k, gram, depth, width_bits)
-    at = repeated_positions(keyed, k, gram, sketch, width_bits)
-    schema = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
+    at = repeated_positions(keyed.select(F.col(id_).alias("_id"), F.col(key).alias("_key"), "text"), k, gram, sketch, width_bits).toDF(id_, key, at_)
+    kinds = (LongType(), LongType(), StringType())
+    schema = StructType([*keyed.select(*named(kept)).schema.fields, *(StructField(n, t) for n, t in zip(report, kinds, strict=True))])
 
     def cut(record_batches):
         import pyarrow as pa
 
         for rb in sliced(record_batches):
             texts, n_words, n_removed, digests = [], [], [], []
-            for text, at in arrow_rows([rb], "text", "_at"):
+            for text, at in arrow_rows([rb], "text", at_):
                 words = (text or b"").split()
                 n_words.append(len(words))
                 if at:
@@ -192,9 +215,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
                 texts.append(text)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             cols = [pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string()) if c == "text" else rb.column(rb.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=[*kept, "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=[*kept, *report])
 
-    return keyed.join(at, ["_id", "_key"], "left").select(*kept, "_at").mapInArrow(cut, schema)
+    return keyed.join(at, [id_, key], "left").select(*named([*kept, at_])).mapInArrow(cut, schema)
 
 
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

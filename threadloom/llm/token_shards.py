@@ -1,11 +1,13 @@
 """Token-id shards: blocks of ids transposed into bit or byte planes, each plane compressed by zstandard, with a chunk index.
 
-A shard holds the documents of one range of doc_id in ascending order (null doc_ids first, ties by text).
+A shard holds the documents of one range of doc_id in ascending order (null doc_ids first, ties by the text's first 64
+characters and then in any order, so that many rows with one doc_id, or none, can go to several shards).
 Layout: MAGIC, then for each block its compressed planes one after another, then the footer, then the footer's length
 (8 bytes, little-endian) and MAGIC again. Footer (zstandard): a JSON header with width, planes, block size and counts, then
 the chunk index (int64: offset of each block and length of each plane) and the document index (doc_id, null flag, ids).
 
-Defined cases: a null or empty text has only the end id; repeated rows are kept; an empty table gives no shards.
+Defined cases: a null or empty text has only the end id; repeated rows are kept; an empty table gives no shards; a very long
+text is encoded whole by one worker; other columns are left out, whatever their names.
 A task names its file by its attempt, and only the files that the manifest lists count, so lost and repeated tasks do no harm.
 """
 
@@ -15,13 +17,14 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import arrow_rows, batches, new_path, written
+from .shared import arrow_rows, batches, new_path, shuffle_partitions, written
 
 MAGIC = b"TPLANES1"
 MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -54,11 +57,12 @@ class ShardWriter:
         self.out, self.width, self.bits, self.block = out, width, bits, block
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.held, self.n_held, self.at = [], 0, len(MAGIC)
-        self.chunks, self.docs, self.n_tokens = [], [], 0
+        self.chunks, self.n_tokens = [], 0
+        self.docs = array("q")  # of each document: doc_id, null flag, ids
         out.write(MAGIC)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, len(ids)))
+        self.docs.extend((doc_id or 0, doc_id is None, len(ids)))
         self.n_tokens += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -79,9 +83,9 @@ class ShardWriter:
     def close(self) -> int:
         if self.n_held:
             self._chunk(np.concatenate(self.held))
-        head = json.dumps({"width": self.width, "bits": self.bits, "block": self.block, "chunks": len(self.chunks), "docs": len(self.docs), "tokens": self.n_tokens}).encode()
-        ids, null, counts = zip(*self.docs, strict=True) if self.docs else ((), (), ())
-        body = struct.pack("<q", len(head)) + head + b"".join(np.array(x, "<i8").tobytes() for x in (self.chunks, ids, null, counts))
+        head = json.dumps({"width": self.width, "bits": self.bits, "block": self.block, "chunks": len(self.chunks), "docs": len(self.docs) // 3, "tokens": self.n_tokens}).encode()
+        docs = np.frombuffer(self.docs, np.int64).reshape(-1, 3).T if self.docs else np.empty((3, 0), np.int64)
+        body = struct.pack("<q", len(head)) + head + np.array(self.chunks, "<i8").tobytes() + docs.astype("<i8").tobytes()
         footer = self.compress(body)
         self.out.write(footer + struct.pack("<q", len(footer)) + MAGIC)
         self.out.close()
@@ -135,12 +139,20 @@ class ShardReader:
             start += n
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str = "whole", end_id: int | None = 2, shards: int | None = None, bits: bool = False, block: int = 1 << 16, level: int = 3) -> DataFrame:
-    """Writes the ids of docs(doc_id, text) to shards under folder (any URI that pyarrow's file systems open).
+def opened(uri: str) -> str:
+    """The URI by which pyarrow knows a store."""
+    return "s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri
 
-    Returns the manifest, itself written there: one row per shard, in doc_id order. mode: see encoding.py.
+
+def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str = "whole", end_id: int | None = 2, shards: int | None = None, shard_bytes: int = 1 << 30, bits: bool = False, block: int = 1 << 16, level: int = 3) -> DataFrame:
+    """Writes the ids of docs(doc_id, text) to shards under folder (a URI that pyarrow's file systems open; s3a counts as s3).
+
+    Returns the manifest, itself written there: one row per shard, in doc_id order. mode: see encoding.py. shards: as many as
+    there are shuffle partitions, or more where one would hold over shard_bytes of text.
     """
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
 
     def write(record_batches):
         import pyarrow as pa
@@ -153,7 +165,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str =
             if writer is None:
                 encode = encoder(tokenizer, mode)
                 width = max(encode.type.itemsize, 4 if (end_id or 0) >= 1 << 16 else 2)
-                store, base = pafs.FileSystem.from_uri(folder)
+                store, base = pafs.FileSystem.from_uri(opened(folder))
                 shard = TaskContext.get().partitionId()
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tpl"
                 store.create_dir(base, recursive=True)
@@ -163,9 +175,10 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, mode: str =
                 writer.add(doc_id, np.concatenate([ids, np.array(tail, f"<u{width}")]))
         if writer is not None:
             size = writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "file": f"{folder}/{name}", "n_docs": len(writer.docs), "n_tokens": writer.n_tokens, "n_bytes": size}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "file": f"{folder}/{name}", "n_docs": len(writer.docs) // 3, "n_tokens": writer.n_tokens, "n_bytes": size}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.substring("text", 1, 64)
+    ranged = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", tie, F.monotonically_increasing_id()).sortWithinPartitions("doc_id", tie)
     return written(ranged.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -181,7 +194,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
         for rb in record_batches:
             for row in rb.to_pylist():
-                store, path = pafs.FileSystem.from_uri(row["file"])
+                store, path = pafs.FileSystem.from_uri(opened(row["file"]))
                 with store.open_input_file(path) as source:
                     for part in batches(ShardReader(source).documents(), lambda d: 1 + sum(map(len, d[2])), 1 << 20):
                         out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
