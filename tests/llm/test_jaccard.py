@@ -5,7 +5,9 @@ import re
 import numpy as np
 import pytest
 
-from threadloom.llm.jaccard import bit_width, by_set, connected, one_of_each, op5_signature_tree_jaccard, signature, similar_components, tree_join
+from pyspark.sql import functions as F
+
+from threadloom.llm.jaccard import bit_width, by_bitmap, by_set, connected, dealt_blocks, group_links, one_of_each, op5_signature_tree_jaccard, signature, similar_components, tree_join, with_first
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -83,6 +85,45 @@ def test_one_row_of_each_component_stays(spark):
     assert got.columns == docs.columns
 
 
+def test_rows_without_id_and_unlike_rows_of_one_id_stay(spark):
+    rows = [(None, "no id a b c d e", 1), (None, "no id v w x y z", 2), (None, "no id a b c d e", 3), (7, "seven one two three four", 4), (7, "quite another text of that id", 5), (8, "quite another text of that id", 6), (9, "", 7), (9, "", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key long").withColumn("_id", F.lit("x")).withColumn("key", F.lit("y"))
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r._key for r in got.collect()))
+    assert kept[0] in (1, 3) and kept[1:] == [2, 4, 5, 7, 8, 9] if kept[0] == 1 else kept == [2, 3, 4, 5, 7, 8, 9]
+    assert {(r._id, r.key) for r in got.collect()} == {("x", "y")}
+
+
+def test_a_very_long_text_and_its_copies(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, text_with(rng, long, 2000)), (3, " ".join(reversed(long))), (4, "short one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_a_large_bucket_is_dealt_in_proportion_to_its_size(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = []
+    for i in range(1000):
+        s = base.copy()
+        s[i % 200] = rng.integers(0, 2**63, dtype=np.uint64)
+        sets.append(np.unique(s))
+    rows = [(1, i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    schema = "bucket long, node long, n long, payload binary"
+    for n in (500, 1000):
+        dealt = dealt_blocks(spark.createDataFrame(rows[:n], schema), 100, 1 << 30)
+        assert with_first(dealt).count() < 2.5 * n
+    members = spark.createDataFrame(rows, schema)
+    assert dealt_blocks(members, 1 << 20, 200 * 1600).select("blocks").first()[0] == 5
+    found = group_links(members, by_set(80, 100), 80, 100, 100)
+    assert {r.label for r in connected(found).collect()} == {0}
+    maps = spark.createDataFrame([(1, i, len(s), bytearray(signature(s).tobytes())) for i, s in enumerate(sets)], schema)
+    assert {r.label for r in connected(group_links(maps, by_bitmap, 80, 100, 100)).collect()} == {0}
+
+
 def test_op5_against_all_pairs(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = op5_signature_tree_jaccard(spark, sf_dir)

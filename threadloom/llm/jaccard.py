@@ -5,13 +5,14 @@
    shingles that only one set has, as a merged count-min sketch of part of all shingles can tell for sure; then by hash;
    last, those that are frequent in a bounded sample. Sketch and sample decide speed, not results. Lone shingles need no
    partner, so unlike documents hardly send anything. The others are counted exactly. Nodes that share a shingle form a
-   bucket; buckets with the same members are one. A large bucket is dealt in pairs of blocks.
-3. In a bucket, or pair of blocks, a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed against
+   bucket; buckets with the same members are one.
+3. In a bucket a signature tree (nodes with OR-combined bitmaps and size ranges) is traversed against
    itself; pairs of tree nodes go when even the largest possible overlap is too small. What stays may be alike; a spanning
    forest of it is enough. Its components are the clusters.
 4. In a cluster, sets meet each other: the same tree, now with exact intersections, and union-find, which spares pairs
-   already connected. A large cluster is dealt in blocks: each with the first block, and only if several components are
-   left, all members of the smaller ones with every block.
+   already connected.
+Large buckets and clusters are dealt in blocks, by number and by bytes: each block by itself and with the first block, and
+only if several components are left, all members of the smaller ones with every block.
 
 So no task holds more than two blocks, and a group of many near copies costs about its size, not its square.
 Shingle hashes have 64 bits and sets are told apart by 128 bits.
@@ -239,8 +240,8 @@ def document_sets(docs: DataFrame, k: int, num: int, den: int, sample_docs: int,
     return written(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def buckets(nodes: DataFrame, block: int) -> DataFrame:
-    """Members of the distinct buckets of two or more nodes: bucket, i, j (blocks), side, node."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Members of the distinct buckets of two or more nodes: bucket, node."""
 
     def tokens_of(record_batches):
         import pyarrow as pa
@@ -253,13 +254,8 @@ def buckets(nodes: DataFrame, block: int) -> DataFrame:
     postings = written(nodes.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(tokens_of, "token long, node long"), "jaccard-postings")
     counted = postings.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("members > 1")
     # buckets with the same members (told by 128 bits of commutative hashes) are looked at once
-    distinct = counted.groupBy("members", "h1", "h2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    found = postings.join(distinct, "token").withColumnRenamed("token", "bucket")
-    b = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = found.withColumn("b", b).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = F.col("blocks") == 1
-    side = F.when(one | (F.col("b") == F.col("other")), 0).when(F.col("b") < F.col("other"), 1).otherwise(2)
-    return dealt.select("bucket", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), side.alias("side"), "node")
+    distinct = counted.groupBy("members", "h1", "h2").agg(F.min("token").alias("token")).select("token")
+    return postings.join(distinct, "token").withColumnRenamed("token", "bucket")
 
 
 def joined_units(members: DataFrame, payload: str, make, num: int, den: int) -> DataFrame:
@@ -341,11 +337,10 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = document_sets(docs, k, num, den, sample_docs, most_bits)
     classes = written(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "jaccard-classes")
     nodes = written(rows.select("row", "doc_id", "key", "n", "bitmap", "prefix").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "jaccard-nodes")
-    members = buckets(nodes, 2 * block).join(nodes.select("node", "n", "bitmap"), "node")
-    maybe = written(joined_units(members, "bitmap", by_bitmap, num, den), "jaccard-candidates")
+    members = written(buckets(nodes).join(nodes.select("node", "n", F.col("bitmap").alias("payload")), "node"), "jaccard-buckets")
+    maybe = written(group_links(members, by_bitmap, num, den, 2 * block), "jaccard-candidates")
     clusters = written(connected(maybe).withColumnRenamed("label", "bucket"), "jaccard-clusters")
-    sets = cluster_sets(docs, k, nodes, clusters)
-    links = cluster_links(sets, num, den, block)
+    links = group_links(cluster_sets(docs, k, nodes, clusters), by_set(num, den), num, den, block)
     labels = connected(links)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("digest", "component_id", F.col("label").alias("component"))
@@ -354,7 +349,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def cluster_sets(docs: DataFrame, k: int, nodes: DataFrame, clusters: DataFrame, width_bits: int = 24) -> DataFrame:
-    """Written: bucket (the cluster), node, n and the whole set of each node of a cluster, from the texts again."""
+    """Written: bucket (the cluster), node, n and payload, the whole set of each node of a cluster, from the texts again."""
     wanted = written(clusters.join(nodes.select("node", "doc_id", "key"), "node").select("bucket", "node", F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "jaccard-wanted")
 
     def keys(record_batches):
@@ -376,31 +371,43 @@ def cluster_sets(docs: DataFrame, k: int, nodes: DataFrame, clusters: DataFrame,
     found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text").mapInArrow(run, "_id long, _key long, n long, tokens binary")
     same = (found["_key"] == wanted["_key"]) & found["_id"].eqNullSafe(wanted["_id"])
     # of equal rows, one is enough
-    return written(found.join(wanted, same).select("bucket", "node", "n", "tokens").dropDuplicates(["node"]), "jaccard-cluster-sets")
-
-
-def cluster_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """A spanning forest of the exact links within each cluster."""
-    sizes = sets.groupBy("bucket").agg(F.count("*").alias("members"))
-    dealt = sets.join(sizes.select("bucket", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "bucket").withColumn("b", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
-    # each block by itself and with the first
-    with_first = F.when((F.col("b") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("b"))
-    first = dealt.withColumn("j", F.explode(with_first)).select("bucket", F.lit(0).alias("i"), "j", F.lit(0).alias("side"), "node", "n", "tokens")
-    links = written(joined_units(first, "tokens", by_set(num, den), num, den), "jaccard-links")
-    large = sizes.where(F.col("members") > block)
+    return written(found.join(wanted, same).select("bucket", "node", "n", F.col("tokens").alias("payload")).dropDuplicates(["node"]), "jaccard-cluster-sets")
+
+
+def dealt_blocks(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """members(bucket, node, n, payload) with blocks (of the bucket) and b, the node's: by number and by bytes."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(F.octet_length("payload")) / block_bytes)).cast("int").alias("blocks"))
+    return members.join(sizes, "bucket").withColumn("b", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int"))
+
+
+def with_first(dealt: DataFrame) -> DataFrame:
+    """Units of each block by itself and with the first: about two rows for each member, and the first block for each block."""
+    to = F.when((F.col("b") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("b"))
+    return dealt.withColumn("j", F.explode(to)).select("bucket", F.lit(0).alias("i"), "j", F.lit(0).alias("side"), "node", "n", "payload")
+
+
+def group_links(members: DataFrame, make, num: int, den: int, block: int, block_bytes: int = 64 << 20) -> DataFrame:
+    """A spanning forest of the links within the groups of members(bucket, node, n, payload), a written table.
+
+    Large groups: each block by itself and with the first; then what is not in a group's greatest component by now meets
+    every block. So a group whose members are alike costs about its size.
+    """
+    dealt = dealt_blocks(members, block, block_bytes)
+    links = written(joined_units(with_first(dealt), "payload", make, num, den), "jaccard-links")
+    large = written(dealt.where("blocks > 1").select("bucket", "node", "blocks", "b"), "jaccard-large")
     if not large.take(1):
         return links
-    # members outside a large cluster's greatest component meet every block
     names = written(connected(links), "jaccard-names")
-    parts = dealt.where("blocks > 1").join(names, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("tokens")
+    parts = written(large.join(names, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-parts")
     count = parts.groupBy("bucket", "label").agg(F.count("*").alias("members"))
     greatest = count.groupBy("bucket").agg(F.max(F.struct("members", F.col("label"))).alias("most")).select("bucket", F.col("most.label").alias("greatest"))
     rest = parts.join(greatest, "bucket").where(F.col("label") != F.col("greatest"))
-    n_rest = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
+    # as many parts of the rest as its share of the blocks
+    n_rest = rest.groupBy("bucket").agg(F.count("*").alias("left"), F.first("blocks").alias("blocks")).join(parts.groupBy("bucket").agg(F.count("*").alias("all")), "bucket").select("bucket", F.ceil(F.col("blocks") * F.col("left") / F.col("all")).cast("int").alias("rests"))
     left = rest.join(n_rest, "bucket").withColumn("i", F.pmod(F.xxhash64("node", F.lit(13)), F.col("rests")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", "i", "j", F.lit(1).alias("side"), "node")
-    right = dealt.where("blocks > 1").join(n_rest, "bucket").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("bucket", "i", F.col("b").alias("j"), F.lit(2).alias("side"), "node")
-    units = left.unionByName(right).join(sets.select("node", "n", "tokens"), "node")
-    return links.unionByName(written(joined_units(units, "tokens", by_set(num, den), num, den), "jaccard-links"))
+    right = parts.join(n_rest, "bucket").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("bucket", "i", F.col("b").alias("j"), F.lit(2).alias("side"), "node")
+    units = left.unionByName(right).join(members.select("bucket", "node", "n", "payload"), ["bucket", "node"])
+    return links.unionByName(written(joined_units(units, "payload", make, num, den), "jaccard-links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
