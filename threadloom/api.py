@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import coupling, index, lookup, search, traverse
 from .schema import Graph
 from .sources import git
+from .sources.paths import relative_path
 from .sources.scan import indexed, scan_tree
 from .sources.slices import slice_lines
 
@@ -26,9 +27,16 @@ class CodeIndex:
     def open(cls, spark: SparkSession, folder: str, root: str | None = None) -> CodeIndex:
         return cls(index.current(spark, folder), root)
 
-    def reindex(self) -> CodeIndex:
-        """After changes below root: only what changed is read again."""
-        return CodeIndex(index.update_index(self.graph, scan_tree(self.spark, self.root).where(indexed(F.col("path")))), self.root)
+    def reindex(self, files: list[str] | None = None) -> CodeIndex:
+        """After changes below root: only what changed is read again, or only the files given (relative paths)."""
+        listed = scan_tree(self.spark, self.root).where(indexed(F.col("path")))
+        if files is None:
+            return CodeIndex(index.update_index(self.graph, listed), self.root)
+        return CodeIndex(index.update_files(self.graph, listed, [relative_path(f) for f in files]), self.root)
+
+    def counters(self, before: CodeIndex | None = None) -> DataFrame:
+        """What an indexing run did; before: the index that it updated."""
+        return index.run_counters(scan_tree(self.spark, self.root), self.graph, None if before is None else before.graph.sources)
 
     def _churn(self, wanted: bool, days: int) -> DataFrame | None:
         if self.graph.churn is not None:

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import NODES, REFS, Graph
 from ..sources.extract import code_lines, generated, references, symbols, is_test_path
 from ..sources.manifest import manifest_symbols
+from ..sources.scan import indexed
 from .changes import changed_files
 from .resolve import resolve_references
+from .search import semantic_index
 from .traverse import checkpointed
 
-#: Symbols that a file has room for in the numbering.
-ROOM = 1 << 20
+#: What a version holds.
+TABLES = ("nodes", "edges", "refs", "sources", "postings", "totals")
+#: Symbols, references and edges that a file has room for in the numbering each.
+ROOM = 1 << 24
+
+
+def _roomy(place: Column) -> Column:
+    return F.when(place < ROOM, place).otherwise(F.raise_error(F.lit(f"a file has {ROOM} symbols, references or edges, or more")))
 
 
 def numbered_files(files: DataFrame, first: int = 0) -> DataFrame:
@@ -37,35 +46,70 @@ def extract_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     both = found.unionByName(made, allowMissingColumns=True).fillna(False, ["is_async", "is_static", "is_test", "is_exported"])
     head = files.select("path", "seq", F.col("language").alias("file_language"), generated(F.col("path"), F.col("content")).alias("is_generated"), F.size(F.split("content", "\n")).alias("n_lines"), is_test_path(F.col("path")).alias("in_tests"))
     order = Window.partitionBy("path").orderBy("start_line", "start_column", "kind", "name")
-    numbered = both.withColumn("ordinal", F.row_number().over(order)).join(head, "path").withColumn("id", F.col("seq") * ROOM + F.col("ordinal"))
+    numbered = both.withColumn("ordinal", F.row_number().over(order)).join(head, "path").withColumn("id", F.col("seq") * ROOM + _roomy(F.col("ordinal")))
     numbered = checkpointed(numbered)
-    # the innermost symbol around each, and all of them for the qualified name
-    outer = numbered.where(~F.col("kind").isin("import", "constant")).select("path", F.col("id").alias("outer_id"), F.col("name").alias("outer_name"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = numbered.select("path", "id", "start_line", "end_line").join(outer, "path").where((F.col("s") <= F.col("start_line")) & (F.col("end_line") <= F.col("e")) & (F.col("outer_id") != F.col("id")) & ((F.col("s") < F.col("start_line")) | (F.col("e") > F.col("end_line"))))
-    around = inside.groupBy("id").agg(F.max(F.struct("s", "outer_id")).alias("inner"), F.array_sort(F.collect_list(F.struct("s", "outer_id", "outer_name"))).alias("names"))
-    placed = numbered.join(around, "id", "left")
-    qualified = F.array_join(F.concat(F.coalesce(F.transform("names", lambda x: x["outer_name"]), F.array().cast("array<string>")), F.array("name")), "::")
+    refs = references(lines)
+    found = checkpointed(nested(numbered, refs))
+    placed = numbered.join(found.where("id IS NOT NULL").select("id", "outer", "qualified_name"), "id")
     lang = F.coalesce("language", "file_language").alias("language")
-    nodes = placed.select("id", "kind", "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), "start_line", "end_line", F.coalesce("start_column", F.lit(0)).alias("start_column"), F.lit(0).alias("end_column"), "signature", "visibility", "docstring", "is_async", "is_static", "is_exported", "is_test", "is_generated", lang)
+    nodes = placed.select("id", "kind", "name", "qualified_name", F.col("path").alias("file_path"), "start_line", "end_line", F.coalesce("start_column", F.lit(0)).alias("start_column"), F.lit(0).alias("end_column"), "signature", "visibility", "docstring", "is_async", "is_static", "is_exported", "is_test", "is_generated", lang)
     file_nodes = head.select((F.col("seq") * ROOM).alias("id"), F.lit("file").alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.col("path").alias("file_path"), F.lit(0).alias("start_line"), F.col("n_lines").alias("end_line"), F.lit(0).alias("start_column"), F.lit(0).alias("end_column"), F.lit(None).cast("string").alias("signature"), F.lit("public").alias("visibility"), F.lit(None).cast("string").alias("docstring"), false.alias("is_async"), false.alias("is_static"), false.alias("is_exported"), F.col("in_tests").alias("is_test"), "is_generated", F.col("file_language").alias("language"))
-    contains = placed.select(F.coalesce(F.col("inner.outer_id"), F.col("seq") * ROOM).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), F.col("path").alias("file_path"), F.col("start_line").alias("line"), F.lit(0).alias("column"), F.lit(None).cast("string").alias("detail"))
-    refs = references(lines)
-    sites = refs.where("kind <> 'imports'").join(outer.select("path", "outer_id", "s", "e"), "path").where((F.col("s") <= F.col("line")) & (F.col("line") <= F.col("e"))).select(F.col("outer_id").alias("source_node_id"), "reference_name", "kind", F.col("path").alias("file_path"), "line", "detail")
-    once = sites.where("kind <> 'calls'").groupBy("source_node_id", "reference_name", "kind", "file_path").agg(F.min("line").alias("line"), F.min("detail").alias("detail"))
-    imports = refs.where("kind = 'imports'").join(head.select("path", "seq"), "path").select((F.col("seq") * ROOM).alias("source_node_id"), "reference_name", "kind", F.col("path").alias("file_path"), "line", "detail").distinct()
+    contains = placed.select(F.coalesce(F.col("outer"), F.col("seq") * ROOM).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), F.col("path").alias("file_path"), F.col("start_line").alias("line"), F.lit(0).alias("column"), F.lit(None).cast("string").alias("detail"))
+    sites = found.where("id IS NULL").join(head.select("path", "seq"), "path").select(F.coalesce("outer", F.col("seq") * ROOM).alias("source_node_id"), "reference_name", "kind", F.col("path").alias("file_path"), "line", "detail")
+    once = sites.where(~F.col("kind").isin("calls", "imports")).groupBy("source_node_id", "reference_name", "kind", "file_path").agg(F.min("line").alias("line"), F.min("detail").alias("detail"))
+    imports = sites.where("kind = 'imports'").distinct()
     all_refs = sites.where("kind = 'calls'").unionByName(once).unionByName(imports).withColumn("column", F.lit(0))
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "kind", "reference_name", "source_node_id"))
-    all_refs = all_refs.join(head.select(F.col("path").alias("file_path"), "seq"), "file_path").withColumn("id", F.col("seq") * ROOM + nth)
+    all_refs = all_refs.join(head.select(F.col("path").alias("file_path"), "seq"), "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth))
     return file_nodes.unionByName(nodes), contains, all_refs.select([c.split()[0] for c in REFS.split(", ")])
 
 
+def nested(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each symbol (id) the innermost one around it and its qualified name; for each reference one row by symbol around it.
+
+    An import belongs to the innermost symbol or to the file (outer is null). One pass in line order over the files of a
+    partition, with the open symbols on a stack.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    opens = found.select("path", F.col("start_line").alias("line"), "end_line", "ordinal", "id", "name", F.when(F.col("kind") == "import", 0).when(F.col("kind").isin("field", "enum_member", "constant", "type_alias") & (F.col("start_line") == F.col("end_line")), 1).otherwise(2).alias("holds"), none("string").alias("reference_name"), none("string").alias("kind"), none("string").alias("detail"))
+    asks = refs.select("path", "line", none("int").alias("end_line"), none("int").alias("ordinal"), none("long").alias("id"), none("string").alias("name"), F.lit(0).alias("holds"), "reference_name", "kind", "detail")
+    rows = opens.unionByName(asks).repartition("path").sortWithinPartitions("path", "line", F.desc_nulls_last("end_line"), "ordinal")
+
+    def walk(record_batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("id", pa.int64()), ("outer", pa.int64()), ("qualified_name", pa.string()), ("reference_name", pa.string()), ("kind", pa.string()), ("detail", pa.string())])
+        here, stack = None, []  # of (last line, id, name, first line, holds)
+        for rb in record_batches:
+            out = []
+            for path, line, end, _, id_, name, holds, reference, kind, detail in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if path != here:
+                    here, stack = path, []
+                while stack and stack[-1][0] < line:
+                    stack.pop()
+                around = [x for x in stack if x[0] >= (line if end is None else end)]
+                if id_ is not None:
+                    around = [x for x in around if x[4] == 2]  # a member on the same line holds references alone
+                    out.append((path, line, id_, around[-1][1] if around else None, "::".join([*(x[2] for x in around), name]), None, None, None))
+                    if holds:
+                        stack.append((end, id_, name, line, holds))
+                elif kind == "imports":
+                    out.append((path, line, None, around[-1][1] if around else None, None, reference, kind, detail))
+                elif not (kind == "calls" and around and around[-1][2:4] == (reference, line)):  # a declaration without a keyword looks like a call
+                    out += [(path, line, None, x[1], None, reference, kind, detail) for x in around]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(walk, "path string, line int, id long, outer long, qualified_name string, reference_name string, kind string, detail string")
+
+
 def with_resolved(nodes: DataFrame, contains: DataFrame, refs: DataFrame, sources: DataFrame | None = None) -> Graph:
     """The graph of these tables: contained and resolved edges, numbered by the file they stand in."""
     g = Graph(nodes, contains, refs, sources)
     edges = contains.unionByName(resolve_references(g).drop("ref_id"))
     seq = nodes.where("kind = 'file'").select("file_path", (F.col("id") / ROOM).cast("long").alias("seq"))
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "kind", "source_id", "target_id"))
-    edges = edges.join(seq, "file_path").withColumn("id", F.col("seq") * ROOM + nth).drop("seq")
+    edges = edges.join(seq, "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth)).drop("seq")
     return Graph(nodes.select([c.split()[0] for c in NODES.split(", ")]), edges, refs, sources)
 
 
@@ -98,43 +142,109 @@ def update_index(g: Graph, files: DataFrame) -> Graph:
     return with_resolved(checkpointed(stay(g.nodes).select(columns).unionByName(nodes.select(columns))), checkpointed(stay(kept).unionByName(contains)), checkpointed(stay(g.refs).unionByName(refs)), sources)
 
 
+def update_files(g: Graph, listed: DataFrame, paths: list[str]) -> Graph:
+    """The graph after these files alone are read again from a listing; those that are gone leave it."""
+    given = g.nodes.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+    known = g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "language")
+    columns = ["path", "content", "content_hash", "language"]
+    others = g.sources.join(given, "path", "left_anti").join(known, "path").select(columns)
+    # the hash of what stays is that of the index, and of the given files that of the listing or none
+    stale = replace(g, sources=others.select("path", "content", "content_hash").unionByName(g.sources.join(given, "path", "left_semi").select("path", "content", F.lit("").alias("content_hash"))))
+    return update_index(stale, others.unionByName(listed.join(given, "path", "left_semi").select(columns)))
+
+
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a URI."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files that name a version, oldest first."""
+    store, at = _store(spark, folder)
+    if not store.exists(at):
+        return []
+    return sorted(n for s in store.listStatus(at) if (n := s.getPath().getName()).startswith("current-"))
+
+
+def published(spark: SparkSession, folder: str) -> str | None:
+    """The current version's name; none before the first was published."""
+    found = _pointers(spark, folder)
+    return spark.read.text(f"{folder}/{found[-1]}").first()[0] if found else None
+
+
 def publish(g: Graph, folder: str) -> str:
-    """Writes the tables to a new version below folder and then makes it the current one; readers of older ones go on."""
+    """Writes the tables, and the semantic index, to a new version below folder and then makes it the current one.
+
+    The pointer to it is a new file that appears by one renaming, so there is a current version at any time.
+    """
     spark = g.nodes.sparkSession
     version = f"v-{uuid.uuid4().hex}"
-    for name in ("nodes", "edges", "refs", "sources"):
+    postings, totals = semantic_index(g)
+    g = replace(g, postings=postings.repartitionByRange("token").sortWithinPartitions("token", "id"), totals=totals)
+    for name in TABLES:
         table = getattr(g, name)
         if table is not None:
             table.write.parquet(f"{folder}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{folder}/CURRENT")
+    before = _pointers(spark, folder)
+    number = int(before[-1].split("-")[1]) + 1 if before else 0
+    store, new = _store(spark, f"{folder}/.{version}")
+    out = store.create(new)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if not store.rename(new, _store(spark, f"{folder}/current-{number:012d}-{version}")[1]):
+        raise OSError(f"the pointer to {version} could not be written")
     return version
 
 
 def current(spark: SparkSession, folder: str) -> Graph:
-    version = spark.read.text(f"{folder}/CURRENT").first()[0]
+    version = published(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no index is published in {folder}")
     tables = {}
-    for name in ("nodes", "edges", "refs", "sources"):
-        path = f"{folder}/{version}/{name}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        tables[name] = spark.read.parquet(path) if there else None
+    for name in TABLES:
+        store, at = _store(spark, f"{folder}/{version}/{name}")
+        tables[name] = spark.read.parquet(f"{folder}/{version}/{name}") if store.exists(at) else None
     return Graph(**tables)
 
 
 def prune(spark: SparkSession, folder: str, keep: int = 2) -> int:
     """Deletes all but the newest versions below folder, never the current one; returns how many went."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    now = spark.read.text(f"{folder}/CURRENT").first()[0]
-    found = [s for s in store.listStatus(hadoop) if s.getPath().getName().startswith("v-")]
-    old = sorted((s for s in found if s.getPath().getName() != now), key=lambda s: -s.getModificationTime())[max(keep - 1, 0) :]
-    for s in old:
-        store.delete(s.getPath(), True)
+    store, at = _store(spark, folder)
+    pointers = _pointers(spark, folder)
+    named = [p.split("-", 2)[2] for p in pointers]
+    stay = set(named[-max(keep, 1) :])
+    for p, version in zip(pointers, named, strict=True):
+        if version not in stay:
+            store.delete(_store(spark, f"{folder}/{p}")[1], False)
+    old = [s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in stay]
+    for path in old:
+        store.delete(path, True)
     return len(old)
 
 
-def compact(spark: SparkSession, folder: str, files: int = 1) -> str:
-    """Publishes the current version again in fewer files."""
-    g = current(spark, folder)
-    tables = {n: None if (t := getattr(g, n)) is None else t.coalesce(files) for n in ("nodes", "edges", "refs", "sources")}
+def compact(spark: SparkSession, folder: str, file_bytes: int = 128 << 20) -> str:
+    """Publishes the current version again in files of about this size."""
+    g, version = current(spark, folder), published(spark, folder)
+    tables = {}
+    for name in TABLES:
+        if (t := getattr(g, name)) is not None:
+            store, at = _store(spark, f"{folder}/{version}/{name}")
+            tables[name] = t.coalesce(max(1, -(-store.getContentSummary(at).getLength() // file_bytes)))
     return publish(Graph(**tables), folder)
+
+
+def run_counters(listed: DataFrame, g: Graph, before: DataFrame | None = None) -> DataFrame:
+    """name, count of a run over listed(path, content, content_hash): files, nodes, edges, skipped, errors, resolved_refs.
+
+    before: sources(path, content_hash) of the index that was updated; files that are the same there were skipped.
+    errors: files that are to be indexed and hold no UTF-8 text.
+    """
+    wanted = listed.where(indexed(F.col("path")))
+    one = lambda name, df, n: df.agg(F.count(F.when(n, 1)).alias("count")).select(F.lit(name).alias("name"), "count")
+    every = F.lit(True)
+    same = wanted.where("content IS NOT NULL").join(before.select("path", "content_hash"), ["path", "content_hash"], "left_semi") if before is not None else wanted.limit(0)
+    out = one("files", g.nodes, F.col("kind") == "file")
+    for more in (one("nodes", g.nodes, every), one("edges", g.edges, every), one("skipped", same, every), one("errors", wanted, F.col("content").isNull()), one("resolved_refs", g.edges, ~F.col("kind").isin("contains", "tests"))):
+        out = out.unionByName(more)
+    return out

@@ -10,6 +10,10 @@ from ..schema import Graph
 from .coupling import related_rank
 
 
+#: Keywords of a task that are searched for in one pass.
+MOST_KEYWORDS = 1000
+
+
 def search_names(g: Graph, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
     """Symbols whose name or qualified name holds the query's tokens in a row, the last as a prefix; short names first.
 
@@ -39,9 +43,19 @@ def postings_of(texts: DataFrame, asked: list[str]) -> DataFrame:
     return texts.select("id", F.size("tokens").alias("len"), F.inline(each)).where("tf > 0")
 
 
-def semantic_postings(g: Graph) -> DataFrame:
-    """The semantic index of symbols as postings."""
-    return postings(g.nodes.select("id", tokens(semantic_text(F.col("name"), F.coalesce("qualified_name", F.lit("")), F.coalesce("docstring", F.lit("")))).alias("tokens")))
+def semantic_texts(g: Graph) -> DataFrame:
+    """id, tokens of each symbol in the semantic index."""
+    return g.nodes.select("id", tokens(semantic_text(F.col("name"), F.coalesce("qualified_name", F.lit("")), F.coalesce("docstring", F.lit("")))).alias("tokens"))
+
+
+def semantic_index(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """The semantic index of symbols: postings, and one row with the numbers n of symbols and total of tokens."""
+    texts = semantic_texts(g)
+    return postings(texts), _totals(texts)
+
+
+def _totals(texts: DataFrame) -> DataFrame:
+    return texts.where(F.size("tokens") > 0).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
 
 
 def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | None = 20) -> DataFrame:
@@ -67,25 +81,31 @@ def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | Non
 
 
 def semantic_search(g: Graph, query: str, limit: int = 20) -> DataFrame:
-    """Symbols for the words of a query, best first: id, score and the node's columns."""
+    """Symbols for the words of a query, best first: id, score and the node's columns; from stored postings where there are."""
     import re
 
-    index = semantic_postings(g)
-    totals = index.select("id", "len").distinct().agg(F.count("*").alias("n"), F.sum("len").alias("total"))
     words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    if g.postings is not None and g.totals is not None:  # stored with the index, sorted by token
+        index, totals = g.postings, g.totals
+    else:
+        texts = semantic_texts(g)
+        index, totals = postings_of(texts, words or [""]), _totals(texts)
     return bm25(index, totals, words, limit).join(g.nodes, "id").orderBy("score", "id")
 
 
 def keyword_hits(g: Graph, keywords: DataFrame, each: int = 5) -> DataFrame:
     """For keywords(place, keyword): the first symbols of each by name search: place, rank, id, kind.
 
-    All keywords meet all names in one pass. Keywords with tokens only.
+    All keywords meet all names in one pass. Keywords with tokens only; more than MOST_KEYWORDS are an error.
     """
     names = g.nodes.select("id", "kind", "name", F.array_join(tokens(F.col("name")), " ").alias("a"), F.array_join(tokens(F.coalesce("qualified_name", F.lit(""))), " ").alias("b"))
-    words = keywords.select("place", F.array_join(tokens(F.col("keyword")), " ").alias("q")).where("q <> ''")
-    # a task has a bounded number of words
-    pad = lambda c: F.concat(F.lit(" "), F.col(c))
-    hits = names.join(F.broadcast(words), F.contains(pad("a"), pad("q")) | F.contains(pad("b"), pad("q")))
+    found = keywords.select("place", F.array_join(tokens(F.col("keyword")), " ").alias("q")).where("q <> ''").limit(MOST_KEYWORDS + 1).collect()
+    if len(found) > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
+    pad = lambda c: F.concat(F.lit(" "), c)
+    words = F.array(*(F.struct(F.lit(r.place).alias("place"), F.lit(r.q).alias("q")) for r in found)) if found else F.lit(None).cast("array<struct<place:int,q:string>>")
+    hit = F.filter(words, lambda w: F.contains(pad(F.col("a")), pad(w["q"])) | F.contains(pad(F.col("b")), pad(w["q"])))
+    hits = names.select("id", "kind", "name", F.explode(hit).alias("w")).select("id", "kind", "name", "w.place")
     rank = F.row_number().over(Window.partitionBy("place").orderBy(F.length("name"), "name", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= each).select("place", "rank", "id", "kind")
 

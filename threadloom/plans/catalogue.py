@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, task_keywords
@@ -372,9 +372,18 @@ def definition_slice(spark, sf_dir):
     return slice_lines(docs.select("path", "content"), spans, around=1).select("doc_id", "text")
 
 
-@query()
+@query(
+    """
+SELECT 'src/o' || l_orderkey || '.rs' AS file_path, CAST(l_partkey AS INTEGER) AS first, CAST(CASE WHEN l_quantity = 1 THEN l_partkey ELSE l_partkey + l_quantity - 2 END AS INTEGER) AS last
+FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_partkey > 0""",
+    graph=False,
+)
 def diff_hunk_parse(spark, sf_dir):
     from ..sources.git import hunk_regions
 
-    lines = ["+++ b/src/a.rs", "@@ -1,2 +10,3 @@ fn", "+x", "@@ -9 +20 @@", "+++ /dev/null", "@@ -1 +0,0 @@", "+++ b/src/b.rs", "@@ -4,0 +7,0 @@"]
-    return hunk_regions(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
+    # a diff with a file for each order, of which each seventh was deleted, and a hunk for each of its items
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("@@ -1 +"), F.col("l_partkey"), F.lit(","), F.col("l_quantity").cast("int") - 1, F.lit(" @@ fn")).alias("value"))
+    names = items.select("l_orderkey").distinct().withColumn("value", F.when(F.col("l_orderkey") % 7 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/src/o"), F.col("l_orderkey"), F.lit(".rs"))))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("header"), "value"))
+    lines = names.withColumn("header", F.lit(True)).unionByName(items.withColumn("header", F.lit(False))).withColumn("place", place)
+    return hunk_regions(lines.select(F.floor(F.col("l_orderkey") / 1000).alias("part"), (F.col("l_orderkey") * (1 << 24) + F.col("place")).alias("line_no"), "value"))

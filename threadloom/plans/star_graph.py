@@ -80,7 +80,7 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(ringed.where("test").select(edge("tests", k * 16 + 7, k * 8 + 1, ring * 8 + 1)))
     o = orders.join(c.select(F.col("k").alias("o_custkey"), "file_path"), "o_custkey").select(F.col("o_orderkey").alias("k"), "o_custkey", "file_path")
     out = out.unionByName(o.select(edge("contains", k * 16 + 4, F.col("o_custkey") * 8 + 1, k * 8 + 5)))
-    p = part.join(F.broadcast(brands(part)), "p_brand").select(F.col("p_partkey").alias("k"), "brand_id", F.concat(F.lit("parts/"), _slug("p_brand"), F.lit(".ts")).alias("file_path"))
+    p = part.join(brands(part), "p_brand").select(F.col("p_partkey").alias("k"), "brand_id", F.concat(F.lit("parts/"), _slug("p_brand"), F.lit(".ts")).alias("file_path"))
     out = out.unionByName(p.select(edge("contains", k * 16 + 5, F.col("brand_id"), k * 8 + 3)))
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
     line = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").withColumn("k", F.col("l_orderkey") * 1024 + nth).join(s.select(F.col("k").alias("l_suppkey"), "file_path"), "l_suppkey")

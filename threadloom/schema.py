@@ -47,3 +47,5 @@ class Graph:
     refs: DataFrame | None = None
     sources: DataFrame | None = None
     churn: DataFrame | None = None
+    postings: DataFrame | None = None
+    totals: DataFrame | None = None

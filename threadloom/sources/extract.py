@@ -3,7 +3,8 @@
 A parser for each language isn't at hand; instead a file becomes a table of lines, declarations are found by the rules of its
 language, and a symbol ends where its braces close or its indentation does. References inside a symbol's lines belong to it
 and to every symbol around it. Comments and strings are blanked first. So this reads ordinary, formatted code; what needs a
-grammar (macros, declarations over several lines, several on one line) is out of reach.
+grammar (macros, declarations over several lines, several on one line but for members) is out of reach. Ends, containers and
+matches are found by windows over the lines of a file and a level, so a file costs about its number of lines.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import language
+from ..session import written
+from .scan import MANIFESTS, file_name, language
 
 W = r"([A-Za-z_$][\w$]*)"
 # How languages declare symbols (the first rule that matches a line counts), import, and nest.
@@ -28,6 +30,13 @@ RULES = {
     "scala": [("function", rf"\bdef\s+{W}"), ("class", rf"\b(?:class|object)\s+{W}"), ("interface", rf"\btrait\s+{W}")],
     "ruby": [("function", rf"^\s*def\s+(?:self\.)?{W}"), ("class", rf"^\s*class\s+{W}"), ("interface", rf"^\s*module\s+{W}")],
 }
+#: (kind, kinds of container, rule for one member) and how imports name one thing.
+RUST_MEMBERS = [("enum_member", ("enum",), r"^\s*(?:#\[[^\]]*\]\s*)*([A-Z]\w*)\s*(?:[={].*)?$"), ("field", ("struct", "enum_member"), r"^\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\)|\s)\s*)?([a-z_]\w*)\s*(?::(?!:).*)?$")]
+SCRIPT_MEMBERS = [("enum_member", ("enum",), rf"^\s*{W}\s*=[^=>]"), ("field", ("interface",), rf"^\s*(?:readonly\s+)?{W}\??\s*:"), ("field", ("class",), r"^\s*(?:(?:public|private|protected|static|readonly|declare|override|accessor)\s+)*(?!(?:return|throw|break|continue)\b)(#?[A-Za-z_$][\w$]*)[?!]?\s*(?::.*|=[^=>].*)?$")]
+MEMBERS = {"rust": RUST_MEMBERS, "typescript": SCRIPT_MEMBERS, "tsx": SCRIPT_MEMBERS}
+IMPORT_NAMES = {"rust": r"^\s*(?:pub\s+)?use\s+(\w+)\s*;", "python": r"^\s*(?:from\s+[\w.]+\s+)?import\s+\(?\s*([A-Za-z_][\w.]*)", "typescript": rf"^\s*import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "tsx": rf"^\s*import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "csharp": r"^\s*using\s+(\w+)\s*;", "go": r"^\s*import\s+([A-Za-z_]\w*)\s+\""}
+TRIPLE = "\"\"\"|'''"
+TEST_MARKS = r"#\[test\]|#\[tokio::test\]|#\[cfg\(test\)\]|@Test|@pytest\."
 INDENTED = ("python", "ruby")
 FIELD_LANGUAGES = ("rust", "typescript", "tsx", "javascript", "jsx", "python")
 IMPORT = r"^\s*(?:pub\s+)?(?:use|import|from|require|#include|using)\b"
@@ -47,6 +56,14 @@ def _any(conditions) -> Column:
     return out
 
 
+def _first_rule(rules) -> Column:
+    """kind and name by the first of the rules (condition, kind, column, pattern) that matches; one flat expression."""
+    found = F
+    for where, kind, column, rule in rules:
+        found = found.when(where & F.col(column).rlike(rule), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(column, rule, 1).alias("name")))
+    return found
+
+
 def is_test_name(name: Column) -> Column:
     """Whether a symbol is named like a test."""
     return F.lower(name).rlike(r"^(tests?|test_.*|.*_tests?)$") | name.rlike(r"^[Tt]est[A-Z]") | name.rlike(r"^.+Test$")
@@ -63,58 +80,157 @@ def generated(path: Column, content: Column) -> Column:
 
 
 def blanked(text: Column, lang: Column) -> Column:
-    """A line without strings and line comments."""
+    """A line without strings, line comments and Rust's attributes."""
+    text = F.when(lang == "rust", F.regexp_replace(text, r"#!?\[[^\]]*\]", "")).otherwise(text)
     text = F.regexp_replace(text, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", "\"\"")
     return F.when(lang.isin("python", "ruby"), F.regexp_replace(text, r"#.*$", "")).otherwise(F.regexp_replace(text, r"//.*$|/\*.*?\*/|^\s*\*.*$", ""))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """path, language, line, text, code, indent, before and after (open braces around the line)."""
+    """path, language, line, text, code, indent, before and after (open braces around the line), quoted (number of the triple-quoted text it is part of)."""
     lang = language(F.col("path"))
-    rows = files.where("content IS NOT NULL").select("path", lang.alias("language"), F.posexplode(F.split("content", "\r?\n"))).where(F.col("language").isin(*RULES))
-    rows = rows.select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), F.col("col").alias("text"), blanked(F.col("col"), F.col("language")).alias("code"))
+    source = files.where(F.col("content").isNotNull() & ~file_name(F.col("path")).isin(*MANIFESTS))
+    rows = source.select("path", lang.alias("language"), F.posexplode(F.split("content", "\r?\n"))).where(F.col("language").isin(*RULES))
+    rows = rows.select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), F.col("col").alias("text"))
+    ahead = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.when(F.col("language") == "python", F.size(F.split("text", TRIPLE)) - 1).otherwise(0)
+    rows = rows.withColumn("marks", marks).withColumn("marks_before", F.coalesce(F.sum("marks").over(ahead), F.lit(0)))
+    inside = F.col("marks_before") % 2 == 1
+    quoted = F.when(inside | (F.col("marks") > 0), F.floor(F.col("marks_before") / 2))
+    code = F.when(inside | F.col("text").rlike(rf"^\s*r?(?:{TRIPLE})"), "").otherwise(blanked(F.col("text"), F.col("language")))
+    rows = rows.select("path", "language", "line", "text", code.alias("code"), quoted.alias("quoted"))
     opened = F.length(F.regexp_replace("code", r"[^{]", "")) - F.length(F.regexp_replace("code", r"[^}]", ""))
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("opened", opened).withColumn("after", F.sum("opened").over(so_far))
-    return rows.withColumn("before", F.col("after") - F.col("opened")).withColumn("indent", F.when(F.trim("code") != "", F.length("code") - F.length(F.ltrim("code"))))
+    # read by many steps below
+    return written(rows.withColumn("before", F.col("after") - F.col("opened")).withColumn("indent", F.when(F.trim("code") != "", F.length("code") - F.length(F.ltrim("code")))), "code-lines")
+
+
+def closings(lines: DataFrame) -> DataFrame:
+    """path, level, at, close: where blocks at a level of braces (or of indentation) end. A line ends each level once."""
+    filled = lines.where("indent IS NOT NULL").withColumn("was", F.lag("indent").over(Window.partitionBy("path").orderBy("line")))
+    indented = filled.where(F.col("language").isin(*INDENTED) & (F.col("was") >= F.col("indent"))).select("path", F.explode(F.sequence(F.col("indent").cast("long"), F.col("was").cast("long"))).alias("level"), F.col("line").alias("at"), (F.col("line") - 1).alias("close"))
+    braces = lines.where(~F.col("language").isin(*INDENTED) & (F.col("after") < F.col("before"))).select("path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), F.col("line").alias("at"), F.col("line").alias("close"))
+    return indented.unionByName(braces)
+
+
+def closed(openings: DataFrame, ends: DataFrame) -> DataFrame:
+    """openings(path, level, line, ...) with close: the next end of their level after their line, in one window by level."""
+    rows = openings.withColumn("opens", F.lit(True)).withColumn("at", F.col("line")).unionByName(ends.withColumn("opens", F.lit(False)), allowMissingColumns=True)
+    later = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("close", F.last("close", ignorenulls=True).over(later)).where("opens").drop("opens", "at")
 
 
 def symbols(lines: DataFrame) -> DataFrame:
     """path, language, kind, name, start_line, end_line, start_column, signature, visibility, flags and docstring."""
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for lang in reversed(RULES):
-        for kind, rule in reversed(RULES[lang]):
-            hit = (F.col("language") == lang) & F.col("code").rlike(rule)
-            found = F.when(hit, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", rule, 1).alias("name"))).otherwise(found)
-    own = lines.withColumn("found", found).where(F.col("found").isNotNull() & ~F.col("code").rlike(IMPORT)).select("path", "language", "line", "text", "code", "indent", "before", "after", "found.*")
-    # where the symbol's braces close again, or a line isn't indented further
-    other = lines.select("path", F.col("line").alias("at"), F.col("before").alias("at_before"), F.col("after").alias("at_after"), F.col("indent").alias("at_indent"))
+    found = _first_rule((F.col("language") == lang, kind, "code", rule) for lang, rules in RULES.items() for kind, rule in rules)
+    by_path = Window.partitionBy("path").orderBy("line")
     indented = F.col("language").isin(*INDENTED)
-    closes = F.when(indented, F.when((F.col("at") > F.col("line")) & (F.col("at_indent") <= F.col("indent")), F.col("at") - 1)).otherwise(F.when((F.col("at_after") <= F.col("before")) & ((F.col("at") > F.col("line")) | (F.col("code").rlike(r"[;}]\s*$"))) & ((F.col("at_before") > F.col("before")) | (F.col("at") == F.col("line")) | (F.col("after") == F.col("before"))), F.col("at")))
-    ends = own.join(other, "path").where(F.col("at") >= F.col("line")).groupBy("path", "line").agg(F.min(closes).alias("close"), F.max("at").alias("eof"))
+    filled = lines.withColumn("eof", F.max("line").over(Window.partitionBy("path"))).where("indent IS NOT NULL").withColumn("next", F.lead("code").over(by_path)).withColumn("level", F.when(indented, F.col("indent")).otherwise(F.col("before")).cast("long"))
+    ends = written(closings(lines), "code-ends")
+    columns = ["path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "eof"]
+    own = filled.withColumn("found", found).where(F.col("found").isNotNull() & ~F.col("code").rlike(IMPORT)).select(*columns, "found.*")
+    own = written(ended(closed(own, ends)), "code-symbols")
+    every = own.unionByName(ended(closed(members(filled, own), ends))).unionByName(imported(filled).withColumn("end_line", F.col("line")), allowMissingColumns=True)
     head = F.trim(F.regexp_replace("text", r"\{.*$", ""))
-    body = own.join(ends, ["path", "line"])
+    cut = F.when(F.length(head) > 200, F.concat(F.substring(head, 1, 200), F.lit("..."))).otherwise(head)
+    signature = F.when(F.col("kind").isin("function", "method"), cut).when(F.col("kind").isin("class", "struct", "interface"), head)
     lang = F.col("language")
     word = _text(F.regexp_extract("text", r"^\s*(?:export\s+)?(pub|public|private|protected)\b", 1))
     visibility = F.coalesce(F.when(word == "pub", "public").otherwise(word), F.when(F.col("text").rlike(r"^\s*export\b"), "public"), F.when(lang.isin("go", "python"), "public").when(lang.isin("rust", "typescript", "tsx", "javascript", "jsx"), "private").otherwise("unknown"))
-    above = Window.partitionBy("path").orderBy("line")
-    comment = lines.withColumn("doc", F.regexp_extract(F.lag("text").over(above), r"^\s*(?:///?|#|\*|/\*\*?)\s*(.*?)(?:\*/)?\s*$", 1)).select("path", "line", _text(F.col("doc")).alias("docstring"))
-    return body.join(comment, ["path", "line"], "left").select(
-        "path", "language", "kind", "name", F.col("line").alias("start_line"), F.coalesce("close", F.when(indented, F.col("eof")).otherwise(F.col("line"))).cast("int").alias("end_line"), F.coalesce("indent", F.lit(0)).alias("start_column"),
-        F.when(F.length(head) > 200, F.concat(F.substring(head, 1, 200), F.lit("..."))).otherwise(head).alias("signature"), visibility.alias("visibility"), "docstring",
-        F.col("text").rlike(r"\basync\b").alias("is_async"), F.col("text").rlike(r"\bstatic\b").alias("is_static"), (F.col("text").rlike(r"^\s*(export|pub)\b") | (visibility == "public")).alias("is_exported"), (is_test_name(F.col("name")) | is_test_path(F.col("path"))).alias("is_test"),
+    # words anywhere in a symbol's lines: how many lines up to each have them
+    so_far = by_path.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_path.rowsBetween(Window.unboundedPreceding, -1)
+    attribute = F.col("text").rlike(r"^\s*(?:#!?\[[^\]]*\]\s*$|#(?!!?\[)|@[\w.]+(?:\([^)]*\))?\s*$|//|/\*|\*)")
+    counts = lines.select(
+        "path", "line", *(F.sum(F.contains("text", F.lit(f" {w} ")).cast("int")).over(so_far).alias(f"{w}_upto") for w in ("async", "static")),
+        (F.coalesce(F.last(F.when(F.col("text").rlike(TEST_MARKS), F.col("line")), ignorenulls=True).over(ahead), F.lit(0)) > F.coalesce(F.last(F.when(~attribute & (F.trim("text") != ""), F.col("line")), ignorenulls=True).over(ahead), F.lit(0))).alias("test_above"),
     )
+    at_end = counts.select("path", F.col("line").alias("end_line"), F.col("async_upto").alias("async_end"), F.col("static_upto").alias("static_end"))
+    full = every.join(counts, ["path", "line"]).join(at_end, ["path", "end_line"], "left").join(comments(lines), ["path", "line"], "left").join(quoted_bodies(lines), ["path", "line"], "left")
+    has = lambda w: F.col("text").rlike(rf"^\s*{w} ") | F.contains("text", F.lit(f" {w} ")) | (F.coalesce(f"{w}_end", f"{w}_upto") > F.col(f"{w}_upto"))
+    marked = F.col("test_above") | F.col("text").rlike(TEST_MARKS)
+    return full.select(
+        "path", "language", "kind", "name", F.col("line").alias("start_line"), "end_line", F.coalesce("indent", F.lit(0)).alias("start_column"), signature.alias("signature"), visibility.alias("visibility"), F.coalesce("comment", F.when(indented, F.col("body"))).alias("docstring"),
+        has("async").alias("is_async"), has("static").alias("is_static"), F.col("text").rlike(r"^\s*(?:export\b|pub )").alias("is_exported"), (is_test_path(F.col("path")) | (F.col("kind").isin("function", "method", "class") & (is_test_name(F.col("name")) | marked))).alias("is_test"),
+    )
+
+
+def ended(found: DataFrame) -> DataFrame:
+    """Symbols with end_line: their own line where nothing opens, else where their level ends, else the last line of a file."""
+    opens = F.col("after") > F.col("before")
+    waits = F.col("next").rlike(r"^\s*\{") | (F.length(F.regexp_replace("code", r"[^(]", "")) > F.length(F.regexp_replace("code", r"[^)]", "")))
+    alone = ~opens & (F.col("kind").isin("field", "enum_member", "import", "constant", "type_alias") | F.col("code").rlike(r"[;}]\s*$") | ~F.coalesce(waits, F.lit(False)))
+    eof = F.when(F.col("language").isin(*INDENTED), F.col("eof")).otherwise(F.col("line"))
+    return found.withColumn("end_line", F.when(~F.col("language").isin(*INDENTED) & alone, F.col("line")).otherwise(F.coalesce("close", eof)).cast("int")).drop("close")
+
+
+def members(filled: DataFrame, own: DataFrame) -> DataFrame:
+    """Fields and enum members: of Rust and TypeScript, on the lines right inside of their container or in its braces on one line.
+
+    The container of a line is the last symbol one level further out, if that has not ended: one window by level.
+    """
+    asked = filled.where(F.col("language").isin(*MEMBERS))
+    holders = own.where(F.col("language").isin(*MEMBERS))
+    a = asked.withColumn("holder", F.lit(None).cast("struct<kind:string,end:int>")).withColumn("level", F.col("level") - 1).withColumn("asks", F.lit(True))
+    b = holders.select("path", "level", "line", F.struct(F.col("kind"), F.col("end_line").alias("end")).alias("holder"), F.lit(False).alias("asks"))
+    so_far = Window.partitionBy("path", "level").orderBy("line", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    within = a.unionByName(b, allowMissingColumns=True).withColumn("holder", F.last("holder", ignorenulls=True).over(so_far)).where(F.col("asks") & (F.col("holder.end") >= F.col("line"))).withColumn("level", F.col("level") + 1).withColumn("within", F.col("holder.kind")).drop("asks", "holder")
+    within = within.join(own.select("path", "line"), ["path", "line"], "left_anti").withColumn("inner", F.col("code"))
+    inline = holders.withColumn("within", F.col("kind")).withColumn("inner", F.regexp_extract("code", r"\{(.*)\}", 1)).where("inner <> ''")
+    inner = F.col("inner")
+    for _ in range(3):  # what is nested in a member holds no other
+        inner = F.regexp_replace(inner, r"\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}", "")
+    columns = ["path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "eof", "within"]
+    pieces = within.select(*columns, inner.alias("inner"), F.lit(False).alias("inline")).unionByName(inline.select(*columns, inner.alias("inner"), F.lit(True).alias("inline"))).select(*columns, "inline", F.explode(F.split("inner", "[,;]")).alias("piece"))
+    # what stands in a container's braces comes after it
+    place = F.when(F.col("inline"), F.greatest(F.instr("code", "{"), F.instr("code", F.trim("piece")) - 1)).otherwise(F.col("indent"))
+    found = _first_rule(((F.col("language") == lang) & F.col("within").isin(*containers), kind, "piece", rule) for lang, rules in MEMBERS.items() for kind, containers, rule in rules)
+    return pieces.withColumn("found", found).where("found IS NOT NULL").withColumn("text", F.col("piece")).withColumn("indent", place).select(*[c for c in columns if c != "within"], "found.*")
+
+
+def imported(filled: DataFrame) -> DataFrame:
+    """Import symbols, where the imported thing has one plain name."""
+    found = _first_rule((F.col("language") == lang, "import", "code", rule) for lang, rule in IMPORT_NAMES.items())
+    return filled.withColumn("found", found).where("found IS NOT NULL").select("path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "found.*")
+
+
+def comments(lines: DataFrame) -> DataFrame:
+    """path, line, comment: the run of comment lines that ends right above the line, without its marks and blank lines."""
+    is_comment = F.when(F.col("language").isin(*INDENTED), F.col("text").rlike(r"^\s*#")).otherwise(F.col("text").rlike(r"^\s*(?://|/\*|\*)"))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), r"^(?:///)*(?://!)*(?://)*(?:/\*\*)*(?:/\*)*\**", ""), r"(?:\*/)+$", ""))
+    rows = lines.where(is_comment).select("path", "line", clean.alias("t")).withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("line", "t")))), lambda x: x["t"]), "\n")
+    return rows.groupBy("path", "run").agg((F.max("line") + 1).alias("line"), text.alias("comment")).select("path", "line", _text(F.col("comment")).alias("comment"))
+
+
+def quoted_bodies(lines: DataFrame) -> DataFrame:
+    """path, line, body: the triple-quoted text that begins on the line after."""
+    rows = lines.where("quoted IS NOT NULL")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"]), "\n")
+    found = rows.groupBy("path", "quoted").agg(F.min("line").alias("first"), text.alias("body")).where(F.col("body").rlike(rf"^r?(?:{TRIPLE})"))
+    return found.select("path", (F.col("first") - 1).alias("line"), F.regexp_replace("body", r"\n+", "\n").alias("body"))
 
 
 def _text(column: Column) -> Column:
     return F.when(column != "", column)
 
 
+def matched_lines(lines: DataFrame) -> DataFrame:
+    """lines with in_match: whether a match of Rust is around them or on them."""
+    begins = lines.where((F.col("language") == "rust") & F.col("code").rlike(r"\bmatch\b")).select("path", F.col("before").alias("level"), "line", (F.col("after") > F.col("before")).alias("open"))
+    spans = closed(begins, closings(lines)).select("path", F.col("line").alias("first"), F.when(F.col("open"), F.coalesce("close", "line")).otherwise(F.col("line")).alias("last"))
+    steps = spans.select("path", F.col("first").alias("line"), F.lit(1).alias("step")).unionByName(spans.select("path", (F.col("last") + 1).alias("line"), F.lit(-1).alias("step"))).groupBy("path", "line").agg(F.sum("step").alias("step"))
+    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
+
+
 def references(lines: DataFrame) -> DataFrame:
     """path, line, reference_name, kind, detail: calls, field reads and writes, matched variants, imports, changed parameters."""
     lang, code = F.col("language"), F.col("code")
     imported = code.rlike(IMPORT)
-    body = lines.where(~imported & (F.trim("code") != ""))
+    body = matched_lines(lines).where(~imported & (F.trim("code") != ""))
+    matching = F.col("in_match")
     declared = F.regexp_replace("code", r"\b(?:fn|def|function|func|fun)\s+(?:\([^)]*\)\s*)?(?:\w+\.)?[\w$]+\s*\(", "")
     fielded = lang.isin(*FIELD_LANGUAGES)
 
@@ -123,15 +239,16 @@ def references(lines: DataFrame) -> DataFrame:
         return body.where(where).select("path", "line", name.alias("reference_name"), F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"))
 
     calls = each("calls", F.lit(True), rf"(?<![\w$]){W}\s*(?:::<[^>]*>)?\(", source=declared).where(~F.col("reference_name").isin(*KEYWORDS))
+    macros = each("calls", lang == "rust", rf"(?<![\w$]){W}!\s*[(\[{{]")
     writes = each("mutates", fielded, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
     reads = each("accesses", fielded, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
-    variants = each("references", (lang == "rust") & code.rlike(r"=>|\bmatches!"), rf"\b\w+::([A-Z]\w*)", "dispatch")
+    variants = each("references", (lang == "rust") & matching, r"\b\w+::(\w+)\b(?!::)", "dispatch", source=F.regexp_replace(code, r"<[^<>]*>", ""))
     cases = each("references", lang.isin("typescript", "tsx", "javascript", "jsx", "python") & code.rlike(r"^\s*case\b"), rf"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch")
     changed = each("mutates", (lang == "rust") & code.rlike(r"\bfn\b"), r":\s*&(?:'\w+\s+)?mut\s+(?:\w+::)*([A-Z]\w*)", "mut_param")
     words = F.filter(F.regexp_extract_all(F.regexp_replace("text", r"[\"';]", " "), F.lit(r"(\w+)"), F.lit(1)), lambda w: ~w.isin(*NOT_IMPORTED))
     # the module of 'from x import y' comes first and the name last; braces hold several
     imports = lines.where(imported).select("path", "line", F.element_at(F.when(F.size(words) > 0, words), -1).alias("reference_name"), F.lit("imports").alias("kind"), F.when(F.contains(code, F.lit("*")), "glob").alias("detail")).where("reference_name IS NOT NULL")
     out = calls
-    for more in (writes, reads, variants, cases, changed, imports):
+    for more in (macros, writes, reads, variants, cases, changed, imports):
         out = out.unionByName(more)
     return out

@@ -14,7 +14,11 @@ LANGUAGES = {
     "rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "py": "python", "pyi": "python", "go": "go", "java": "java", "c": "c", "h": "c",
     "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "groovy": "groovy", "gradle": "groovy",
 }
-MANIFESTS = ("package.json", "Cargo.toml", "go.mod", "pyproject.toml", "requirements.txt", "Gemfile", "composer.json", "pom.xml", "build.gradle", "build.gradle.kts", "build.sbt")
+MANIFEST_LANGUAGES = {
+    "package.json": "javascript", "Cargo.toml": "rust", "go.mod": "go", "pyproject.toml": "python", "requirements.txt": "python", "Gemfile": "ruby", "composer.json": "php", "pom.xml": "java",
+    "build.gradle": "groovy", "build.gradle.kts": "kotlin", "build.sbt": "scala",
+}
+MANIFESTS = tuple(MANIFEST_LANGUAGES)
 SOURCE_EXTENSIONS = tuple(
     """c h cpp cc cxx c++ hpp hxx hh cs rs go zig d nim v cu cuh java kt kts scala sc groovy clj cljs cljc vb fs fsx py pyi pyw rb rake
 php phtml pl pm lua tcl r jl dart ex exs erl hrl cr js jsx mjs cjs ts tsx mts cts coffee hs lhs ml mli elm rkt scm lisp el swift m mm
@@ -32,8 +36,8 @@ def extension(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    by_name = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.coalesce(F.element_at(by_name, F.lower(extension(path))), F.lit("unknown"))
+    by_extension, by_name = (F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) for table in (LANGUAGES, MANIFEST_LANGUAGES))
+    return F.coalesce(F.element_at(by_name, file_name(path)), F.element_at(by_extension, F.lower(extension(path))), F.lit("unknown"))
 
 
 def indexed(path: Column, extensions: tuple[str, ...] = EXTENSIONS, excluded: tuple[str, ...] = EXCLUDED) -> Column:

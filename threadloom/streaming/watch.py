@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import build_index, current, publish, update_index
+from ..operators.index import build_index, current, publish, published, update_index
 from ..sources.scan import indexed, scan_signature, scan_tree
 
 
@@ -54,11 +54,10 @@ def stream_index(files: DataFrame, folder: str, checkpoint: str):
     def batch(new: DataFrame, number: int) -> None:
         spark = new.sparkSession
         latest = new.dropDuplicates(["path"])
-        try:
-            g = current(spark, folder)
-        except Exception:  # nothing is published yet
+        if published(spark, folder) is None:
             publish(build_index(latest), folder)
             return
+        g = current(spark, folder)
         before = g.sources.join(latest.select("path"), "path", "left_anti").join(g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "language"), "path")
         publish(update_index(g, before.select("path", "content", "content_hash", "language").unionByName(latest.select("path", "content", "content_hash", "language"))), folder)
 
