@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import file_name
+from .scan import MANIFESTS, file_name
 
 OUT = ("path", "kind", "name", "signature", "line")
 # Where dependencies stand.
@@ -194,16 +194,20 @@ def sbt(files: DataFrame) -> DataFrame:
 
 
 def manifest_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of all manifests among files(path, content)."""
-    return _union(
-        json_manifest(_named(files, "package.json"), NPM_DEPENDENCIES),
-        json_manifest(_named(files, "composer.json"), COMPOSER_DEPENDENCIES),
-        cargo(_named(files, "Cargo.toml")),
-        pyproject(_named(files, "pyproject.toml")),
-        requirements(_named(files, "requirements.txt")),
-        go_mod(_named(files, "go.mod")),
-        gemfile(_named(files, "Gemfile")),
-        pom(_named(files, "pom.xml")),
-        gradle(_named(files, "build.gradle", "build.gradle.kts")),
-        sbt(_named(files, "build.sbt")),
-    )
+    """Symbols of all manifests among files(path, content); only the kinds that are there are planned for."""
+    named = F.col("file_name")
+    there = {r[0] for r in files.select(file_name(F.col("path")).alias("file_name")).where(named.isin(*MANIFESTS)).distinct().collect()}  # at most eleven names
+    kinds = {
+        ("package.json",): lambda t: json_manifest(t, NPM_DEPENDENCIES),
+        ("composer.json",): lambda t: json_manifest(t, COMPOSER_DEPENDENCIES),
+        ("Cargo.toml",): cargo,
+        ("pyproject.toml",): pyproject,
+        ("requirements.txt",): requirements,
+        ("go.mod",): go_mod,
+        ("Gemfile",): gemfile,
+        ("pom.xml",): pom,
+        ("build.gradle", "build.gradle.kts"): gradle,
+        ("build.sbt",): sbt,
+    }
+    parts = [read(_named(files, *names)) for names, read in kinds.items() if not there.isdisjoint(names)]
+    return _union(*parts) if parts else files.sparkSession.createDataFrame([], "path string, kind string, name string, signature string, line int")
