@@ -52,9 +52,11 @@ def test_op3_is_native_and_whole(spark, sf_dir):
 def brute_top(rows, k):
     whole = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) or abs(x) > 1e5 for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        whole.append((i, [math.floor(64 * float(np.float32(x))) for x in v]))
+        ints = [math.floor(64 * float(np.float32(x))) for x in v]
+        if sum(x * x for x in ints) <= 9.2e18:  # scores are longs
+            whole.append((i, ints))
     for n, (i, q) in enumerate(whole):
         if i % 20 or (i, q) in whole[:n]:
             continue
@@ -75,6 +77,21 @@ def test_top_k_of_odd_rows(spark, k):
     assert exact_top_k(integer_vectors(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_sql_of_top_k_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from threadloom.llm.topk import OP4_SQL
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)]
+    rows += [(100, []), (101, []), (120, [0.5]), (140, None), (160, [1.0, None]), (180, [float("nan")]), (None, [1.0]), rows[20], rows[20], (40, [3.0, 1.0]), (7, [9.0] * 5), (7, [9.0] * 5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = sorted(db.execute(OP4_SQL).fetchall())
+    assert sorted(map(tuple, op4_columnar_top_k(spark, f"file://{tmp_path}").collect())) == want == sorted(brute_top(rows, 20))
+
+
 def test_repeated_rows_of_a_query_leave_its_candidates(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)]

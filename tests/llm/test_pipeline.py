@@ -1,9 +1,12 @@
+import zlib
+
 from pyspark.sql import functions as F
 from test_jaccard import brute_components
-from test_text_rules import brute_removal
+from test_text_rules import brute_language, brute_removal
 from test_tokens_and_packing import check_packing
 
 import corpus_pipeline
+from threadloom.llm.langid import fit
 from threadloom.llm.repetition import judged, measure
 
 
@@ -22,6 +25,8 @@ def test_every_stage_on_what_the_one_before_kept(spark, sf_dir):
             want = {r.doc_id for r in judged(measure(docs)).where("kept").collect()}
             assert set(after) == want
         elif name == "language ID":
+            profile = fit(spark.createDataFrame([(r.text, r.lang) for i, r in before.items() if zlib.crc32(str(i).encode()) % 5], "text string, lang string"))
+            assert set(after) == {i for i, r in before.items() if not brute_language(profile, r.text)[2]}
             assert len(after) > 0.97 * len(before)
         elif name == "n-gram Jaccard join":
             least = brute_components([(i, r.text) for i, r in before.items()])
@@ -47,6 +52,16 @@ def test_odd_documents_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, "")
         assert kept.columns == docs.columns
+    clash = docs.where("doc_id IS NULL OR doc_id = 4")
+    names = ["_id", "_key", "_at", "n_words", "n_removed", "kept_sha256", "score", "lang_pred", "rejected", "key", "component"]
+    for n in names:
+        clash = clash.withColumn(n, F.lit(n))
+    clash = clash.unionByName(clash.withColumn("text", F.concat("text", F.lit(" and a few more words behind"))).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clash, "")
+        assert got.columns == clash.columns
+        rows = got.collect()
+        assert (rows or name == "language ID") and all(r[n] == n for r in rows for n in names), name  # no row here has an id and a label, so no language is learnt
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -125,6 +126,40 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) > 0.97 * len(held)
 
 
+def brute_language(profile, text):
+    """The answer for one text, by compressing it against each dictionary anew."""
+    import zstandard
+
+    low = (text or "").lower()
+    body = " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low).split()).encode()
+    if not body or not profile.dictionaries:
+        return "und", 0.0, True
+    sizes = []
+    for i, (lang, content) in enumerate(profile.dictionaries):
+        params = zstandard.ZstdCompressionParameters.from_level(5, write_content_size=False, write_checksum=False, write_dict_id=False)
+        made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes.append((sum(len(made.compress(body[a : a + 16384])) for a in range(0, len(body), 16384)), i, lang))
+    sizes.sort()
+    score = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+    return sizes[0][2], score, score < 0.005
+
+
+def test_op8_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in docs.select("doc_id").collect()}
+    learnt = [r for r in docs.collect() if not held[r.doc_id]]
+    profile = fit(spark.createDataFrame(learnt, docs.schema))
+    for lang, content in profile.dictionaries:
+        assert 0 < len(content) <= 1 << 18
+        pieces = {w for r in learnt if r.lang == lang and r.text for w in re.findall(r"\w+", r.text.lower())}
+        some = [w for w in content.decode("utf-8", "ignore").split()[5:2000]]
+        assert sum(any(w in p for p in (pieces & {w}) or pieces) for w in some[:50]) == len(some[:50])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op8_compression_language(spark, sf_dir).collect():
+        lang, score, rejected = brute_language(profile, texts[r.doc_id])
+        assert (r.lang_pred, round(r.score, 12), r.rejected, r.held_out) == (lang, round(score, 12), rejected, held[r.doc_id])
+
+
 def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 34 !!", "fr"), (4, "hello there friend", None), (5, "x", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in predict(docs, fit(docs)).collect()}

@@ -7,7 +7,7 @@ query's k-th best so far go, and the survivors are compacted. Query blocks meet
 (query block, candidate group); each side is repeated only for the groups of the other, and each task keeps k per query.
 
 Components are integers floor(64 * x). Defined cases: vectors that are null or hold null or non-finite components take no
-part, nor do rows without an id, nor vectors whose inner product with themselves exceeds a long (as scores are longs); missing trailing components count as 0;
+part, nor do rows without an id, nor vectors whose inner product with themselves exceeds a long (as scores are longs); missing trailing components count as 0 (an empty vector has the score 0 with all);
 repeated rows are candidates each; a query's own id is never its candidate; queries repeated word for word count once.
 """
 
@@ -161,14 +161,18 @@ def op4_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-parts AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT r, vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+queries AS (SELECT min(r) AS r, vec_id FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, e),
+dots AS (
+  SELECT q.r AS qr, c.r AS cr, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM queries JOIN parts q USING (r) JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id
+  GROUP BY ALL),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-  GROUP BY q.vec_id, c.vec_id),
-ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+  SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(score, 0) AS score
+  FROM queries q JOIN v c ON q.vec_id <> c.vec_id LEFT JOIN dots ON dots.qr = q.r AND dots.cr = c.r),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
