@@ -15,9 +15,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; one of its own only where that is unset."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir; one of its own only where that is unset and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
