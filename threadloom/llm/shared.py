@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, written  # noqa: F401  the operators take written from here
@@ -150,3 +150,24 @@ def arrow_rows(record_batches, *names: str):
             c = rb.column(rb.schema.get_field_index(n))
             cols.append((c.cast(pa.large_binary()) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else c).to_pylist())
         yield from zip(*cols, strict=True)
+
+
+def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """df with running sums: for each (name, column) in sums, name = the column's sum over the rows of the group that go before,
+    and name_all = its sum over the whole group; the column "1" counts rows.
+
+    Rows are dealt by ranges of group and order, so that a group may fill any number of tasks; a window then spans what one
+    task holds of a group, and sums of tasks bring in the rest. Rows alike in group and order go in any order.
+    """
+    part, at = fresh(df.columns, "_part", "_at")
+    value = lambda c: F.lit(1) if c == "1" else F.col(c)
+    dealt = written(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), name)
+    tasks = dealt.groupBy(part, *group).agg(*(F.sum(value(c)).alias(n) for n, c in sums.items()))
+    whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.col(part).alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_before_{n}") for n in sums), *(F.sum(n).over(whole).alias(f"{n}_all") for n in sums))
+    within = Window.partitionBy(part, *group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("*", *(F.coalesce(F.sum(value(c)).over(within), F.lit(0)).alias(f"_within_{n}") for n, c in sums.items()))
+    same = F.col(part) == F.col("_p")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return dealt.join(tasks, same).select(*named(df.columns), *((F.col(f"_before_{n}") + F.col(f"_within_{n}")).alias(n) for n in sums), *(F.col(f"{n}_all") for n in sums))
