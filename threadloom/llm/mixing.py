@@ -15,8 +15,8 @@ goes a connected part of patterns: a row for each set of sources that occurs, ne
 Defined cases: a null text has no words; a null source is one of its own and the last; a null or empty list of sources is
 no source, and its documents are not taken; equal names in a list count once; repeated rows are documents each, and such as
 are alike in everything are interchangeable; a document without words is taken no word of; sources without a weight have
-target 0; an empty table gives an empty one; other columns are left out, whatever their names. A very long text can only be
-taken whole, so a target may be missed by half of the smallest documents' size in the last class that a pattern has.
+target 0; an empty table gives an empty one; other columns are left out, whatever their names. A very long text is taken
+whole or not, so a target may be missed by half the size of a document in the last class that a pattern has.
 """
 
 from __future__ import annotations
@@ -174,17 +174,24 @@ def drawn(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return found.withColumn("passes", F.coalesce(F.transform(first, lambda e: F.struct(e["pass"].alias("pass"), e["number"].alias("number"))), F.array().cast("array<struct<pass:int,number:long>>")))
 
 
+def planned(flow: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The plan of ``drawn`` for what flows: in each pass over a pattern its sources come one after the other."""
+    upto = F.sum("words").over(Window.partitionBy("pattern", "pass").orderBy("number"))
+    cuts = flow.select("pattern", "pass", "number", upto.alias("upto")).groupBy("pattern").agg(F.collect_list(F.struct("pass", "number", "upto")).alias("cuts"))
+    return written(cuts.join(patterns.select("pattern", "words"), "pattern").where("words > 0"), "mix-plan")
+
+
 def numbered_sources(sizes: DataFrame) -> DataFrame:
     """sizes(source, source_size) with number: the rank by code point, null last."""
     ranked = running(sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit("").alias("all")), ["all"], ["last", "source"], {"number": "1"}, "mix-sources")
     return ranked.select("source", "source_size", "number")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, most: int = 3, seed: int = 12) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weight: Column | None = None, most: int = 3, seed: int = 12, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Of docs(doc_id, text, sources): documents (doc_id, size, sources, taken, passes), and sources (source, source_size, weight, target).
 
     weight: the weight of a source as a column over source, source_size and number (its rank by code point, null last);
-    equal for all if left out. passes: for each time that the mix takes a document, the number of the source it counts for.
+    equal for all if left out. tolerance: what a source may fall short of before more is drawn in a further pass. passes: for each time that the mix takes a document, the number of the source it counts for.
     """
     sources = F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>"))))
     pattern = F.to_json(sources)
@@ -197,10 +204,15 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = 3, seed: int
     targets = written(source_targets(numbers.withColumn("weight", (F.lit(1) if weight is None else weight).cast("double")), total, most), "mix-sources")
     known = each.join(numbers, each["source"].eqNullSafe(numbers["source"])).groupBy("pattern", "words").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
     flow = written(flows(written(known, "mix-known"), targets, most), "mix-flow")
-    before = F.sum("words").over(Window.partitionBy("pattern", "pass").orderBy("number"))
-    cuts = flow.select("pattern", "pass", "number", before.alias("upto")).groupBy("pattern").agg(F.collect_list(F.struct("pass", "number", "upto")).alias("cuts"))
-    plan = written(cuts.join(patterns.select("pattern", "words"), "pattern").where("words > 0"), "mix-plan")
-    rows = drawn(items, plan)
+    rows = drawn(items, planned(flow, patterns))
+    # where documents are larger than what is wanted of them, the next pass over the smaller ones makes up for it
+    taken = rows.select("pattern", "size", F.explode("passes").alias("p")).groupBy("pattern", F.col("p.number").alias("number")).agg(F.sum("size").alias("taken"))
+    wanted = flow.groupBy("pattern", "number").agg(F.sum("words").alias("wanted"), F.max("pass").alias("last"))
+    short = wanted.join(taken, ["pattern", "number"], "left").withColumn("short", F.col("wanted") - F.coalesce("taken", F.lit(0)))
+    short = written(short.where((F.col("short") > F.col("wanted") * tolerance) & (F.col("last") + 1 < most)), "mix-short")
+    if short.take(1):
+        more = short.join(patterns.select("pattern", F.col("words").alias("all")), "pattern").select("pattern", (F.col("last") + 1).alias("pass"), "number", F.least("short", "all").cast("long").alias("words"))
+        rows = drawn(items, planned(flow.unionByName(more), patterns))
     out = rows.select(F.col("id").alias("doc_id"), "size", F.from_json("pattern", "array<string>").alias("sources"), (F.col("size") * F.size("passes")).alias("taken"), "passes")
     return out, targets
 
