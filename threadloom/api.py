@@ -21,7 +21,7 @@ class CodeIndex:
 
     @classmethod
     def build(cls, spark: SparkSession, root: str) -> CodeIndex:
-        return cls(index.build_index(scan_tree(spark, root).where(indexed(F.col("path")))), root)
+        return cls(index.build_index(scan_tree(spark, root, wanted=indexed(F.col("path")))), root)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, root: str | None = None) -> CodeIndex:
@@ -29,14 +29,14 @@ class CodeIndex:
 
     def reindex(self, files: list[str] | None = None) -> CodeIndex:
         """After changes below root: only what changed is read again, or only the files given (relative paths)."""
-        listed = scan_tree(self.spark, self.root).where(indexed(F.col("path")))
+        listed = scan_tree(self.spark, self.root, wanted=indexed(F.col("path")))
         if files is None:
             return CodeIndex(index.update_index(self.graph, listed), self.root)
         return CodeIndex(index.update_files(self.graph, listed, [relative_path(f) for f in files]), self.root)
 
     def counters(self, before: CodeIndex | None = None) -> DataFrame:
         """What an indexing run did; before: the index that it updated."""
-        return index.run_counters(scan_tree(self.spark, self.root), self.graph, None if before is None else before.graph.sources)
+        return index.run_counters(scan_tree(self.spark, self.root, wanted=indexed(F.col("path"))), self.graph, None if before is None else before.graph.sources)
 
     def _churn(self, wanted: bool, days: int) -> DataFrame | None:
         if self.graph.churn is not None:

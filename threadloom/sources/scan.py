@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import subprocess
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tree import Store, register
+
 # What is indexed and what is not.
 EXCLUDED = ("node_modules", "target", "dist", "build", ".git", "__pycache__", ".venv", "venv", "vendor")
 EXTENSIONS = tuple("rs ts tsx js jsx py go java c h cpp cc hpp cs kt kts scala rb groovy".split())
@@ -53,31 +53,44 @@ def unsupported_types(paths: DataFrame, extensions: tuple[str, ...] = EXTENSIONS
     return paths.where(hit).groupBy(ext.alias("ext")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "ext")
 
 
-def scan_tree(spark: SparkSession, root: str, git_ignore: bool = True) -> DataFrame:
-    """path (relative), content (text), content_hash, language, size, modified_at of every file below root; bad UTF-8: null text.
+def list_tree(spark: SparkSession, root: str, git_ignore: bool = True, excluded: tuple[str, ...] = EXCLUDED, parts: int = 64) -> DataFrame:
+    """path (relative), size, modified of every file below root, hidden ones too; nothing is opened, and excluded folders aren't entered.
 
-    With git_ignore, files that git ignores are left out, where root is a working tree.
+    With git_ignore, what .gitignore files say counts where root is in a working tree.
     """
-    root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", "^.*?" + _quoted(root.split("://")[-1].split("/", 1)[-1] if "://" in root else root) + "/", "")
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
-    files = raw.select(relative.alias("path"), text.alias("content"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_at"))
-    if git_ignore:
-        found = subprocess.run(["git", "-C", root, "ls-files", "-co", "--exclude-standard", "-z"], capture_output=True)
-        if not found.returncode:
-            listed = spark.createDataFrame([(p,) for p in found.stdout.decode("utf-8", "replace").split("\0") if p] or [("",)], "path string")
-            files = files.join(listed, "path", "left_semi")
-    return files.withColumn("content_hash", F.sha2("content", 256)).withColumn("language", language(F.col("path")))
-
+    read = register(spark).read.format("tree").option("gitignore", str(git_ignore).lower()).option("excluded", "/".join(excluded)).option("parts", parts)
+    return read.load(root.rstrip("/"))
 
-def _quoted(text: str) -> str:
-    import re
 
-    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
+def scan_tree(spark: SparkSession, root: str, git_ignore: bool = True, wanted: Column | None = None, excluded: tuple[str, ...] = EXCLUDED, opened=None) -> DataFrame:
+    """path (relative), content (text), content_hash, language, size, modified_at of the files of list_tree; bad UTF-8: null text.
 
-
-def scan_signature(spark: SparkSession, root: str) -> tuple[int, str]:
-    """Number of files and newest modification: a cheap sign of change. Contents aren't read."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).agg(F.count("*").alias("n"), F.max("modificationTime").cast("string").alias("newest")).first()
-    return r.n, r.newest
+    wanted: a condition on path and size; only files that meet it are opened. opened: an accumulator that counts them.
+    """
+    root = root.rstrip("/")
+    files = list_tree(spark, root, git_ignore, excluded)
+    files = files if wanted is None else files.where(wanted)
+    # folders hold unlike numbers of files: names are dealt anew before texts are read
+    files = files.repartition("path").select("path", "size", F.unix_timestamp("modified").alias("modified_at"))
+
+    def read(record_batches):
+        import pyarrow as pa
+
+        store = Store(root)
+        for rb in record_batches:
+            for at in range(0, rb.num_rows, 64):
+                part = rb.slice(at, 64)
+                texts = [store.read(p) for p in part.column(0).to_pylist()]
+                if opened is not None:
+                    opened.add(len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "bytes"])
+
+    files = files.mapInArrow(read, "path string, size long, modified_at long, bytes binary")
+    text = F.when(F.is_valid_utf8("bytes"), F.decode("bytes", "UTF-8"))
+    return files.select("path", text.alias("content"), "size", "modified_at").withColumn("content_hash", F.sha2("content", 256)).withColumn("language", language(F.col("path")))
+
+
+def scan_signature(spark: SparkSession, root: str) -> tuple[int, int, str]:
+    """Number of files, their size and newest modification: a cheap sign of change. Nothing is opened."""
+    r = list_tree(spark, root).agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.max("modified").cast("string").alias("newest")).first()
+    return r.n, r.size, r.newest

@@ -23,7 +23,7 @@ class Watcher:
         self.stopped = threading.Event()
 
     def files(self) -> DataFrame:
-        return scan_tree(self.spark, self.root).where(indexed(F.col("path")))
+        return scan_tree(self.spark, self.root, wanted=indexed(F.col("path")))
 
     def refresh(self) -> bool:
         """Indexes again if anything changed; false if nothing did or another refresh is under way."""
