@@ -162,19 +162,23 @@ def ends(spark, *rows):
 
 
 def test_module_fold_cycles_and_scores(spark):
-    g = ends(spark, ("src/a/mod.rs", "src/b/mod.rs", "calls"), ("src/a/mod.rs", "src/b/mod.rs", "mutates"), ("src/a/x.rs", "src/a/y.rs", "calls"), ("src/a/mod.rs", "src/a/mod.rs", "calls"))
+    # a hub with three users, two of them in one folder, one user under an index file, and calls within a module
+    g = ends(spark, ("web/view.ts", "core/hub.ts", "accesses"), ("web/view.ts", "core/hub.ts", "accesses"), ("web/menu.ts", "core/hub.ts", "mutates"), ("cli/index.ts", "core/hub.ts", "calls"), ("cli/index.ts", "cli/index.ts", "calls"), ("web/view.ts", "web/view.ts", "contains"), ("core/hub.ts", "web/view.ts", "tests"))
     rows = {(r["from"], r["to"]): (r["count"], r.strength, dict(r.by_kind)) for r in coupling.module_edges(g).collect()}
-    assert rows == {("src/a", "src/b"): (2, 3, {"calls": 1, "mutates": 1}), ("src/a/x", "src/a/y"): (1, 1, {"calls": 1})}
-    ring = ends(spark, ("src/a.rs", "src/b.rs", "calls"), ("src/b.rs", "src/c.rs", "calls"), ("src/c.rs", "src/a.rs", "calls"), ("src/c.rs", "src/d.rs", "calls"))
-    assert [r.cycle for r in coupling.module_cycles(coupling.module_edges(ring)).collect()] == [["src/a", "src/b", "src/c"]]
-    line = ends(spark, ("src/a.rs", "src/b.rs", "calls"), ("src/b.rs", "src/c.rs", "calls"))
-    assert coupling.module_cycles(coupling.module_edges(line)).count() == 0
-    score = ends(spark, ("src/a.rs", "src/b.rs", "mutates"), ("src/a.rs", "src/c.rs", "calls"))
-    assert {(r["to"], r.impact) for r in coupling.coupling_score(coupling.module_edges(score)).collect()} == {("src/b", 3), ("src/c", 1)}
-    churn = spark.createDataFrame([("src/b", 4)], "module string, churn long")
-    assert {(r["to"], r.impact) for r in coupling.coupling_score(coupling.module_edges(score), churn).collect()} == {("src/b", 12), ("src/c", 1)}
-    fans = {r.module: (r.fan_in, r.fan_out, r.churn) for r in coupling.module_nodes(coupling.module_edges(score), churn).collect()}
-    assert fans == {"src/a": (0, 2, None), "src/b": (1, 0, 4), "src/c": (1, 0, None)}
+    assert rows == {("web/view", "core/hub"): (2, 2, {"accesses": 2}), ("web/menu", "core/hub"): (1, 3, {"mutates": 1}), ("cli", "core/hub"): (1, 1, {"calls": 1})}
+    folded = {(r["from"], r["to"]): (r["count"], r.strength, dict(r.by_kind)) for r in coupling.module_edges(g, "dir").collect()}
+    assert folded == {("web", "core"): (3, 3, {"accesses": 2, "mutates": 1}), ("cli", "core"): (1, 1, {"calls": 1})}
+    churn = spark.createDataFrame([("core/hub", 5), ("cli", 7)], "module string, churn long")
+    fans = {r.module: (r.fan_in, r.fan_out, r.churn) for r in coupling.module_nodes(coupling.module_edges(g), churn).collect()}
+    assert fans == {"core/hub": (3, 0, 5), "web/view": (0, 1, None), "web/menu": (0, 1, None), "cli": (0, 1, 7)}
+    # strength times distance times the greater churn
+    assert {(r["from"], r.impact) for r in coupling.coupling_score(coupling.module_edges(g)).collect()} == {("web/view", 6), ("web/menu", 9), ("cli", 3)}
+    assert {(r["from"], r.impact) for r in coupling.coupling_score(coupling.module_edges(g), churn).collect()} == {("web/view", 30), ("web/menu", 45), ("cli", 21)}
+    assert coupling.module_cycles(coupling.module_edges(g)).count() == 0
+    # two rings that a one-way bridge joins, and a pair beside them
+    rings = [("r/a.py", "r/b.py"), ("r/b.py", "r/a.py"), ("r/b.py", "s/p.py"), ("s/p.py", "s/q.py"), ("s/q.py", "s/o.py"), ("s/o.py", "s/p.py"), ("t/x.py", "t/y.py")]
+    cycles = coupling.module_cycles(coupling.module_edges(ends(spark, *((a, b, "calls") for a, b in rings))))
+    assert sorted(r.cycle for r in cycles.collect()) == [["r/a", "r/b"], ["s/o", "s/p", "s/q"]]
 
 
 def test_god_structs_share_fields_by_name(spark):

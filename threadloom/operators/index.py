@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import NODES, REFS, Graph
-from ..sources.extract import code_lines, generated, references, symbols, is_test_path
+from ..sources.extract import generated, is_test_path, read_code, references, symbols
 from ..sources.manifest import manifest_symbols
 from ..sources.scan import indexed
 from .changes import changed_files
 from .resolve import resolve_references
 from .search import semantic_index
+from ..session import written
 from .traverse import checkpointed
 
 #: What a version holds.
@@ -39,8 +40,8 @@ def numbered_files(files: DataFrame, first: int = 0) -> DataFrame:
 
 def extract_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, contains edges and refs of files(path, content, language, seq)."""
-    lines = code_lines(files)
-    found = symbols(lines)
+    code = read_code(files)
+    found = written(symbols(code), "symbols-found")
     made = manifest_symbols(files).select("path", "kind", "name", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit("public").alias("visibility"), F.lit(True).alias("is_exported"))
     false = F.lit(False)
     both = found.unionByName(made, allowMissingColumns=True).fillna(False, ["is_async", "is_static", "is_test", "is_exported"])
@@ -48,7 +49,7 @@ def extract_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("path").orderBy("start_line", "start_column", "kind", "name")
     numbered = both.withColumn("ordinal", F.row_number().over(order)).join(head, "path").withColumn("id", F.col("seq") * ROOM + _roomy(F.col("ordinal")))
     numbered = checkpointed(numbered)
-    refs = references(lines)
+    refs = references(code, found)
     found = checkpointed(nested(numbered, refs))
     placed = numbered.join(found.where("id IS NOT NULL").select("id", "outer", "qualified_name"), "id")
     lang = F.coalesce("language", "file_language").alias("language")
@@ -71,31 +72,32 @@ def nested(found: DataFrame, refs: DataFrame) -> DataFrame:
     partition, with the open symbols on a stack.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    opens = found.select("path", F.col("start_line").alias("line"), "end_line", "ordinal", "id", "name", F.when(F.col("kind") == "import", 0).when(F.col("kind").isin("field", "enum_member", "constant", "type_alias") & (F.col("start_line") == F.col("end_line")), 1).otherwise(2).alias("holds"), none("string").alias("reference_name"), none("string").alias("kind"), none("string").alias("detail"))
-    asks = refs.select("path", "line", none("int").alias("end_line"), none("int").alias("ordinal"), none("long").alias("id"), none("string").alias("name"), F.lit(0).alias("holds"), "reference_name", "kind", "detail")
+    opens = found.select("path", F.col("start_line").alias("line"), "end_line", "ordinal", "id", "name", F.when(F.col("kind") == "import", 0).when(F.col("kind").isin("field", "enum_member", "constant", "type_alias") & (F.col("start_line") == F.col("end_line")), 1).otherwise(2).alias("holds"), none("string").alias("reference_name"), none("string").alias("kind"), none("string").alias("detail"), "number", "above")
+    asks = refs.select("path", "line", none("int").alias("end_line"), none("int").alias("ordinal"), none("long").alias("id"), none("string").alias("name"), F.lit(0).alias("holds"), "reference_name", "kind", "detail", none("int").alias("number"), none("array<int>").alias("above"))
     rows = opens.unionByName(asks).repartition("path").sortWithinPartitions("path", "line", F.desc_nulls_last("end_line"), "ordinal")
 
     def walk(record_batches):
         import pyarrow as pa
 
         schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("id", pa.int64()), ("outer", pa.int64()), ("qualified_name", pa.string()), ("reference_name", pa.string()), ("kind", pa.string()), ("detail", pa.string())])
-        here, stack = None, []  # of (last line, id, name, first line, holds)
+        here, stack = None, []  # of (last line, id, name, number of its statement, holds)
         for rb in record_batches:
             out = []
-            for path, line, end, _, id_, name, holds, reference, kind, detail in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            for path, line, end, _, id_, name, holds, reference, kind, detail, number, above in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 if path != here:
                     here, stack = path, []
                 while stack and stack[-1][0] < line:
                     stack.pop()
                 around = [x for x in stack if x[0] >= (line if end is None else end)]
                 if id_ is not None:
-                    around = [x for x in around if x[4] == 2]  # a member on the same line holds references alone
+                    # several on one line stand beside each other or within
+                    around = [x for x in around if x[4] == 2] if above is None else [x for x in stack if x[3] in above]
                     out.append((path, line, id_, around[-1][1] if around else None, "::".join([*(x[2] for x in around), name]), None, None, None))
                     if holds:
-                        stack.append((end, id_, name, line, holds))
+                        stack.append((end, id_, name, number, holds))
                 elif kind == "imports":
                     out.append((path, line, None, around[-1][1] if around else None, None, reference, kind, detail))
-                elif not (kind == "calls" and around and around[-1][2:4] == (reference, line)):  # a declaration without a keyword looks like a call
+                else:
                     out += [(path, line, None, x[1], None, reference, kind, detail) for x in around]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

@@ -1,47 +1,81 @@
-"""Symbols and references of source files, found lexically with DataFrame functions.
+"""Symbols and references of source files, found in statements with DataFrame functions.
 
-A parser for each language isn't at hand; instead a file becomes a table of lines, declarations are found by the rules of its
-language, and a symbol ends where its braces close or its indentation does. References inside a symbol's lines belong to it
-and to every symbol around it. Comments and strings are blanked first. So this reads ordinary, formatted code; what needs a
-grammar (macros, declarations over several lines, several on one line but for members) is out of reach. Ends, containers and
-matches are found by windows over the lines of a file and a level, so a file costs about its number of lines.
+``lexer`` turns a file into statements without comments and strings, each with the statement that it stands in. A statement
+is a declaration by the first rule of its language that matches; members are told by what they stand in. References are
+found line by line in what is code; those inside a symbol's lines belong to it and to every symbol around it. This is no
+parser: what macros expand to is out of reach, and so is code that only a grammar can tell (types of expressions, say).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .lexer import NO_CODE, scanned
 from .scan import MANIFESTS, file_name, language
 
 W = r"([A-Za-z_$][\w$]*)"
-# How languages declare symbols (the first rule that matches a line counts), import, and nest.
-RUST = [("function", rf"\bfn\s+{W}"), ("struct", rf"\bstruct\s+{W}"), ("enum", rf"\benum\s+{W}"), ("interface", rf"\btrait\s+{W}"), ("type_alias", rf"\btype\s+{W}"), ("constant", rf"\b(?:const|static)\s+(?:mut\s+)?{W}\s*:"), ("module", rf"\bmod\s+{W}")]
-SCRIPT = [("class", rf"\bclass\s+{W}"), ("interface", rf"\binterface\s+{W}"), ("enum", rf"\benum\s+{W}"), ("type_alias", rf"\btype\s+{W}\s*[=<]"), ("function", rf"\bfunction\s*\*?\s*{W}"), ("function", rf"\b(?:const|let|var)\s+{W}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", rf"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function|await|new)\b){W}\s*\([^;]*\)[^;=]*\{{\s*$")]
-JAVA = [("class", rf"\b(?:class|record)\s+{W}"), ("interface", rf"\binterface\s+{W}"), ("enum", rf"\benum\s+{W}"), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|async|override|virtual)\s+)*(?!(?:return|new|else|throw)\b)[\w<>\[\],.?]+\s+(?!(?:if|for|while|switch|catch|return)\b){W}\s*\([^;]*\)[^;]*\{{?\s*$")]
-C = [("struct", rf"\bstruct\s+{W}\s*\{{"), ("class", rf"\bclass\s+{W}"), ("enum", rf"\benum\s+(?:class\s+)?{W}"), ("module", rf"\bnamespace\s+{W}"), ("function", rf"^(?:[\w:<>*&~]+\s+)+[*&]*(?:\w+::)*(?!(?:if|for|while|switch|return)\b){W}\s*\([^;]*\)[^;]*$")]
+# How languages declare symbols: (kind, rule, kinds around it). A rule reads a statement on one line, with " {"
+# behind it if it opens a block and ";" if not; the first that matches counts. Kinds around: none asked for; or one of these.
+_VIS = r"^(?:pub(?:\s*\([^)]*\))?\s+)?"
+RUST = [
+    ("function", rf"{_VIS}(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*fn\s+{W}.*\{{$", ()), ("struct", rf"{_VIS}struct\s+{W}", ()), ("enum", rf"{_VIS}enum\s+{W}", ()), ("interface", rf"{_VIS}(?:unsafe\s+)?trait\s+{W}", ()),
+    ("type_alias", rf"{_VIS}type\s+{W}", ()), ("constant", rf"{_VIS}(?:const|static)\s+(?:mut\s+)?{W}\s*:", ()), ("module", rf"{_VIS}mod\s+{W}", ()),
+    ("enum_member", r"^([A-Z]\w*)\s*(?:[({=;]|$)", ("enum",)), ("field", r"^(?:pub(?:\s*\([^)]*\))?\s+)?(?:r#)?([a-z_]\w*)\s*:(?!:)", ("struct", "enum_member")),
+]
+_EXPORT = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
+_SCRIPT_METHOD = r"^(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*\*?\s*(?!(?:if|for|while|switch|catch|return|function|with|super|new|await|do)\b)(#?[A-Za-z_$][\w$]*)\s*\??\s*(?:<[^>]*>)?\("
+JAVASCRIPT = [
+    ("class", rf"{_EXPORT}(?:abstract\s+)?class\s+{W}", ()), ("function", rf"\bfunction\s*\*?\s*{W}.*\{{$", ()), ("function", rf"^(?:export\s+)?(?:const|let|var)\s+{W}\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", ()),
+    ("method", rf"{_SCRIPT_METHOD}.*\{{$", ("class", "literal")),
+]
+TYPESCRIPT = [
+    ("interface", rf"{_EXPORT}interface\s+{W}", ()), ("enum", rf"{_EXPORT}(?:const\s+)?enum\s+{W}", ()), ("type_alias", rf"{_EXPORT}type\s+{W}\s*[=<]", ()), ("module", rf"{_EXPORT}(?:namespace|module)\s+([\w.$]+)", ()), *JAVASCRIPT,
+    ("method", rf"{_SCRIPT_METHOD}.*;$", ("class", "interface")), ("enum_member", rf"^{W}\s*=(?![=>])", ("enum",)),
+    ("field", r"^(?:(?:public|private|protected|static|readonly|declare|override|accessor|abstract)\s+)*(#?[A-Za-z_$][\w$]*)\s*[?!]?\s*(?::|=(?![=>])|;$)", ("class", "interface")),
+]
+_MOD = r"^(?:(?:public|private|protected|internal|static|final|abstract|sealed|non-sealed|partial|readonly|synchronized|native|default|strictfp|transient|volatile|async|override|virtual|extern|unsafe|new|const|required|ref)\s+)*"
+_TYPE = r"(?!(?:return|throw|new|else|case|goto|await|yield|package|import|using|namespace|class|record|interface|enum|struct|delegate|event)\b)[\w.<>\[\],?&\s]*?[\w>\]?]"
+_CLASSES = ("class", "struct", "enum", "interface")
+JAVA = [
+    ("class", rf"{_MOD}class\s+{W}", ()), ("interface", rf"{_MOD}@?\s*interface\s+{W}", ()), ("enum", rf"{_MOD}enum\s+{W}", ()), ("module", r"^package\s+([\w.]+)", ()),
+    ("method", rf"{_MOD}(?:<.*?>\s*)?{_TYPE}\s+{W}\s*\(.*[{{;]$", _CLASSES), ("method", rf"{_MOD}(?:<.*?>\s*)?{W}\s*\((?:[^()]*\s[^()]*)?\).*\{{$", ("class", "enum")), ("constant", rf"{_MOD}{_TYPE}\s+{W}\s*(?:\[\s*\]\s*)?(?:=(?!>)|;$|,)", ("class", "enum")),
+]
+CSHARP = [
+    ("class", rf"{_MOD}(?:class|record(?:\s+(?:class|struct))?)\s+{W}", ()), ("struct", rf"{_MOD}struct\s+{W}", ()), ("interface", rf"{_MOD}interface\s+{W}", ()), ("enum", rf"{_MOD}enum\s+{W}", ()), ("module", r"^namespace\s+([\w.]+)", ()),
+    ("type_alias", rf"{_MOD}delegate\s+.*?{W}\s*(?:<[^>]*>)?\(", ()), ("method", rf"{_MOD}{_TYPE}\s+(?:\w+\.)*{W}\s*(?:<[^>]*>)?\(.*[{{;]$", ("class", "struct", "interface")), ("method", rf"{_MOD}(~?\w+)\s*\(.*[{{;]$", ("class", "struct")),
+    ("constant", rf"{_MOD}{_TYPE}\s+{W}\s*(?:=(?!>)|;$|,)", ("class", "struct")),
+]
+_C_NAME = r"(?!(?:if|for|while|switch|catch|return|else|do|case|goto|typedef|namespace|using|new|delete|throw|defined)\b)"
+C = [
+    ("type_alias", r"^typedef\b.*\(\s*\*\s*(\w+)\s*\)\s*\(.*;$", ()), ("type_alias", r"^typedef\b.*?(\w+)\s*(?:\[[^\]]*\]\s*)*;$", ()), ("constant", r"^#\s*define\s+(\w+)(?![\w(])", ()),
+    ("struct", r"\bstruct\s+(?:\w+\s+(?!final\b))?(\w+)\s*(?:final\s*)?(?::[^:].*)?\{$", ()), ("enum", r"\benum\s+(?:class\s+|struct\s+)?(\w+)[^()]*\{$", ()),
+    ("function", rf"^{_C_NAME}[\w:<>,*&~\[\]\s]*?[\s*&>](?:\w+(?:<[^<>]*>)?::)*{_C_NAME}(~?[A-Za-z_]\w*)\s*\(.*\{{$", ()),
+]
+CPP = [
+    ("class", r"^(?:template\s*<.*>\s*)?class\s+(?:\w+\s+(?=(?!final\b)\w+\s*(?:final\s*)?[:{]))?(\w+)\s*(?:final\s*)?(?::[^:].*)?\{$", ()), ("module", r"^(?:inline\s+)?namespace\s+([\w:]+)", ()), ("type_alias", rf"^(?:template\s*<.*>\s*)?using\s+{W}\s*=", ()), *C,
+    ("function", r"^(?:\w+(?:<[^<>]*>)?::)+(~?\w+)\s*\(.*\{$", ()), ("function", rf"^(?:(?:explicit|inline|virtual|constexpr|public:|private:|protected:)\s+)*{_C_NAME}(~?\w+)\s*\(.*\{{$", ("class", "struct")),
+]
 RULES = {
-    "rust": RUST, "typescript": SCRIPT, "tsx": SCRIPT, "javascript": SCRIPT, "jsx": SCRIPT,
-    "python": [("function", rf"^\s*(?:async\s+)?def\s+{W}"), ("class", rf"^\s*class\s+{W}")],
-    "go": [("function", rf"^func\s+{W}"), ("method", rf"^func\s+\([^)]*\)\s*{W}"), ("struct", rf"^type\s+{W}\s+struct"), ("interface", rf"^type\s+{W}\s+interface"), ("type_alias", rf"^type\s+{W}"), ("constant", rf"^const\s+{W}")],
-    "java": JAVA, "csharp": [*JAVA, ("struct", rf"\bstruct\s+{W}"), ("module", rf"\bnamespace\s+{W}")], "groovy": [*JAVA, ("method", rf"^\s*def\s+{W}\s*\(")], "c": C, "cpp": C,
-    "kotlin": [("function", rf"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?{W}"), ("class", rf"\b(?:class|interface|object)\s+{W}")],
-    "scala": [("function", rf"\bdef\s+{W}"), ("class", rf"\b(?:class|object)\s+{W}"), ("interface", rf"\btrait\s+{W}")],
-    "ruby": [("function", rf"^\s*def\s+(?:self\.)?{W}"), ("class", rf"^\s*class\s+{W}"), ("interface", rf"^\s*module\s+{W}")],
+    "rust": RUST, "typescript": TYPESCRIPT, "tsx": TYPESCRIPT, "javascript": JAVASCRIPT, "jsx": JAVASCRIPT, "java": JAVA, "csharp": CSHARP, "c": C, "cpp": CPP,
+    "python": [("function", rf"^(?:async\s+)?def\s+{W}", ()), ("class", rf"^class\s+{W}", ())],
+    "go": [("function", rf"^func\s+{W}.*\{{$", ()), ("method", rf"^func\s*\([^)]*\)\s*{W}.*\{{$", ()), ("struct", rf"^type\s+{W}(?:\[[^\]]*\])?\s+struct\b", ()), ("interface", rf"^type\s+{W}(?:\[[^\]]*\])?\s+interface\b", ()), ("type_alias", rf"^type\s+{W}", ()), ("constant", rf"^const\s+{W}", ()), ("module", rf"^package\s+{W}", ())],
+    "groovy": [*JAVA[:4], ("function", rf"{_MOD}def\s+{W}\s*\(.*\{{$", ("none",)), ("method", rf"{_MOD}def\s+{W}\s*\(.*\{{$", _CLASSES), *JAVA[4:]],
+    "kotlin": [("function", rf"^(?:[a-z]+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)*{W}\s*\(", ()), ("class", rf"^(?:[a-z]+\s+)*(?:class|interface|object)\s+{W}", ()), ("type_alias", rf"^(?:[a-z]+\s+)*typealias\s+{W}", ()), ("constant", rf"^(?:[a-z]+\s+)*const\s+val\s+{W}", ()), ("module", r"^package\s+([\w.]+)", ())],
+    "scala": [("function", rf"^(?:[a-z]+\s+)*def\s+{W}", ()), ("class", rf"^(?:[a-z]+\s+)*(?:class|object)\s+{W}", ()), ("interface", rf"^(?:[a-z]+\s+)*trait\s+{W}", ()), ("enum", rf"^(?:[a-z]+\s+)*enum\s+{W}", ()), ("type_alias", rf"^(?:[a-z]+\s+)*type\s+{W}", ()), ("constant", rf"^(?:[a-z]+\s+)*val\s+{W}", ()), ("module", r"^package\s+([\w.]+)", ())],
+    "ruby": [("function", rf"^def\s+(?:self\.)?{W}", ()), ("class", rf"^class\s+{W}", ()), ("interface", rf"^module\s+{W}", ()), ("constant", r"^([A-Z][A-Z0-9_]*)\s*=(?![=~])", ())],
 }
-#: (kind, kinds of container, rule for one member) and how imports name one thing.
-RUST_MEMBERS = [("enum_member", ("enum",), r"^\s*(?:#\[[^\]]*\]\s*)*([A-Z]\w*)\s*(?:[={].*)?$"), ("field", ("struct", "enum_member"), r"^\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\)|\s)\s*)?([a-z_]\w*)\s*(?::(?!:).*)?$")]
-SCRIPT_MEMBERS = [("enum_member", ("enum",), rf"^\s*{W}\s*=[^=>]"), ("field", ("interface",), rf"^\s*(?:readonly\s+)?{W}\??\s*:"), ("field", ("class",), r"^\s*(?:(?:public|private|protected|static|readonly|declare|override|accessor)\s+)*(?!(?:return|throw|break|continue)\b)(#?[A-Za-z_$][\w$]*)[?!]?\s*(?::.*|=[^=>].*)?$")]
-MEMBERS = {"rust": RUST_MEMBERS, "typescript": SCRIPT_MEMBERS, "tsx": SCRIPT_MEMBERS}
-IMPORT_NAMES = {"rust": r"^\s*(?:pub\s+)?use\s+(\w+)\s*;", "python": r"^\s*(?:from\s+[\w.]+\s+)?import\s+\(?\s*([A-Za-z_][\w.]*)", "typescript": rf"^\s*import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "tsx": rf"^\s*import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "csharp": r"^\s*using\s+(\w+)\s*;", "go": r"^\s*import\s+([A-Za-z_]\w*)\s+\""}
-TRIPLE = "\"\"\"|'''"
+#: Braces after this are an object, whose members are methods too.
+LITERAL = r"(?:[=(,:?\[&|]|\breturn|\bdefault) \{$"
+IMPORT_NAMES = {"rust": r"^(?:pub\s+)?use\s+(\w+)\s*;", "python": r"^(?:from\s+[\w.]+\s+)?import\s+\(?\s*([A-Za-z_][\w.]*)", "typescript": rf"^import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "tsx": rf"^import\s+(?:type\s+)?{W}\s*(?:,|from\b)", "csharp": r"^using\s+(\w+)\s*;", "go": r"^import\s+([A-Za-z_]\w*)\s+\""}
+PREPROCESSED = ("c", "cpp", "csharp")
+ANNOTATED = ("java", "kotlin", "scala", "groovy")
 TEST_MARKS = r"#\[test\]|#\[tokio::test\]|#\[cfg\(test\)\]|@Test|@pytest\."
-INDENTED = ("python", "ruby")
 FIELD_LANGUAGES = ("rust", "typescript", "tsx", "javascript", "jsx", "python")
-IMPORT = r"^\s*(?:pub\s+)?(?:use|import|from|require|#include|using)\b"
 NOT_IMPORTED = ("use", "import", "from", "as", "pub", "crate", "self", "super")
-KEYWORDS = "if for while switch match return catch function fn def class elif else and or not in new await async sizeof typeof super constructor let const var func defer go select with lambda assert del yield print_ except raise unless until".split()
 TEST_DIRS = ("/tests/", "/test/", "/__tests__/", "/spec/")
 TEST_ENDS = ("_test.go", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.js", "_spec.rb", "_test.rb")
 GENERATED_DIRS = ("/generated/", "/.generated/", "/gen/")
@@ -49,6 +83,12 @@ GENERATED_ENDS = (".pb.go", ".pb.cc", ".pb.h", "_pb2.py", ".g.dart", ".freezed.d
 GENERATED_MARKS = ("do not edit", "auto-generated", "autogenerated", "generated by", "@generated")
 
 
+IMPORT = r"^\s*(?:(?:pub(?:\s*\([^)]*\))?\s+)?use\b(?!\s*\()|import\b(?!\s*\()|from\s+\S+\s+import\b|require(?:_relative)?\s+[\"']|#\s*include\b|using\s+(?!.*=)[\w.]+\s*;)"
+KEYWORDS = "if for while switch match return catch function fn def class elif else and or not new await async sizeof typeof super constructor let const var func defer select with lambda assert del yield print_ except raise unless until type import package interface struct chan map range foreach lock fixed checked unchecked nameof synchronized when do try using defined decltype alignof noexcept static_assert __attribute__ where int void char float double bool long short unsigned signed pub".split()
+#: A declaration that such a word marks isn't read as a call.
+DECLARED = r"\b(?:fn|def|function|func|fun)\s+(?:\([^)]*\)\s*)?(?:<[^>]*>\s*)?(?:[\w?]+\.)?[\w$]+\s*(?:<[^<>]*>\s*)?\("
+
+
 def _any(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:
@@ -56,14 +96,6 @@ def _any(conditions) -> Column:
     return out
 
 
-def _first_rule(rules) -> Column:
-    """kind and name by the first of the rules (condition, kind, column, pattern) that matches; one flat expression."""
-    found = F
-    for where, kind, column, rule in rules:
-        found = found.when(where & F.col(column).rlike(rule), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(column, rule, 1).alias("name")))
-    return found
-
-
 def is_test_name(name: Column) -> Column:
     """Whether a symbol is named like a test."""
     return F.lower(name).rlike(r"^(tests?|test_.*|.*_tests?)$") | name.rlike(r"^[Tt]est[A-Z]") | name.rlike(r"^.+Test$")
@@ -78,177 +110,145 @@ def generated(path: Column, content: Column) -> Column:
     p, head = F.lower(F.translate(path, "\\", "/")), F.lower(F.substring(content, 1, 512))
     return _any(F.contains(p, F.lit(d)) for d in GENERATED_DIRS) | _any(p.endswith(e) for e in GENERATED_ENDS) | _any(F.contains(head, F.lit(m)) for m in GENERATED_MARKS)
 
+@dataclass(frozen=True)
+class Code:
+    """lines(path, language, line, text, code) and statements(path, language, number, parent, line, end_line, column, head, opens, raw, marks)."""
 
-def blanked(text: Column, lang: Column) -> Column:
-    """A line without strings, line comments and Rust's attributes."""
-    text = F.when(lang == "rust", F.regexp_replace(text, r"#!?\[[^\]]*\]", "")).otherwise(text)
-    text = F.regexp_replace(text, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", "\"\"")
-    return F.when(lang.isin("python", "ruby"), F.regexp_replace(text, r"#.*$", "")).otherwise(F.regexp_replace(text, r"//.*$|/\*.*?\*/|^\s*\*.*$", ""))
+    lines: DataFrame
+    statements: DataFrame
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """path, language, line, text, code, indent, before and after (open braces around the line), quoted (number of the triple-quoted text it is part of)."""
+def read_code(files: DataFrame) -> Code:
+    """The code of files(path, content) in languages that have rules."""
     lang = language(F.col("path"))
-    source = files.where(F.col("content").isNotNull() & ~file_name(F.col("path")).isin(*MANIFESTS))
-    rows = source.select("path", lang.alias("language"), F.posexplode(F.split("content", "\r?\n"))).where(F.col("language").isin(*RULES))
-    rows = rows.select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), F.col("col").alias("text"))
-    ahead = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    marks = F.when(F.col("language") == "python", F.size(F.split("text", TRIPLE)) - 1).otherwise(0)
-    rows = rows.withColumn("marks", marks).withColumn("marks_before", F.coalesce(F.sum("marks").over(ahead), F.lit(0)))
-    inside = F.col("marks_before") % 2 == 1
-    quoted = F.when(inside | (F.col("marks") > 0), F.floor(F.col("marks_before") / 2))
-    code = F.when(inside | F.col("text").rlike(rf"^\s*r?(?:{TRIPLE})"), "").otherwise(blanked(F.col("text"), F.col("language")))
-    rows = rows.select("path", "language", "line", "text", code.alias("code"), quoted.alias("quoted"))
-    opened = F.length(F.regexp_replace("code", r"[^{]", "")) - F.length(F.regexp_replace("code", r"[^}]", ""))
-    so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("opened", opened).withColumn("after", F.sum("opened").over(so_far))
-    # read by many steps below
-    return written(rows.withColumn("before", F.col("after") - F.col("opened")).withColumn("indent", F.when(F.trim("code") != "", F.length("code") - F.length(F.ltrim("code")))), "code-lines")
-
-
-def closings(lines: DataFrame) -> DataFrame:
-    """path, level, at, close: where blocks at a level of braces (or of indentation) end. A line ends each level once."""
-    filled = lines.where("indent IS NOT NULL").withColumn("was", F.lag("indent").over(Window.partitionBy("path").orderBy("line")))
-    indented = filled.where(F.col("language").isin(*INDENTED) & (F.col("was") >= F.col("indent"))).select("path", F.explode(F.sequence(F.col("indent").cast("long"), F.col("was").cast("long"))).alias("level"), F.col("line").alias("at"), (F.col("line") - 1).alias("close"))
-    braces = lines.where(~F.col("language").isin(*INDENTED) & (F.col("after") < F.col("before"))).select("path", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), F.col("line").alias("at"), F.col("line").alias("close"))
-    return indented.unionByName(braces)
-
-
-def closed(openings: DataFrame, ends: DataFrame) -> DataFrame:
-    """openings(path, level, line, ...) with close: the next end of their level after their line, in one window by level."""
-    rows = openings.withColumn("opens", F.lit(True)).withColumn("at", F.col("line")).unionByName(ends.withColumn("opens", F.lit(False)), allowMissingColumns=True)
-    later = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("close", F.last("close", ignorenulls=True).over(later)).where("opens").drop("opens", "at")
-
-
-def symbols(lines: DataFrame) -> DataFrame:
-    """path, language, kind, name, start_line, end_line, start_column, signature, visibility, flags and docstring."""
-    found = _first_rule((F.col("language") == lang, kind, "code", rule) for lang, rules in RULES.items() for kind, rule in rules)
+    source = files.where(F.col("content").isNotNull() & ~file_name(F.col("path")).isin(*MANIFESTS)).select("path", lang.alias("language"), "content").where(F.col("language").isin(*NO_CODE))
+    found = written(scanned(source), "code")  # read by many steps below
+    pairs = F.arrays_zip(F.split("content", "\n").alias("text"), F.split("code", "\n").alias("code"))
+    lines = found.where("number IS NULL").select("path", "language", F.posexplode(pairs)).select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), "col.text", "col.code")
+    statements = found.where("number IS NOT NULL").drop("code", "content").withColumn("ruled", F.concat("head", F.when(F.col("opens"), " {").otherwise(";")))
+    return Code(lines, statements)
+
+
+def declared(statements: DataFrame) -> DataFrame:
+    """Statements with kind and name, as far as they declare something: by what they say, then by what they stand in."""
+
+    def rule(free: bool):
+        found = F
+        for lang, rules in RULES.items():
+            for kind, pattern, around in rules:
+                if free != bool(around):
+                    found = found.when((F.col("language") == lang) & (F.lit(True) if free else F.col("around").isin(*around)) & F.col("ruled").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("ruled", pattern, 1).alias("name")))
+        return found
+
+    is_import = F.col("ruled").rlike(IMPORT)
+    rows = statements.withColumn("found", F.when(~is_import, rule(True)))
+    names = F
+    for lang, pattern in IMPORT_NAMES.items():
+        names = names.when((F.col("language") == lang) & F.col("ruled").rlike(pattern), F.struct(F.lit("import").alias("kind"), F.regexp_extract("ruled", pattern, 1).alias("name")))
+    rows = written(rows.withColumn("found", F.coalesce("found", names)), "declared")
+    literal = F.col("language").isin("typescript", "tsx", "javascript", "jsx") & F.col("ruled").rlike(LITERAL)
+    for _ in range(2):  # what stands in a member, as fields of a variant do, comes after it
+        around = rows.select("path", F.col("number").alias("parent"), F.coalesce("found.kind", F.when(literal, "literal"), F.lit("block")).alias("around"))
+        rows = rows.join(around, ["path", "parent"], "left").withColumn("around", F.coalesce("around", F.lit("none"))).withColumn("found", F.coalesce("found", F.when(~is_import, rule(False)))).drop("around")
+    return rows
+
+
+def symbols(code: Code) -> DataFrame:
+    """path, language, number, above, head, kind, name, start_line, end_line, start_column, signature, visibility, flags and docstring."""
+    lines, rows = code.lines, written(declared(code.statements), "symbols")
+    every = rows.where("found.name <> ''").select("*", "found.*").drop("found")
+    # a text alone at the beginning of a block tells what it is about
+    trimmed = F.filter(F.transform(F.split("raw", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    bodies = rows.where((F.col("language") == "python") & F.col("head").rlike(r"^[rRuU]?\"\s*\"$") & (F.col("number") == F.col("parent") + 1)).select("path", F.col("parent").alias("number"), F.array_join(trimmed, "\n").alias("body"))
     by_path = Window.partitionBy("path").orderBy("line")
-    indented = F.col("language").isin(*INDENTED)
-    filled = lines.withColumn("eof", F.max("line").over(Window.partitionBy("path"))).where("indent IS NOT NULL").withColumn("next", F.lead("code").over(by_path)).withColumn("level", F.when(indented, F.col("indent")).otherwise(F.col("before")).cast("long"))
-    ends = written(closings(lines), "code-ends")
-    columns = ["path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "eof"]
-    own = filled.withColumn("found", found).where(F.col("found").isNotNull() & ~F.col("code").rlike(IMPORT)).select(*columns, "found.*")
-    own = written(ended(closed(own, ends)), "code-symbols")
-    every = own.unionByName(ended(closed(members(filled, own), ends))).unionByName(imported(filled).withColumn("end_line", F.col("line")), allowMissingColumns=True)
-    head = F.trim(F.regexp_replace("text", r"\{.*$", ""))
-    cut = F.when(F.length(head) > 200, F.concat(F.substring(head, 1, 200), F.lit("..."))).otherwise(head)
-    signature = F.when(F.col("kind").isin("function", "method"), cut).when(F.col("kind").isin("class", "struct", "interface"), head)
-    lang = F.col("language")
-    word = _text(F.regexp_extract("text", r"^\s*(?:export\s+)?(pub|public|private|protected)\b", 1))
-    visibility = F.coalesce(F.when(word == "pub", "public").otherwise(word), F.when(F.col("text").rlike(r"^\s*export\b"), "public"), F.when(lang.isin("go", "python"), "public").when(lang.isin("rust", "typescript", "tsx", "javascript", "jsx"), "private").otherwise("unknown"))
     # words anywhere in a symbol's lines: how many lines up to each have them
     so_far = by_path.rowsBetween(Window.unboundedPreceding, 0)
     ahead = by_path.rowsBetween(Window.unboundedPreceding, -1)
     attribute = F.col("text").rlike(r"^\s*(?:#!?\[[^\]]*\]\s*$|#(?!!?\[)|@[\w.]+(?:\([^)]*\))?\s*$|//|/\*|\*)")
     counts = lines.select(
-        "path", "line", *(F.sum(F.contains("text", F.lit(f" {w} ")).cast("int")).over(so_far).alias(f"{w}_upto") for w in ("async", "static")),
+        "path", "line", "text", *(F.sum(F.contains("text", F.lit(f" {w} ")).cast("int")).over(so_far).alias(f"{w}_upto") for w in ("async", "static")),
         (F.coalesce(F.last(F.when(F.col("text").rlike(TEST_MARKS), F.col("line")), ignorenulls=True).over(ahead), F.lit(0)) > F.coalesce(F.last(F.when(~attribute & (F.trim("text") != ""), F.col("line")), ignorenulls=True).over(ahead), F.lit(0))).alias("test_above"),
     )
     at_end = counts.select("path", F.col("line").alias("end_line"), F.col("async_upto").alias("async_end"), F.col("static_upto").alias("static_end"))
-    full = every.join(counts, ["path", "line"]).join(at_end, ["path", "end_line"], "left").join(comments(lines), ["path", "line"], "left").join(quoted_bodies(lines), ["path", "line"], "left")
-    has = lambda w: F.col("text").rlike(rf"^\s*{w} ") | F.contains("text", F.lit(f" {w} ")) | (F.coalesce(f"{w}_end", f"{w}_upto") > F.col(f"{w}_upto"))
-    marked = F.col("test_above") | F.col("text").rlike(TEST_MARKS)
+    full = every.join(counts, ["path", "line"]).join(at_end, ["path", "end_line"], "left").join(comments(lines), ["path", "line"], "left").join(bodies, ["path", "number"], "left")
+    first = F.expr("substring(text, column + 1)")
+    head = F.trim(F.regexp_replace(first, F.when(F.col("opens"), r"\{.*$").otherwise(r"\{.*$|\s*\}\s*$"), F.lit("")))
+    cut = F.when(F.length(head) > 200, F.concat(F.substring(head, 1, 200), F.lit("..."))).otherwise(head)
+    signature = F.when(F.col("kind").isin("function", "method"), cut).when(F.col("kind").isin("class", "struct", "interface"), head)
+    lang = F.col("language")
+    word = _text(F.regexp_extract("head", r"^(?:export\s+)?(pub|public|private|protected)\b", 1))
+    visibility = F.coalesce(F.when(word == "pub", "public").otherwise(word), F.when(F.col("head").rlike(r"^export\b"), "public"), F.when(lang.isin("go", "python"), "public").when(lang.isin("rust", "typescript", "tsx", "javascript", "jsx"), "private").otherwise("unknown"))
+    has = lambda w: F.col("head").rlike(rf"^(?:.* )?{w} ") | (F.coalesce(f"{w}_end", f"{w}_upto") > F.col(f"{w}_upto"))
+    marked = F.col("test_above") | F.concat_ws(" ", "marks", first).rlike(TEST_MARKS)
     return full.select(
-        "path", "language", "kind", "name", F.col("line").alias("start_line"), "end_line", F.coalesce("indent", F.lit(0)).alias("start_column"), signature.alias("signature"), visibility.alias("visibility"), F.coalesce("comment", F.when(indented, F.col("body"))).alias("docstring"),
-        has("async").alias("is_async"), has("static").alias("is_static"), F.col("text").rlike(r"^\s*(?:export\b|pub )").alias("is_exported"), (is_test_path(F.col("path")) | (F.col("kind").isin("function", "method", "class") & (is_test_name(F.col("name")) | marked))).alias("is_test"),
+        "path", "language", "number", "above", "kind", "name", "head", F.col("line").alias("start_line"), "end_line", F.col("column").alias("start_column"), signature.alias("signature"), visibility.alias("visibility"), F.coalesce("comment", "body").alias("docstring"),
+        has("async").alias("is_async"), has("static").alias("is_static"), F.col("head").rlike(r"^(?:export\b|pub )").alias("is_exported"), (is_test_path(F.col("path")) | (F.col("kind").isin("function", "method", "class") & (is_test_name(F.col("name")) | marked))).alias("is_test"),
     )
 
 
-def ended(found: DataFrame) -> DataFrame:
-    """Symbols with end_line: their own line where nothing opens, else where their level ends, else the last line of a file."""
-    opens = F.col("after") > F.col("before")
-    waits = F.col("next").rlike(r"^\s*\{") | (F.length(F.regexp_replace("code", r"[^(]", "")) > F.length(F.regexp_replace("code", r"[^)]", "")))
-    alone = ~opens & (F.col("kind").isin("field", "enum_member", "import", "constant", "type_alias") | F.col("code").rlike(r"[;}]\s*$") | ~F.coalesce(waits, F.lit(False)))
-    eof = F.when(F.col("language").isin(*INDENTED), F.col("eof")).otherwise(F.col("line"))
-    return found.withColumn("end_line", F.when(~F.col("language").isin(*INDENTED) & alone, F.col("line")).otherwise(F.coalesce("close", eof)).cast("int")).drop("close")
-
-
-def members(filled: DataFrame, own: DataFrame) -> DataFrame:
-    """Fields and enum members: of Rust and TypeScript, on the lines right inside of their container or in its braces on one line.
-
-    The container of a line is the last symbol one level further out, if that has not ended: one window by level.
-    """
-    asked = filled.where(F.col("language").isin(*MEMBERS))
-    holders = own.where(F.col("language").isin(*MEMBERS))
-    a = asked.withColumn("holder", F.lit(None).cast("struct<kind:string,end:int>")).withColumn("level", F.col("level") - 1).withColumn("asks", F.lit(True))
-    b = holders.select("path", "level", "line", F.struct(F.col("kind"), F.col("end_line").alias("end")).alias("holder"), F.lit(False).alias("asks"))
-    so_far = Window.partitionBy("path", "level").orderBy("line", F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
-    within = a.unionByName(b, allowMissingColumns=True).withColumn("holder", F.last("holder", ignorenulls=True).over(so_far)).where(F.col("asks") & (F.col("holder.end") >= F.col("line"))).withColumn("level", F.col("level") + 1).withColumn("within", F.col("holder.kind")).drop("asks", "holder")
-    within = within.join(own.select("path", "line"), ["path", "line"], "left_anti").withColumn("inner", F.col("code"))
-    inline = holders.withColumn("within", F.col("kind")).withColumn("inner", F.regexp_extract("code", r"\{(.*)\}", 1)).where("inner <> ''")
-    inner = F.col("inner")
-    for _ in range(3):  # what is nested in a member holds no other
-        inner = F.regexp_replace(inner, r"\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    columns = ["path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "eof", "within"]
-    pieces = within.select(*columns, inner.alias("inner"), F.lit(False).alias("inline")).unionByName(inline.select(*columns, inner.alias("inner"), F.lit(True).alias("inline"))).select(*columns, "inline", F.explode(F.split("inner", "[,;]")).alias("piece"))
-    # what stands in a container's braces comes after it
-    place = F.when(F.col("inline"), F.greatest(F.instr("code", "{"), F.instr("code", F.trim("piece")) - 1)).otherwise(F.col("indent"))
-    found = _first_rule(((F.col("language") == lang) & F.col("within").isin(*containers), kind, "piece", rule) for lang, rules in MEMBERS.items() for kind, containers, rule in rules)
-    return pieces.withColumn("found", found).where("found IS NOT NULL").withColumn("text", F.col("piece")).withColumn("indent", place).select(*[c for c in columns if c != "within"], "found.*")
-
-
-def imported(filled: DataFrame) -> DataFrame:
-    """Import symbols, where the imported thing has one plain name."""
-    found = _first_rule((F.col("language") == lang, "import", "code", rule) for lang, rule in IMPORT_NAMES.items())
-    return filled.withColumn("found", found).where("found IS NOT NULL").select("path", "language", "line", "text", "code", "indent", "level", "before", "after", "next", "found.*")
-
-
 def comments(lines: DataFrame) -> DataFrame:
     """path, line, comment: the run of comment lines that ends right above the line, without its marks and blank lines."""
-    is_comment = F.when(F.col("language").isin(*INDENTED), F.col("text").rlike(r"^\s*#")).otherwise(F.col("text").rlike(r"^\s*(?://|/\*|\*)"))
+    is_comment = (F.trim("code") == "") & F.when(F.col("language").isin("python", "ruby"), F.col("text").rlike(r"^\s*#")).otherwise(F.trim("text") != "")
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim("text"), r"^(?:///)*(?://!)*(?://)*(?:/\*\*)*(?:/\*)*\**", ""), r"(?:\*/)+$", ""))
     rows = lines.where(is_comment).select("path", "line", clean.alias("t")).withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("path").orderBy("line")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("line", "t")))), lambda x: x["t"]), "\n")
     return rows.groupBy("path", "run").agg((F.max("line") + 1).alias("line"), text.alias("comment")).select("path", "line", _text(F.col("comment")).alias("comment"))
 
 
-def quoted_bodies(lines: DataFrame) -> DataFrame:
-    """path, line, body: the triple-quoted text that begins on the line after."""
-    rows = lines.where("quoted IS NOT NULL")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"]), "\n")
-    found = rows.groupBy("path", "quoted").agg(F.min("line").alias("first"), text.alias("body")).where(F.col("body").rlike(rf"^r?(?:{TRIPLE})"))
-    return found.select("path", (F.col("first") - 1).alias("line"), F.regexp_replace("body", r"\n+", "\n").alias("body"))
-
-
 def _text(column: Column) -> Column:
     return F.when(column != "", column)
 
 
-def matched_lines(lines: DataFrame) -> DataFrame:
-    """lines with in_match: whether a match of Rust is around them or on them."""
-    begins = lines.where((F.col("language") == "rust") & F.col("code").rlike(r"\bmatch\b")).select("path", F.col("before").alias("level"), "line", (F.col("after") > F.col("before")).alias("open"))
-    spans = closed(begins, closings(lines)).select("path", F.col("line").alias("first"), F.when(F.col("open"), F.coalesce("close", "line")).otherwise(F.col("line")).alias("last"))
-    steps = spans.select("path", F.col("first").alias("line"), F.lit(1).alias("step")).unionByName(spans.select("path", (F.col("last") + 1).alias("line"), F.lit(-1).alias("step"))).groupBy("path", "line").agg(F.sum("step").alias("step"))
+def matched_lines(code: Code) -> DataFrame:
+    """The lines with in_match: whether a match of Rust is around them or on them."""
+    spans = code.statements.where((F.col("language") == "rust") & F.col("head").rlike(r"\bmatch\b"))
+    steps = spans.select("path", "line", F.lit(1).alias("step")).unionByName(spans.select("path", (F.col("end_line") + 1).alias("line"), F.lit(-1).alias("step"))).groupBy("path", "line").agg(F.sum("step").alias("step"))
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
-
-
-def references(lines: DataFrame) -> DataFrame:
-    """path, line, reference_name, kind, detail: calls, field reads and writes, matched variants, imports, changed parameters."""
-    lang, code = F.col("language"), F.col("code")
-    imported = code.rlike(IMPORT)
-    body = matched_lines(lines).where(~imported & (F.trim("code") != ""))
-    matching = F.col("in_match")
-    declared = F.regexp_replace("code", r"\b(?:fn|def|function|func|fun)\s+(?:\([^)]*\)\s*)?(?:\w+\.)?[\w$]+\s*\(", "")
+    return code.lines.join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
+
+
+def without_declared(calls: DataFrame, found: DataFrame, statements: DataFrame) -> DataFrame:
+    """Calls less the names of declarations without a word that marks them: of each the first place from its line on."""
+    name = F.regexp_replace("name", "^~", "")
+    bare = found.where(F.col("kind").isin("function", "method", "class", "enum_member", "type_alias") & (F.contains("head", F.concat(name, F.lit("("))) | F.contains("head", F.concat(name, F.lit(" (")))) & ~F.col("head").rlike(DECLARED)).select("path", F.col("start_line").alias("line"), name.alias("reference_name"))
+    # what a header, an interface or an enum only promises
+    promise = rf"^(?!(?:return|throw|new|delete|goto|else|case|typedef|using)\b)(?:[\w\s*&:<>,~\[\]]*?[\s*&>~])?{W}\s*\([^=]*\)[^=]*;$"
+    holders = found.where(F.col("kind").isin("class", "struct", "interface", "enum") & F.col("language").isin("c", "cpp", "go", "java", "csharp")).select("path", F.col("number").alias("parent"), F.lit(True).alias("held"))
+    outside = F.col("parent").isNull() & F.col("language").isin("c", "cpp") & F.col("ruled").rlike(r"^[\w:~]+[\s*&<]")
+    promised = statements.join(holders, ["path", "parent"], "left").where(~F.col("opens") & (F.col("held") | outside) & F.col("ruled").rlike(promise)).select("path", "line", F.regexp_extract("ruled", promise, 1).alias("reference_name"))
+    promised = promised.join(bare, ["path", "line", "reference_name"], "left_anti")
+    names = bare.unionByName(promised).withColumn("nth", F.lit(-1))
+    order = Window.partitionBy("path", "reference_name").orderBy("line", "nth")
+    rows = calls.unionByName(names, allowMissingColumns=True).withColumn("after", F.lag("nth").over(order))
+    return rows.where((F.col("nth") >= 0) & ~F.coalesce(F.col("after") < 0, F.lit(False))).drop("after", "nth")
+
+
+def references(code: Code, found: DataFrame) -> DataFrame:
+    """path, line, reference_name, kind, detail: calls, field reads and writes, matched variants, imports, changed parameters; found: the symbols."""
+    lang, text = F.col("language"), F.col("code")
+    body = matched_lines(code).where((F.trim("code") != "") & ~text.rlike(IMPORT) & ~(lang.isin(*PREPROCESSED) & text.rlike(r"^\s*#")))
     fielded = lang.isin(*FIELD_LANGUAGES)
+    plain = F.when(lang == "rust", F.regexp_replace("code", r"#!?\[[^\]]*\]", "")).when(lang.isin(*ANNOTATED), F.regexp_replace("code", r"@[\w.]+", "")).otherwise(text)
 
-    def each(kind: str, where: Column, rule: str, detail: str | None = None, source: Column = code) -> DataFrame:
-        name = F.explode(F.regexp_extract_all(source, F.lit(rule), F.lit(1)))
-        return body.where(where).select("path", "line", name.alias("reference_name"), F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"))
+    def each(kind: str, where: Column, rule: str, detail: str | None = None, source: Column = plain) -> DataFrame:
+        names = F.posexplode(F.regexp_extract_all(source, F.lit(rule), F.lit(1))).alias("nth", "reference_name")
+        return body.where(where).select("path", "line", names, F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"))
 
-    calls = each("calls", F.lit(True), rf"(?<![\w$]){W}\s*(?:::<[^>]*>)?\(", source=declared).where(~F.col("reference_name").isin(*KEYWORDS))
+    calls = each("calls", F.lit(True), rf"(?<![\w$]){W}\s*(?:::<[^>]*>|<[\w\s,.:*&?\[\]]*>)?\(", source=F.regexp_replace(plain, DECLARED, "")).where(~F.col("reference_name").isin(*KEYWORDS))
+    calls = calls.where((F.col("reference_name") != "in") | ~F.regexp_extract("path", r"\.(\w+)$", 1).isin("py", "pyi", "js", "jsx", "ts", "tsx", "mjs", "cjs", "kt", "kts", "groovy", "gradle"))
+    out = without_declared(calls, found, code.statements)
     macros = each("calls", lang == "rust", rf"(?<![\w$]){W}!\s*[(\[{{]")
     writes = each("mutates", fielded, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
     reads = each("accesses", fielded, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
-    variants = each("references", (lang == "rust") & matching, r"\b\w+::(\w+)\b(?!::)", "dispatch", source=F.regexp_replace(code, r"<[^<>]*>", ""))
-    cases = each("references", lang.isin("typescript", "tsx", "javascript", "jsx", "python") & code.rlike(r"^\s*case\b"), rf"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch")
-    changed = each("mutates", (lang == "rust") & code.rlike(r"\bfn\b"), r":\s*&(?:'\w+\s+)?mut\s+(?:\w+::)*([A-Z]\w*)", "mut_param")
-    words = F.filter(F.regexp_extract_all(F.regexp_replace("text", r"[\"';]", " "), F.lit(r"(\w+)"), F.lit(1)), lambda w: ~w.isin(*NOT_IMPORTED))
+    variants = each("references", (lang == "rust") & F.col("in_match"), r"\b\w+::(\w+)\b(?!::)", "dispatch", source=F.regexp_replace(plain, r"<[^<>]*>", ""))
+    cases = each("references", lang.isin("typescript", "tsx", "javascript", "jsx", "python") & text.rlike(r"^\s*case\b"), r"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch")
+    # parameters may stand on any line of a declaration
+    heads = found.where("language = 'rust' AND kind = 'function'")
+    changed = heads.select("path", F.col("start_line").alias("line"), F.explode(F.regexp_extract_all("head", F.lit(r":\s*&(?:\s*'\w+)?\s*mut\s+(?:\w+::)*([A-Z]\w*)"), F.lit(1))).alias("reference_name"), F.lit("mutates").alias("kind"), F.lit("mut_param").alias("detail"))
+    words = F.filter(F.regexp_extract_all(F.regexp_replace(F.coalesce("raw", "head"), r"[\"';]", " "), F.lit(r"(\w+)"), F.lit(1)), lambda w: ~w.isin(*NOT_IMPORTED))
     # the module of 'from x import y' comes first and the name last; braces hold several
-    imports = lines.where(imported).select("path", "line", F.element_at(F.when(F.size(words) > 0, words), -1).alias("reference_name"), F.lit("imports").alias("kind"), F.when(F.contains(code, F.lit("*")), "glob").alias("detail")).where("reference_name IS NOT NULL")
-    out = calls
-    for more in (macros, writes, reads, variants, cases, changed, imports):
-        out = out.unionByName(more)
-    return out
+    brought = code.statements.where(F.col("ruled").rlike(IMPORT) & (lang != "csharp") | (lang == "csharp") & F.col("ruled").rlike(r"^using\s+(?!.*[=(])"))
+    imports = brought.select("path", "line", F.element_at(F.when(F.size(words) > 0, words), -1).alias("reference_name"), F.lit("imports").alias("kind"), F.when(F.contains("head", F.lit("*")), "glob").alias("detail")).where("reference_name IS NOT NULL")
+    for more in (macros, writes, reads, variants, cases):
+        out = out.unionByName(more.drop("nth"))
+    return out.unionByName(changed).unionByName(imports)
