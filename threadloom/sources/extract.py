@@ -228,7 +228,7 @@ def references(code: Code, found: DataFrame) -> DataFrame:
     lang, text = F.col("language"), F.col("code")
     body = matched_lines(code).where((F.trim("code") != "") & ~text.rlike(IMPORT) & ~(lang.isin(*PREPROCESSED) & text.rlike(r"^\s*#")))
     fielded = lang.isin(*FIELD_LANGUAGES)
-    plain = F.when(lang == "rust", F.regexp_replace("code", r"#!?\[[^\]]*\]", "")).when(lang.isin(*ANNOTATED), F.regexp_replace("code", r"@[\w.]+", "")).otherwise(text)
+    plain = F.when(lang == "rust", F.regexp_replace("code", r"#!?\[[^\]]*\]", "")).when(lang.isin(*ANNOTATED), F.regexp_replace("code", r"@[\w.]+", "")).when(lang == "csharp", F.regexp_replace("code", r"^\s*\[[^\]]*\]", "")).otherwise(text)
 
     def each(kind: str, where: Column, rule: str, detail: str | None = None, source: Column = plain) -> DataFrame:
         names = F.posexplode(F.regexp_extract_all(source, F.lit(rule), F.lit(1))).alias("nth", "reference_name")
