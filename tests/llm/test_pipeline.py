@@ -65,3 +65,16 @@ def test_odd_documents_pass_through(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_any_column_names_pass_through(spark):
+    rows = [(i, f"document {i} " + " ".join(f"word{(i * 7 + j) % 97}" for j in range(40)), "en", f"s{i}", i, i * 2, f"q{i}", [i]) for i in range(6)] + [(6, "document 0 " + " ".join(f"word{j % 97}" for j in range(40)), "en", "s", 0, 1, "again", [0])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d e", "Text.x"])
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.written(stage(spark, kept, ""), "test-names") if name != "language ID" else corpus_pipeline.keep_confident(kept, fit(kept.select("text", "lang")))
+        assert kept.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), "").columns == docs.columns
+    assert {(r["doc_id"], r["a.b"], r["c`d e"], tuple(r["Text.x"])) for r in kept.collect()} <= {(r[0], r[5], r[6], tuple(r[7])) for r in rows}
+    assert kept.count() >= 6
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, "").count() == kept.count()

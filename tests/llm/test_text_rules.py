@@ -170,6 +170,14 @@ def test_language_edge_cases(spark):
     assert predict(docs.limit(0), Profile(())).count() == 0
 
 
+def test_marks_alone_are_no_letters(spark):
+    learnt = fit(spark.createDataFrame([("the cat sat on the mat " * 20, "en"), ("le chat est sur la table " * 20, "fr")], "text string, lang string"))
+    docs = spark.createDataFrame([(1, "\u0301\u0302 \u20dd"), (2, "12 \u0301"), (3, "e\u0301 the cat sat")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs, learnt).collect()}
+    assert got[1] == got[2] == ("und", 0.0)
+    assert got[3][0] == "en"
+
+
 def test_verdict_does_not_depend_on_length(spark):
     draw = random.Random(7)
     words = {lang: ["".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(3000)] for lang, letters in (("xa", "abcdefghijkl"), ("xb", "ghijklmnopqr"), ("xc", "mnopqrstuvwx"))}

@@ -10,7 +10,7 @@ The fit uses a bounded sample: about ``dictionary_bytes`` of letters for each la
 ``max_languages``, from pieces of ``sample_chars`` characters, drawn by their hash from all places of all texts with a label;
 equal pieces count once. No language is left out. Prediction sees whole texts and nothing else.
 
-Defined cases: ``und`` with score 0 for null texts and texts without letters; ties go to the language with most labelled
+Defined cases: ``und`` with score 0 for null texts and texts without letters (marks alone are none); ties go to the language with most labelled
 rows, then by name; without any labelled row everything is ``und``; repeated rows get equal answers; an empty table gives an
 empty one; a very long text is held by one worker and classified whole; columns of docs named as the answers are replaced by
 ``predict`` and kept by ``keep_confident``.
@@ -24,21 +24,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .shared import arrow_rows, batches, named, sliced
+from .shared import arrow_rows, batches, by_place, named, sliced
 
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 
 
 def letters(text: str) -> bytes:
-    global _cut
+    """Letters and marks of a text; nothing if it has no letter."""
+    global _cut, _letter
     if _cut is None:
         import regex
 
-        _cut = regex.compile(NOT_LETTERS)
-    return _cut.sub(" ", text.lower()).strip().encode()
+        _cut, _letter = regex.compile(NOT_LETTERS), regex.compile(r"\p{L}")
+    body = _cut.sub(" ", text.lower()).strip()
+    return body.encode() if _letter.search(body) else b""
 
 
-_cut = None
+_cut = _letter = None
 
 
 @dataclass(frozen=True)
@@ -105,14 +107,14 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def classified(record_batches, profile: Profile):
+def classified(record_batches, profile: Profile, text: str):
     """(record batch, language, score and rejection of each of its rows), in slices."""
     classify = None
     for rb in sliced(record_batches):
         found: list[tuple] = []
-        for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 8 << 20, caching=classify is not None):
+        for part in batches(arrow_rows([rb], text), lambda r: len(r[0] or b""), 8 << 20, caching=classify is not None):
             classify = classify or Classifier(profile)
-            found += [classify(text) for (text,) in part]
+            found += [classify(t) for (t,) in part]
         yield rb, *(list(zip(*found, strict=True)) or [(), (), ()])
 
 
@@ -120,29 +122,30 @@ def predict(docs: DataFrame, profile: Profile) -> DataFrame:
     """docs with lang_pred, score and rejected; columns of these names in docs are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(profile)  # at most max_languages * dictionary_bytes
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    plain, text = by_place(docs.select(*named(kept))), f"c{kept.index('text')}"
 
     def run(record_batches):
         import pyarrow as pa
 
-        for rb, langs, scores, rejected in classified(record_batches, shared.value):
-            cols = [rb.column(rb.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
+        for rb, langs, scores, rejected in classified(record_batches, shared.value, text):
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*rb.schema.names, "lang_pred", "score", "rejected"])
 
-    docs = docs.select(*named(kept))
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]))
+    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return plain.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score", "rejected")
 
 
 def keep_confident(docs: DataFrame, profile: Profile) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(profile)
+    plain, text = by_place(docs), f"c{docs.columns.index('text')}"
 
     def run(record_batches):
         import pyarrow as pa
 
-        for rb, _, _, rejected in classified(record_batches, shared.value):
+        for rb, _, _, rejected in classified(record_batches, shared.value, text):
             yield rb.filter(pa.array([not x for x in rejected], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MULTIPLIERS, arrow_rows, batches, mix, sliced, split_words, spread
+from .shared import MULTIPLIERS, arrow_rows, batches, by_place, mix, sliced, split_words, spread
 
 #: n-gram length -> largest share of characters in repeated n-grams (published web-text rules).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -129,20 +129,22 @@ def judged(measured: DataFrame, line_limit: float = LINE_LIMIT, ngram_limits: di
 def keep_good(docs: DataFrame, line_limit: float = LINE_LIMIT, ngram_limits: dict[int, float] = NGRAM_LIMITS) -> DataFrame:
     """The rows of docs that the rules of ``judged`` keep, with all their columns, in one pass."""
 
+    plain, text = by_place(docs), f"c{docs.columns.index('text')}"
+
     def run(record_batches):
         import pyarrow as pa
 
         caching = False  # what other operators left is released once a task
         for rb in sliced(record_batches):
             table = pa.Table.from_batches([rb])
-            for part in batches(arrow_rows([rb], "text"), lambda r: len(r[0] or b""), 4 << 20, caching):
+            for part in batches(arrow_rows([rb], text), lambda r: len(r[0] or b""), 4 << 20, caching):
                 counts = measure_texts([r[0] for r in part]).__getitem__
                 bad = base_fails(counts) | bad_shares(counts, line_limit, ngram_limits)
                 yield from table.slice(0, len(part)).filter(pa.array(~bad)).to_batches()
                 table = table.slice(len(part))
             caching = True
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

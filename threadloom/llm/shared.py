@@ -42,6 +42,11 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns named c0, c1, ... by their places; mapInArrow takes no names with dots, nor two alike."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

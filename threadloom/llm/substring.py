@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .shared import MULTIPLIERS, arrow_rows, batches, fresh, hashed_words, mix, named, shuffle_partitions, sliced, spread, windows
+from .shared import MULTIPLIERS, arrow_rows, batches, by_place, fresh, hashed_words, mix, named, shuffle_partitions, sliced, spread, windows
 from .sketch import may_hold, merged_sketch
 
 NO_ID = 2**63 - 1
@@ -191,14 +191,16 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
     sketch = count_min(docs, k, gram, depth, width_bits)
     at = repeated_positions(keyed.select(F.col(id_).alias("_id"), F.col(key).alias("_key"), "text"), k, gram, sketch, width_bits).toDF(id_, key, at_)
     kinds = (LongType(), LongType(), StringType())
-    schema = StructType([*keyed.select(*named(kept)).schema.fields, *(StructField(n, t) for n, t in zip(report, kinds, strict=True))])
+    rows = by_place(keyed.join(at, [id_, key], "left").select(*named([*kept, at_])))
+    text_at, at_at = f"c{kept.index('text')}", f"c{len(kept)}"
+    schema = StructType([*rows.schema.fields[:-1], *(StructField(f"r{i}", t) for i, t in enumerate(kinds))])
 
     def cut(record_batches):
         import pyarrow as pa
 
         for rb in sliced(record_batches):
             texts, n_words, n_removed, digests = [], [], [], []
-            for text, at in arrow_rows([rb], "text", at_):
+            for text, at in arrow_rows([rb], text_at, at_at):
                 words = (text or b"").split()
                 n_words.append(len(words))
                 if at:
@@ -214,10 +216,10 @@ def remove_repeats(docs: DataFrame, k: int = 13, gram: int = 5, depth: int = 2,
                     n_removed.append(0)
                 texts.append(text)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            cols = [pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string()) if c == "text" else rb.column(rb.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=[*kept, *report])
+            cols = [pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string()) if i == kept.index("text") else rb.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], names=[f.name for f in schema])
 
-    return keyed.join(at, [id_, key], "left").select(*named([*kept, at_])).mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, schema).toDF(*kept, *report)
 
 
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
