@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..sources.extract import generated, is_test_path, read_code, references, sy
 from ..sources.manifest import manifest_symbols
 from ..sources.scan import indexed
 from .changes import changed_files
-from .resolve import resolve_references
+from .resolve import references_to, resolve_references, resolve_some, touched_names
 from .search import semantic_index
 from ..session import written
 from .traverse import checkpointed
@@ -105,14 +105,26 @@ def nested(found: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.mapInArrow(walk, "path string, line int, id long, outer long, qualified_name string, reference_name string, kind string, detail string")
 
 
-def with_resolved(nodes: DataFrame, contains: DataFrame, refs: DataFrame, sources: DataFrame | None = None) -> Graph:
-    """The graph of these tables: contained and resolved edges, numbered by the file they stand in."""
-    g = Graph(nodes, contains, refs, sources)
-    edges = contains.unionByName(resolve_references(g).drop("ref_id"))
+def numbered_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with ids by the file they stand in."""
     seq = nodes.where("kind = 'file'").select("file_path", (F.col("id") / ROOM).cast("long").alias("seq"))
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "kind", "source_id", "target_id"))
-    edges = edges.join(seq, "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth)).drop("seq")
-    return Graph(nodes.select([c.split()[0] for c in NODES.split(", ")]), edges, refs, sources)
+    return edges.join(seq, "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth)).drop("seq")
+
+
+def with_resolved(nodes: DataFrame, contains: DataFrame, refs: DataFrame, sources: DataFrame | None = None) -> Graph:
+    """The graph of these tables: contained and resolved edges."""
+    edges = contains.unionByName(resolve_references(Graph(nodes, contains, refs)).drop("ref_id"))
+    return Graph(nodes.select([c.split()[0] for c in NODES.split(", ")]), numbered_edges(edges, nodes), refs, sources)
+
+
+@dataclass(frozen=True)
+class Layer:
+    """What an update changes: the files (file_path, seq) whose symbols, references and texts are replaced, those whose edges are, and the rows in their place."""
+
+    replaced: DataFrame
+    renumbered: DataFrame
+    rows: Graph
 
 
 def build_index(files: DataFrame) -> Graph:
@@ -122,26 +134,48 @@ def build_index(files: DataFrame) -> Graph:
     return with_resolved(nodes, contains, refs, files.select("path", "content", "content_hash"))
 
 
-def update_index(g: Graph, files: DataFrame) -> Graph:
-    """The graph after a new listing: only new and changed files are read again, files that are gone leave it.
+def updated(g: Graph, files: DataFrame) -> tuple[Graph, Layer]:
+    """The graph after a new listing, and what is new in it.
 
-    References are kept and resolved anew, so the result says the same as a full build; unchanged symbols keep their ids.
+    Only new and changed files are read again, files that are gone leave the graph, unchanged symbols keep their ids. Of the
+    references in other files only those to names that came or went are resolved again: no other can find another target.
+    Edges of files without such references stay as they are. The result says the same as a full build.
     """
     files = files.where("content IS NOT NULL")
     state = checkpointed(changed_files(files, g.sources))
     redo = state.where("state IN ('added', 'changed')").select("path")
-    leave = state.where("state <> 'same'").select(F.col("path").alias("file_path")).union(redo)
     known = g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), (F.col("id") / ROOM).cast("long").alias("seq"))
-    old = files.join(redo, "path", "left_semi").join(known, "path").select("path", "content", "content_hash", "language", "seq")
+    fresh = files.join(redo, "path", "left_semi").select("path", "content", "content_hash", "language")
     most = known.agg(F.max("seq")).first()[0]
-    new = numbered_files(files.join(redo, "path", "left_semi").join(known, "path", "left_anti").select("path", "content", "content_hash", "language"), 0 if most is None else most + 1)
-    changed = checkpointed(old.unionByName(new.select(old.columns)))
-    nodes, contains, refs = (checkpointed(t) for t in extract_tables(changed))
-    stay = lambda t: t.join(leave, "file_path", "left_anti")
+    new = numbered_files(fresh.join(known, "path", "left_anti"), 0 if most is None else most + 1)
+    changed = checkpointed(fresh.join(known, "path").select(*fresh.columns, "seq").unionByName(new.select(*fresh.columns, "seq")))
     columns = [c.split()[0] for c in NODES.split(", ")]
-    kept = g.edges.where("kind = 'contains'").select(contains.columns)
-    sources = files.select("path", "content", "content_hash")
-    return with_resolved(checkpointed(stay(g.nodes).select(columns).unionByName(nodes.select(columns))), checkpointed(stay(kept).unionByName(contains)), checkpointed(stay(g.refs).unionByName(refs)), sources)
+    nodes, contains, refs = (checkpointed(t) for t in extract_tables(changed))
+    nodes = nodes.select(columns)
+    moved = state.where("state <> 'same'").select("path")
+    replaced = checkpointed(moved.join(known, "path", "left").join(changed.select("path", F.col("seq").alias("new_seq")), "path", "left").select(F.col("path").alias("file_path"), F.coalesce("seq", "new_seq").alias("seq")))
+    stay = lambda t: t.join(replaced.select("file_path"), "file_path", "left_anti")
+    all_nodes, all_refs = stay(g.nodes).select(columns).unionByName(nodes), stay(g.refs).unionByName(refs)
+    names = checkpointed(touched_names(g.nodes.join(replaced.select("file_path"), "file_path", "left_semi"), nodes))
+    again = checkpointed(references_to(stay(g.refs), names))
+    found = resolve_some(all_nodes, again.unionByName(refs)).drop("ref_id")
+    # in files with a reference that is resolved again all edges are numbered anew
+    others = again.select("file_path").distinct()
+    renumbered = checkpointed(replaced.select("file_path").union(others).distinct())
+    old_targets = g.nodes.join(names, "name", "left_semi").select(F.col("id").alias("target_id"))
+    kept = g.edges.join(others, "file_path", "left_semi").select(contains.columns)
+    kept = stay(kept.where("kind = 'contains'").unionByName(kept.where("kind <> 'contains'").join(old_targets, "target_id", "left_anti").select(contains.columns)))
+    edges = checkpointed(numbered_edges(kept.unionByName(contains).unionByName(found), all_nodes))
+    all_edges = g.edges.join(renumbered, "file_path", "left_anti").select(edges.columns).unionByName(edges)
+    texts = changed.select("path", "content", "content_hash")
+    rows = Graph(nodes, edges, refs, texts)
+    sources = g.sources.join(moved, "path", "left_anti").unionByName(texts)
+    return Graph(all_nodes, all_edges, all_refs, sources), Layer(replaced, renumbered, rows)
+
+
+def update_index(g: Graph, files: DataFrame) -> Graph:
+    """The graph after a new listing; see updated."""
+    return updated(g, files)[0]
 
 
 def update_files(g: Graph, listed: DataFrame, paths: list[str]) -> Graph:
@@ -175,11 +209,46 @@ def published(spark: SparkSession, folder: str) -> str | None:
     return spark.read.text(f"{folder}/{found[-1]}").first()[0] if found else None
 
 
-def publish(g: Graph, folder: str) -> str:
-    """Writes the tables, and the semantic index, to a new version below folder and then makes it the current one.
+class Conflict(OSError):
+    """Another version was published since the one that an update builds on."""
 
-    The pointer to it is a new file that appears by one renaming, so there is a current version at any time.
-    """
+
+def _write(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    store, at = _store(spark, path)
+    out = store.create(at, overwrite)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _point(spark: SparkSession, folder: str, version: str, base: str | None = None) -> str:
+    """Makes a version the current one: its number is claimed by a file that only one publisher can create, then the pointer
+    appears by one renaming. base: the version that must still be current."""
+    from py4j.protocol import Py4JJavaError
+
+    store, _ = _store(spark, folder)
+    while True:
+        before = _pointers(spark, folder)
+        number = int(before[-1].split("-")[1]) + 1 if before else 0
+        claims = [int(s.getPath().getName().split("-")[1]) for s in store.listStatus(_store(spark, folder)[1]) if s.getPath().getName().startswith("claim-")]
+        number = max([number, *(c + 1 for c in claims)])
+        if base is not None and published(spark, folder) != base:
+            raise Conflict(f"{base} is not the current version any more")
+        try:
+            _write(spark, f"{folder}/claim-{number:012d}", version, overwrite=False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                continue  # another publisher has it
+            raise
+        if base is not None and published(spark, folder) != base:
+            raise Conflict(f"{base} is not the current version any more")
+        _write(spark, f"{folder}/.{version}", version)
+        if not store.rename(_store(spark, f"{folder}/.{version}")[1], _store(spark, f"{folder}/current-{number:012d}-{version}")[1]):
+            raise OSError(f"the pointer to {version} could not be written")
+        return version
+
+
+def publish(g: Graph, folder: str) -> str:
+    """Writes the tables, and the semantic index, to a new version below folder and then makes it the current one."""
     spark = g.nodes.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     postings, totals = semantic_index(g)
@@ -188,51 +257,118 @@ def publish(g: Graph, folder: str) -> str:
         table = getattr(g, name)
         if table is not None:
             table.write.parquet(f"{folder}/{version}/{name}")
-    before = _pointers(spark, folder)
-    number = int(before[-1].split("-")[1]) + 1 if before else 0
-    store, new = _store(spark, f"{folder}/.{version}")
-    out = store.create(new)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if not store.rename(new, _store(spark, f"{folder}/current-{number:012d}-{version}")[1]):
-        raise OSError(f"the pointer to {version} could not be written")
-    return version
+    return _point(spark, folder, version)
 
 
-def current(spark: SparkSession, folder: str) -> Graph:
-    version = published(spark, folder)
+def publish_layer(layer: Layer, folder: str, base: str) -> str:
+    """Writes what an update of the version base changes, and makes base with it the current version; a Conflict if base isn't current.
+
+    Postings follow the symbols of a file; totals hold what the update adds to the numbers of all.
+    """
+    spark = layer.replaced.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    before = current(spark, folder, base)
+    gone = before.nodes.join(layer.replaced.select("file_path"), "file_path", "left_semi")
+    postings, plus = semantic_index(layer.rows)
+    _, minus = semantic_index(replace(before, nodes=gone))
+    signed = plus.select("n", F.coalesce("total", F.lit(0)).alias("total")).unionByName(minus.select((-F.col("n")).alias("n"), (-F.coalesce("total", F.lit(0))).alias("total")))
+    rows = replace(layer.rows, postings=postings.repartitionByRange("token").sortWithinPartitions("token", "id"), totals=signed.agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    for name in TABLES:
+        getattr(rows, name).write.parquet(f"{folder}/{version}/{name}")
+    layer.replaced.write.parquet(f"{folder}/{version}/replaced")
+    layer.renumbered.write.parquet(f"{folder}/{version}/renumbered")
+    _write(spark, f"{folder}/{version}/base", base)
+    return _point(spark, folder, version, base)
+
+
+def layers(spark: SparkSession, folder: str, version: str) -> list[str]:
+    """The versions that a version is made of: a whole one, then updates."""
+    chain = [version]
+    while True:
+        store, at = _store(spark, f"{folder}/{chain[0]}/base")
+        if not store.exists(at):
+            return chain
+        chain.insert(0, spark.read.text(f"{folder}/{chain[0]}/base").first()[0])
+
+
+def current(spark: SparkSession, folder: str, version: str | None = None) -> Graph:
+    """The graph of the current version, or of the one given: a whole version, less what each update replaces, with its rows."""
+    version = version or published(spark, folder)
     if version is None:
         raise FileNotFoundError(f"no index is published in {folder}")
-    tables = {}
-    for name in TABLES:
-        store, at = _store(spark, f"{folder}/{version}/{name}")
-        tables[name] = spark.read.parquet(f"{folder}/{version}/{name}") if store.exists(at) else None
+    tables: dict[str, DataFrame | None] = {}
+    for part in layers(spark, folder, version):
+        read = lambda name: spark.read.parquet(f"{folder}/{part}/{name}")  # noqa: B023, E731
+        there = {name for name in TABLES if _store(spark, f"{folder}/{part}/{name}")[0].exists(_store(spark, f"{folder}/{part}/{name}")[1])}
+        if not tables:
+            tables = {name: read(name) if name in there else None for name in TABLES}
+            continue
+        replaced, renumbered = read("replaced"), read("renumbered")
+        for name in there:
+            old, new = tables[name], read(name)
+            if name == "totals":
+                tables[name] = old.unionByName(new).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+                continue
+            if name == "postings":
+                old = old.withColumn("seq", F.shiftright("id", 24)).join(replaced.select("seq"), "seq", "left_anti").drop("seq")
+            elif name == "sources":
+                old = old.join(replaced.select(F.col("file_path").alias("path")), "path", "left_anti")
+            else:
+                old = old.join(renumbered if name == "edges" else replaced.select("file_path"), "file_path", "left_anti")
+            tables[name] = old.unionByName(new)
     return Graph(**tables)
 
 
-def prune(spark: SparkSession, folder: str, keep: int = 2) -> int:
-    """Deletes all but the newest versions below folder, never the current one; returns how many went."""
+def refresh(spark: SparkSession, folder: str, files: DataFrame, most_layers: int = 8) -> str:
+    """Publishes the state of a listing: what changed as a layer, or all anew where there is nothing yet or many layers are.
+
+    Begins again if another version was published meanwhile.
+    """
+    while True:
+        base = published(spark, folder)
+        if base is None:
+            return publish(build_index(files), folder)
+        g, layer = updated(current(spark, folder, base), files)
+        try:
+            if len(layers(spark, folder, base)) < most_layers:
+                return publish_layer(layer, folder, base)
+            return publish(g, folder)
+        except Conflict:
+            continue
+
+
+def prune(spark: SparkSession, folder: str, keep: int = 2, days: float | None = None, grace: float = 86400.0) -> int:
+    """Deletes all but the newest versions below folder, and of these such as are older than days; never the current one or
+    what it is made of. Folders that no pointer names are being written: they go when nothing in them changed for grace seconds.
+    Returns how many versions went."""
+    import time
+
     store, at = _store(spark, folder)
     pointers = _pointers(spark, folder)
     named = [p.split("-", 2)[2] for p in pointers]
-    stay = set(named[-max(keep, 1) :])
+    age = lambda path: time.time() - max([store.getFileStatus(path).getModificationTime(), *(s.getModificationTime() for s in store.listStatus(path))]) / 1000
+    young = [v for p, v in zip(pointers, named, strict=True) if days is None or time.time() - store.getFileStatus(_store(spark, f"{folder}/{p}")[1]).getModificationTime() / 1000 <= days * 86400]
+    top = [v for v in named[-max(keep, 1) :] if v in young or v == named[-1]]
+    stay = {part for v in top for part in layers(spark, folder, v)}
     for p, version in zip(pointers, named, strict=True):
-        if version not in stay:
+        if version not in top:
             store.delete(_store(spark, f"{folder}/{p}")[1], False)
-    old = [s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in stay]
+    unnamed = [s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in stay]
+    old = [path for path in unnamed if path.getName() in named or age(path) > grace]
     for path in old:
         store.delete(path, True)
     return len(old)
 
 
 def compact(spark: SparkSession, folder: str, file_bytes: int = 128 << 20) -> str:
-    """Publishes the current version again in files of about this size."""
-    g, version = current(spark, folder), published(spark, folder)
+    """Publishes the current version again, whole and in files of about this size."""
+    version = published(spark, folder)
+    g, parts = current(spark, folder), layers(spark, folder, version)
     tables = {}
     for name in TABLES:
         if (t := getattr(g, name)) is not None:
-            store, at = _store(spark, f"{folder}/{version}/{name}")
-            tables[name] = t.coalesce(max(1, -(-store.getContentSummary(at).getLength() // file_bytes)))
+            size = sum(store.getContentSummary(at).getLength() for part in parts for store, at in [_store(spark, f"{folder}/{part}/{name}")] if store.exists(at))
+            tables[name] = t.coalesce(max(1, -(-size // file_bytes)))
     return publish(Graph(**tables), folder)
 
 

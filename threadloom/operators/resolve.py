@@ -24,3 +24,23 @@ def resolve_references(g: Graph, files: DataFrame | None = None, skip_imports: b
     testers = g.nodes.where("is_test").select(F.col("id").alias("source_id"))
     tests = edges.where("kind = 'calls'").join(testers, "source_id", "left_semi").withColumn("kind", F.lit("tests"))
     return edges.unionByName(tests)
+
+
+def touched_names(*symbols: DataFrame) -> DataFrame:
+    """name: all names of symbols(name, ...) that came, went or changed; references to other names resolve as before."""
+    out = symbols[0].select("name")
+    for more in symbols[1:]:
+        out = out.union(more.select("name"))
+    return out.distinct()
+
+
+def references_to(refs: DataFrame, names: DataFrame) -> DataFrame:
+    return refs.join(names.select(F.col("name").alias("reference_name")), "reference_name", "left_semi")
+
+
+def resolve_some(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """As resolve_references, for a few references: of the symbols only those of their names take part."""
+    asked = refs.select(F.col("reference_name").alias("name")).distinct()
+    testers = nodes.where("is_test").join(refs.select(F.col("source_node_id").alias("id")).distinct(), "id", "left_semi")
+    targets = nodes.join(asked, "name", "left_semi")
+    return resolve_references(Graph(targets.unionByName(testers.join(asked, "name", "left_anti")), refs, refs))

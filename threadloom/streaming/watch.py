@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import build_index, current, publish, published, update_index
+from ..operators.index import build_index, current, publish, published, refresh, update_index
 from ..sources.scan import indexed, scan_signature, scan_tree
 
 
@@ -33,7 +33,7 @@ class Watcher:
             signature = scan_signature(self.spark, self.root)
             if signature == self.signature:
                 return False
-            publish(build_index(self.files()) if self.signature is None else update_index(current(self.spark, self.folder), self.files()), self.folder)
+            refresh(self.spark, self.folder, self.files())
             self.signature = signature
             return True
         finally:
