@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import coupling, index, lookup, search, traverse
@@ -16,27 +16,31 @@ from .sources.slices import slice_lines
 class CodeIndex:
     """root: the working tree, for history; churn is then taken from git."""
 
-    def __init__(self, graph: Graph, root: str | None = None):
-        self.graph, self.root, self.spark = graph, root, graph.nodes.sparkSession
+    def __init__(self, graph: Graph, root: str | None = None, counted: Observation | None = None, folder: str | None = None):
+        self.graph, self.root, self.spark, self.counted, self.folder = graph, root, graph.nodes.sparkSession, counted, folder
 
     @classmethod
     def build(cls, spark: SparkSession, root: str) -> CodeIndex:
-        return cls(index.build_index(scan_tree(spark, root, wanted=indexed(F.col("path")))), root)
+        counted = Observation()
+        return cls(index.build_index(scan_tree(spark, root, wanted=indexed(F.col("path"))), counted), root, counted)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, root: str | None = None) -> CodeIndex:
-        return cls(index.current(spark, folder), root)
+        return cls(index.current(spark, folder), root, folder=folder)
 
     def reindex(self, files: list[str] | None = None) -> CodeIndex:
         """After changes below root: only what changed is read again, or only the files given (relative paths)."""
         listed = scan_tree(self.spark, self.root, wanted=indexed(F.col("path")))
+        counted = Observation()
         if files is None:
-            return CodeIndex(index.update_index(self.graph, listed), self.root)
-        return CodeIndex(index.update_files(self.graph, listed, [relative_path(f) for f in files]), self.root)
+            return CodeIndex(index.update_index(self.graph, listed, counted), self.root, counted)
+        return CodeIndex(index.update_files(self.graph, listed, [relative_path(f) for f in files], counted), self.root, counted)
 
-    def counters(self, before: CodeIndex | None = None) -> DataFrame:
-        """What an indexing run did; before: the index that it updated."""
-        return index.run_counters(scan_tree(self.spark, self.root, wanted=indexed(F.col("path"))), self.graph, None if before is None else before.graph.sources)
+    def counters(self) -> DataFrame:
+        """What the run did that made this index; not known of a stored one."""
+        if self.counted is None:
+            raise ValueError("this index was not made by a run here")
+        return index.run_counters(self.graph, self.counted)
 
     def _churn(self, wanted: bool, days: int) -> DataFrame | None:
         if self.graph.churn is not None:
@@ -114,4 +118,9 @@ class CodeIndex:
         return lookup.dispatch_sites(self.graph, symbol).orderBy("file_path")
 
     def status(self) -> DataFrame:
-        return lookup.index_status(self.graph)
+        """Numbers of files, symbols and edges; of a stored index its size in bytes too."""
+        found = lookup.index_status(self.graph)
+        if self.folder is None:
+            return found
+        size = self.spark.createDataFrame([("total", "bytes", index.stored_bytes(self.spark, self.folder))], "section string, name string, count long")
+        return found.unionByName(size)

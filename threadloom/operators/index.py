@@ -5,13 +5,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import NODES, REFS, Graph
 from ..sources.extract import generated, is_test_path, read_code, references, symbols
 from ..sources.manifest import manifest_symbols
-from ..sources.scan import indexed
 from .changes import changed_files
 from .resolve import references_to, resolve_references, resolve_some, touched_names
 from .search import semantic_index
@@ -127,21 +126,38 @@ class Layer:
     rows: Graph
 
 
-def build_index(files: DataFrame) -> Graph:
-    """The graph of files(path, content, language); rows without text are left out."""
-    files = checkpointed(numbered_files(files.where("content IS NOT NULL").select("path", "content", "content_hash", "language")))
+def read_once(files: DataFrame, known: DataFrame | None = None, counted: Observation | None = None) -> DataFrame:
+    """path, content, content_hash, language of a listing's files with text, written: a tree is read once, whatever follows.
+
+    known(path, content_hash): of files with the hash known here no content is kept. counted observes on the way how many files
+    were listed, were errors (without text) and were read anew.
+    """
+    files = files.select("path", "content", "content_hash", "language")
+    anew = F.col("content").isNotNull()
+    if known is not None:
+        files = files.join(known.select("path", F.col("content_hash").alias("_was"), F.lit(True).alias("_known")), "path", "left")
+        anew &= F.col("_known").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_was"))
+    files = files.select("path", F.when(anew, F.col("content")).alias("content"), "content_hash", "language", F.col("content").isNull().alias("error"), anew.alias("anew"))
+    if counted is not None:
+        files = files.observe(counted, F.count(F.lit(1)).alias("listed"), F.count_if("error").alias("errors"), F.count_if("anew").alias("read"))
+    return checkpointed(files).where("NOT error").drop("error", "anew")
+
+
+def build_index(files: DataFrame, counted: Observation | None = None) -> Graph:
+    """The graph of files(path, content, language); rows without text are left out. counted: see read_once."""
+    files = checkpointed(numbered_files(read_once(files, counted=counted)))
     nodes, contains, refs = (checkpointed(t) for t in extract_tables(files))
     return with_resolved(nodes, contains, refs, files.select("path", "content", "content_hash"))
 
 
-def updated(g: Graph, files: DataFrame) -> tuple[Graph, Layer]:
+def updated(g: Graph, files: DataFrame, counted: Observation | None = None) -> tuple[Graph, Layer]:
     """The graph after a new listing, and what is new in it.
 
     Only new and changed files are read again, files that are gone leave the graph, unchanged symbols keep their ids. Of the
     references in other files only those to names that came or went are resolved again: no other can find another target.
     Edges of files without such references stay as they are. The result says the same as a full build.
     """
-    files = files.where("content IS NOT NULL")
+    files = read_once(files, g.sources, counted)
     state = checkpointed(changed_files(files, g.sources))
     redo = state.where("state IN ('added', 'changed')").select("path")
     known = g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), (F.col("id") / ROOM).cast("long").alias("seq"))
@@ -173,12 +189,12 @@ def updated(g: Graph, files: DataFrame) -> tuple[Graph, Layer]:
     return Graph(all_nodes, all_edges, all_refs, sources), Layer(replaced, renumbered, rows)
 
 
-def update_index(g: Graph, files: DataFrame) -> Graph:
+def update_index(g: Graph, files: DataFrame, counted: Observation | None = None) -> Graph:
     """The graph after a new listing; see updated."""
-    return updated(g, files)[0]
+    return updated(g, files, counted)[0]
 
 
-def update_files(g: Graph, listed: DataFrame, paths: list[str]) -> Graph:
+def update_files(g: Graph, listed: DataFrame, paths: list[str], counted: Observation | None = None) -> Graph:
     """The graph after these files alone are read again from a listing; those that are gone leave it."""
     given = g.nodes.sparkSession.createDataFrame([(p,) for p in paths], "path string")
     known = g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "language")
@@ -186,7 +202,7 @@ def update_files(g: Graph, listed: DataFrame, paths: list[str]) -> Graph:
     others = g.sources.join(given, "path", "left_anti").join(known, "path").select(columns)
     # the hash of what stays is that of the index, and of the given files that of the listing or none
     stale = replace(g, sources=others.select("path", "content", "content_hash").unionByName(g.sources.join(given, "path", "left_semi").select("path", "content", F.lit("").alias("content_hash"))))
-    return update_index(stale, others.unionByName(listed.join(given, "path", "left_semi").select(columns)))
+    return update_index(stale, others.unionByName(listed.join(given, "path", "left_semi").select(columns)), counted)
 
 
 def _store(spark: SparkSession, path: str):
@@ -372,17 +388,23 @@ def compact(spark: SparkSession, folder: str, file_bytes: int = 128 << 20) -> st
     return publish(Graph(**tables), folder)
 
 
-def run_counters(listed: DataFrame, g: Graph, before: DataFrame | None = None) -> DataFrame:
-    """name, count of a run over listed(path, content, content_hash): files, nodes, edges, skipped, errors, resolved_refs.
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of the current version, with what it is made of."""
+    version, total = published(spark, folder), 0
+    for part in layers(spark, folder, version) if version else []:
+        store, at = _store(spark, f"{folder}/{part}")
+        total += store.getContentSummary(at).getLength()
+    return total
+
+
+def run_counters(g: Graph, counted: Observation) -> DataFrame:
+    """name, count of the run that made g: files, nodes, edges, skipped (files as they were), errors (no UTF-8 text), resolved_refs.
 
-    before: sources(path, content_hash) of the index that was updated; files that are the same there were skipped.
-    errors: files that are to be indexed and hold no UTF-8 text.
+    What was seen on the way is told as it was then; nothing is listed or read again.
     """
-    wanted = listed.where(indexed(F.col("path")))
-    one = lambda name, df, n: df.agg(F.count(F.when(n, 1)).alias("count")).select(F.lit(name).alias("name"), "count")
-    every = F.lit(True)
-    same = wanted.where("content IS NOT NULL").join(before.select("path", "content_hash"), ["path", "content_hash"], "left_semi") if before is not None else wanted.limit(0)
-    out = one("files", g.nodes, F.col("kind") == "file")
-    for more in (one("nodes", g.nodes, every), one("edges", g.edges, every), one("skipped", same, every), one("errors", wanted, F.col("content").isNull()), one("resolved_refs", g.edges, ~F.col("kind").isin("contains", "tests"))):
-        out = out.unionByName(more)
-    return out
+    seen = counted.get
+    kinds = g.nodes.agg(F.count_if(F.col("kind") == "file").alias("files"), F.count("*").alias("nodes"))
+    edges = g.edges.agg(F.count("*").alias("edges"), F.count_if(~F.col("kind").isin("contains", "tests")).alias("resolved_refs"))
+    told = {"errors": seen["errors"], "skipped": seen["listed"] - seen["errors"] - seen["read"]}
+    pairs = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("count")) for c in df.columns))).alias("x")).select("x.*")
+    return pairs(kinds).unionByName(pairs(edges)).unionByName(g.nodes.sparkSession.createDataFrame(list(told.items()), "name string, count long"))
