@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import boundary, distance
 from ..schema import COUPLING_LABELS, STRENGTH, Graph
 from .lookup import find_node
-from .traverse import strong_components
+from .components import strong_components
 
 
 def strength(kind: Column) -> Column:

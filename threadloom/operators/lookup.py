@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTAINERS, DEAD_KINDS, USES, Graph
+from .ranges import touched
 
 
 def node_by_id(g: Graph, node_id: int) -> DataFrame:
@@ -97,8 +98,7 @@ def diff_impact(g: Graph, regions: DataFrame, callers_each: int = 100) -> DataFr
 
     Calls to one symbol count up to callers_each, in id order.
     """
-    r = regions.select(F.col("file_path"), F.col("first"), F.col("last"))
-    direct = g.nodes.join(r, "file_path").where((F.col("start_line") <= F.col("last")) & (F.col("end_line") >= F.col("first"))).select("id").distinct()
+    direct = touched(g.nodes, regions)
     calls = g.edges.where("kind = 'calls'").join(direct.withColumnRenamed("id", "target_id"), "target_id")
     nth = F.row_number().over(Window.partitionBy("target_id").orderBy("id"))
     indirect = calls.withColumn("nth", nth).where(F.col("nth") <= callers_each).select(F.col("source_id").alias("id"))

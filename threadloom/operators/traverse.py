@@ -1,4 +1,4 @@
-"""Graph traversals as loops of joins: impact, paths, subgraphs and strong components.
+"""Graph traversals as loops of joins: impact, paths and subgraphs; strong components are in components.
 
 Each round's frontier is written to a table in the shared folder, so that lineage doesn't grow and lost executors cost a
 round at most. Frontiers meet the edges in joins; nothing but row counts comes to the driver.
@@ -6,13 +6,12 @@ round at most. Frontiers meet the edges in joins; nothing but row counts comes t
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Graph
 from ..session import written
+from .components import strong_components  # noqa: F401
 from .lookup import find_node
 
 
@@ -93,49 +92,3 @@ def subgraph(g: Graph, roots: DataFrame, depth: int = 2, limit: int = 50, node_k
             break
         seen = seen.unionByName(new)
     return seen, met
-
-
-def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """node, component (its least member) for the nodes of edges(a, b) that lie on a cycle.
-
-    Nodes without way in or out are trimmed, round by round. Then, colour by colour: every node takes the least label that
-    reaches it; going back from the node whose own label it is, within its label, gives one component of each label; these
-    go, and the rest starts again. The work of a round is linear in the edges; the closure is never formed.
-    Every round finishes a component at least, so the loop ends; a bound on the rounds that is reached raises.
-    """
-    edges = checkpointed(edges.where("a <> b").distinct())
-    done = None
-    for turn in count():
-        size = edges.count()
-        while size:  # trim
-            edges = checkpointed(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
-            size, before = edges.count(), size
-            if size == before:
-                break
-        if not size:
-            break
-        if turn == rounds:
-            raise RuntimeError(f"cycles are left after {rounds} rounds")
-        label = checkpointed(edges.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-        while True:
-            reach = edges.join(label.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
-            after = checkpointed(label.unionByName(reach).groupBy("node").agg(F.min("component").alias("component")))
-            changed = after.join(label, ["node", "component"], "left_anti").take(1)
-            label = after
-            if not changed:
-                break
-        within = checkpointed(edges.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("component")))
-        part = checkpointed(label.where("node = component"))
-        frontier = part
-        while True:
-            back = within.join(frontier.select(F.col("node").alias("b"), "component"), ["b", "component"]).select(F.col("a").alias("node"), "component").distinct().join(part, ["node", "component"], "left_anti")
-            frontier = checkpointed(back)
-            if not frontier.take(1):
-                break
-            part = checkpointed(part.unionByName(frontier))
-        done = part if done is None else checkpointed(done.unionByName(part))
-        gone = part.select("node")
-        edges = checkpointed(edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
-    if done is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    return done
