@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Lines of a file that one group of the sweep covers.
 LINES = 4096
 
@@ -19,7 +21,9 @@ def touched(symbols: DataFrame, regions: DataFrame, lines: int = LINES) -> DataF
     columns, of any names, have no effect.
     """
     parts = regions.where("first IS NOT NULL AND last IS NOT NULL").groupBy("file_path", F.col("first").cast("long").alias("at")).agg(F.max("last").cast("long").alias("reach"))
-    near = symbols.select("id", "file_path", F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("at")).join(parts.select("file_path").distinct(), "file_path", "left_semi")
+    near = symbols.select("id", "file_path", F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("at"))
+    # read twice below: symbols of the regions' files alone
+    near = written(near.join(parts.select("file_path").distinct(), "file_path", "left_semi"), "near")
     asked = near.where("at IS NOT NULL").select("file_path", "at", F.lit(None).cast("long").alias("reach"))
     group = F.floor(F.col("at") / lines)
     points = parts.unionByName(asked).groupBy("file_path", "at").agg(F.max("reach").alias("reach")).withColumn("part", group)
