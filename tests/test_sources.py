@@ -15,7 +15,8 @@ from threadloom.sources.extract import generated, is_test_name, is_test_path, re
 from threadloom.sources.manifest import manifest_symbols
 from threadloom.sources.paths import relative_path, safe_join
 from threadloom.sources.scan import indexed, scan_tree, unsupported_types
-from threadloom.streaming.watch import Watcher, stream_index
+from threadloom.streaming.events import stream_index
+from threadloom.streaming.watch import Watcher
 
 
 def files(spark, **contents):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -14,11 +15,14 @@ from ..sources.manifest import manifest_symbols
 from .changes import changed_files
 from .resolve import references_to, resolve_references, resolve_some, touched_names
 from .search import semantic_index
+from .textindex import BLOCK, name_places, write_sorted
 from ..session import written
 from .traverse import checkpointed
 
 #: What a version holds.
-TABLES = ("nodes", "edges", "refs", "sources", "postings", "totals")
+TABLES = ("nodes", "edges", "refs", "sources", "postings", "totals", "names")
+#: Tables that are stored in order.
+SORTED = {"postings": ("token", "block"), "names": ("token", "id")}
 #: Symbols, references and edges that a file has room for in the numbering each.
 ROOM = 1 << 24
 
@@ -263,23 +267,30 @@ def _point(spark: SparkSession, folder: str, version: str, base: str | None = No
         return version
 
 
+def _write_tables(g: Graph, folder: str) -> None:
+    for name in TABLES:
+        table = getattr(g, name)
+        if table is None:
+            continue
+        if name in SORTED:
+            write_sorted(table, f"{folder}/{name}", *SORTED[name])
+        else:
+            table.write.parquet(f"{folder}/{name}")
+
+
 def publish(g: Graph, folder: str) -> str:
-    """Writes the tables, and the semantic index, to a new version below folder and then makes it the current one."""
+    """Writes the tables, and the indexes of names and texts, to a new version below folder and then makes it the current one."""
     spark = g.nodes.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     postings, totals = semantic_index(g)
-    g = replace(g, postings=postings.repartitionByRange("token").sortWithinPartitions("token", "id"), totals=totals)
-    for name in TABLES:
-        table = getattr(g, name)
-        if table is not None:
-            table.write.parquet(f"{folder}/{version}/{name}")
+    _write_tables(replace(g, postings=postings, totals=totals, names=name_places(g.nodes)), f"{folder}/{version}")
     return _point(spark, folder, version)
 
 
 def publish_layer(layer: Layer, folder: str, base: str) -> str:
     """Writes what an update of the version base changes, and makes base with it the current version; a Conflict if base isn't current.
 
-    Postings follow the symbols of a file; totals hold what the update adds to the numbers of all.
+    Postings and places of names follow the symbols of a file; totals hold what the update adds to the numbers of all.
     """
     spark = layer.replaced.sparkSession
     version = f"v-{uuid.uuid4().hex}"
@@ -288,9 +299,8 @@ def publish_layer(layer: Layer, folder: str, base: str) -> str:
     postings, plus = semantic_index(layer.rows)
     _, minus = semantic_index(replace(before, nodes=gone))
     signed = plus.select("n", F.coalesce("total", F.lit(0)).alias("total")).unionByName(minus.select((-F.col("n")).alias("n"), (-F.coalesce("total", F.lit(0))).alias("total")))
-    rows = replace(layer.rows, postings=postings.repartitionByRange("token").sortWithinPartitions("token", "id"), totals=signed.agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    for name in TABLES:
-        getattr(rows, name).write.parquet(f"{folder}/{version}/{name}")
+    totals = signed.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    _write_tables(replace(layer.rows, postings=postings, totals=totals, names=name_places(layer.rows.nodes)), f"{folder}/{version}")
     layer.replaced.write.parquet(f"{folder}/{version}/replaced")
     layer.renumbered.write.parquet(f"{folder}/{version}/renumbered")
     _write(spark, f"{folder}/{version}/base", base)
@@ -325,8 +335,9 @@ def current(spark: SparkSession, folder: str, version: str | None = None) -> Gra
             if name == "totals":
                 tables[name] = old.unionByName(new).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
                 continue
-            if name == "postings":
-                old = old.withColumn("seq", F.shiftright("id", 24)).join(replaced.select("seq"), "seq", "left_anti").drop("seq")
+            if name in SORTED:
+                seq = F.shiftright("block", 24 - BLOCK) if name == "postings" else F.shiftright("id", 24)
+                old = old.withColumn("seq", seq).join(replaced.select("seq"), "seq", "left_anti").drop("seq")
             elif name == "sources":
                 old = old.join(replaced.select(F.col("file_path").alias("path")), "path", "left_anti")
             else:
@@ -335,16 +346,21 @@ def current(spark: SparkSession, folder: str, version: str | None = None) -> Gra
     return Graph(**tables)
 
 
-def refresh(spark: SparkSession, folder: str, files: DataFrame, most_layers: int = 8) -> str:
+def refresh(spark: SparkSession, folder: str, files: DataFrame | Callable[[Graph | None], DataFrame], most_layers: int = 8) -> str:
     """Publishes the state of a listing: what changed as a layer, or all anew where there is nothing yet or many layers are.
 
-    Begins again if another version was published meanwhile.
+    files may be a function that gives the listing for the current graph (none before the first). Begins again if another
+    version was published meanwhile. Where nothing changed the current version stays.
     """
+    listing = files if callable(files) else lambda _: files
     while True:
         base = published(spark, folder)
         if base is None:
-            return publish(build_index(files), folder)
-        g, layer = updated(current(spark, folder, base), files)
+            return publish(build_index(listing(None)), folder)
+        before = current(spark, folder, base)
+        g, layer = updated(before, listing(before))
+        if layer.replaced.isEmpty():
+            return base
         try:
             if len(layers(spark, folder, base)) < most_layers:
                 return publish_layer(layer, folder, base)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_phrase_prefix, semantic_text, task_keywords, tokens
 from ..schema import Graph
 from .coupling import related_rank
+from .textindex import BlockSearch, phrase_hits, posting_blocks, postings, token_score, token_weight, totals_of, words_of
 
 
 #: Keywords of a task that are searched for in one pass.
@@ -20,17 +21,17 @@ def search_names(g: Graph, query: str, kind: str | None = None, limit: int = 20)
     A query of one byte, or with a double quote in it, is a prefix pattern of lower-cased names (% and _ are wild).
     """
     nodes = g.nodes if kind is None else g.nodes.where(F.col("kind") == kind)
+    order = (F.length("name"), "name", "id")
     if len(query.encode()) < 2 or '"' in query:
         hit = F.lower("name").like(query.lower() + "%")
+    elif g.names is not None:  # stored with the index, sorted by token
+        hits = phrase_hits(g.names, words_of(g.nodes.sparkSession, query))
+        best = (hits if kind is None else hits.where(F.col("kind") == kind)).orderBy(*order).limit(limit)
+        return nodes.join(best.select("id"), "id").orderBy(*order)
     else:
         q = F.lit(query)
         hit = has_phrase_prefix(F.col("name"), q) | has_phrase_prefix(F.coalesce("qualified_name", F.lit("")), q)
-    return nodes.where(hit).orderBy(F.length("name"), "name", "id").limit(limit)
-
-
-def postings(texts: DataFrame) -> DataFrame:
-    """texts(id, tokens array) -> id, token, tf, len."""
-    return texts.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    return nodes.where(hit).orderBy(*order).limit(limit)
 
 
 def postings_of(texts: DataFrame, asked: list[str]) -> DataFrame:
@@ -49,13 +50,9 @@ def semantic_texts(g: Graph) -> DataFrame:
 
 
 def semantic_index(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """The semantic index of symbols: postings, and one row with the numbers n of symbols and total of tokens."""
+    """The semantic index of symbols: blocks of postings, and one row with the numbers n of symbols and total of tokens."""
     texts = semantic_texts(g)
-    return postings(texts), _totals(texts)
-
-
-def _totals(texts: DataFrame) -> DataFrame:
-    return texts.where(F.size("tokens") > 0).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
+    return posting_blocks(postings(texts)), totals_of(texts)
 
 
 def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | None = 20) -> DataFrame:
@@ -72,9 +69,7 @@ def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | Non
     terms = spark.createDataFrame(list(asked.items()), "token string, times long")
     hits = index.where(F.col("token").isin(*asked)).join(F.broadcast(terms), "token")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))  # a row for each asked token
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = weight * F.col("times") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / (F.col("total") / F.col("n"))))
+    part = token_score(token_weight(F.col("n"), F.col("df")), F.col("times"), F.col("tf"), F.col("len"), F.col("n"), F.col("total"))
     scored = hits.join(F.broadcast(df), "token").join(F.broadcast(n_docs)).groupBy("id").agg(F.count("*").alias("terms"), (-F.sum(part)).alias("score"))
     out = scored.where(F.col("terms") == len(asked)).select("id", "score")
     return out.orderBy(F.round("score", 9), "id").limit(limit) if limit else out
@@ -86,11 +81,11 @@ def semantic_search(g: Graph, query: str, limit: int = 20) -> DataFrame:
 
     words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
     if g.postings is not None and g.totals is not None:  # stored with the index, sorted by token
-        index, totals = g.postings, g.totals
+        best = BlockSearch(g.postings, g.totals, words, limit).rows()
     else:
         texts = semantic_texts(g)
-        index, totals = postings_of(texts, words or [""]), _totals(texts)
-    return bm25(index, totals, words, limit).join(g.nodes, "id").orderBy("score", "id")
+        best = bm25(postings_of(texts, words or [""]), totals_of(texts), words, limit)
+    return best.join(g.nodes, "id").orderBy("score", "id")
 
 
 def keyword_hits(g: Graph, keywords: DataFrame, each: int = 5) -> DataFrame:

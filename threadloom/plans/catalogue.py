@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, task_keywords
-from ..operators import changes, coupling, lookup, resolve, search, traverse
+from ..operators import changes, coupling, lookup, resolve, search, textindex, traverse
 from ..schema import Graph
 from ..sources.slices import slice_lines
+from .order_sources import order_index
 from .star_graph import SQL, star_churn, star_graph, star_nodes, star_refs, table
 
 QUERIES: dict = {}
@@ -87,6 +90,65 @@ def semantic_search_bm25(spark, sf_dir):
     return search.bm25(search.postings_of(texts, ["the", "thing"]), totals, ["thing", "the", "thing"]).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT {COLUMNS} FROM nodes0 WHERE contains({TOKENS.format('name')}, ' cold widg') OR contains({TOKENS.format('qualified_name')}, ' cold widg') ORDER BY length(name), name, id LIMIT 20")
+def name_search_stored(spark, sf_dir):
+    g = star_graph(spark, sf_dir)
+    return search.search_names(replace(g, names=textindex.stored(textindex.name_places(g.nodes), "name-places", "token", "id")), "cold widg").select(*BASIC)
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS n, sum(len(w)) AS total FROM t WHERE len(w) > 0),
+p AS (SELECT id, len(w) AS len, q.token, q.times, len([x FOR x IN w IF x = q.token]) AS tf FROM t, (VALUES ('and', 1), ('of', 2)) q(token, times)),
+f AS (SELECT token, count(*) AS df FROM p WHERE tf > 0 GROUP BY token),
+i AS (SELECT token, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM f, n),
+s AS (SELECT id, count(*) AS terms, -sum(idf * times * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total / n)))) AS score FROM p JOIN i USING (token), n WHERE tf > 0 GROUP BY id)
+SELECT id, round(score, 6) AS score FROM s WHERE terms = 2 ORDER BY round(score, 9), id LIMIT 20""",
+    graph=False,
+)
+def semantic_search_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    texts = docs.select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    blocks = textindex.stored(textindex.posting_blocks(textindex.postings(texts)), "posting-blocks", "token", "block")
+    return textindex.BlockSearch(blocks, textindex.totals_of(texts), ["of", "and", "of"]).rows().select("id", F.round("score", 6).alias("score"))
+
+
+# Graphs of source files that are made from orders and customers: see order_sources.
+
+
+@query(
+    """
+SELECT 'file' AS kind, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT o_orderpriority) FROM orders) AS count
+UNION ALL SELECT 'class', (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer)
+UNION ALL SELECT 'function', (SELECT count(*) FROM orders) + (SELECT count(DISTINCT o_orderpriority) FROM orders)""",
+    graph=False,
+)
+def extracted_kinds(spark, sf_dir):
+    return order_index(spark, sf_dir, resolved=False).nodes.groupBy("kind").agg(F.count("*").alias("count"))
+
+
+@query("SELECT 'Customer_' || o_custkey AS name, 'customers/c' || o_custkey || '.py' AS file_path, 2 * count(*) AS uses FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey", graph=False)
+def extracted_owners(spark, sf_dir):
+    """A call belongs to the function that holds it and to the class around that."""
+    calls = _calls(order_index(spark, sf_dir)).where("file_path LIKE 'customers/%'")
+    return calls.groupBy("name", "file_path").agg(F.count("*").alias("uses"))
+
+
+@query("SELECT 'handle_' || regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') AS name, unnest(['settle_' || o_orderkey, 'Order_' || o_orderkey]) AS caller, 3::INT AS line FROM orders", graph=False)
+def extracted_callers(spark, sf_dir):
+    g = order_index(spark, sf_dir)
+    callers_ = g.nodes.select(F.col("id").alias("source_id"), F.col("name").alias("caller"))
+    return _calls(g).where("file_path LIKE 'handlers/%'").join(callers_, "source_id").select("name", "caller", "line")
+
+
+def _calls(g: Graph) -> DataFrame:
+    """Calls with name and file of what they lead to."""
+    targets = g.nodes.select(F.col("id").alias("target_id"), "name", F.col("file_path"))
+    return g.edges.where("kind = 'calls'").select("source_id", "target_id", "line").join(targets, "target_id")
+
+
 def _neighbours(near: str, far: str, name: str) -> str:
     return f"SELECT e.id AS edge_id, x.id, x.kind, x.name, x.file_path FROM edges e JOIN nodes0 x ON x.id = e.{far} WHERE e.kind = 'calls' AND e.{near} = (SELECT min(id) FROM nodes0 WHERE name = '{name}') ORDER BY e.id LIMIT 20"
 

@@ -49,3 +49,4 @@ class Graph:
     churn: DataFrame | None = None
     postings: DataFrame | None = None
     totals: DataFrame | None = None
+    names: DataFrame | None = None

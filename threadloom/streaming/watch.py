@@ -1,4 +1,4 @@
-"""Keeping an index up to date: by polling, as file sources of streams don't report edits and deletions; and for streams of files."""
+"""Keeping an index up to date: by polling, as file sources of streams don't report edits and deletions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import build_index, current, publish, published, refresh, update_index
+from ..operators.index import refresh
 from ..sources.scan import indexed, scan_signature, scan_tree
 
 
@@ -46,19 +46,3 @@ class Watcher:
             except Exception as e:  # the loop outlives a failed round
                 self.on_error(e)
             time.sleep(self.seconds)
-
-
-def stream_index(files: DataFrame, folder: str, checkpoint: str):
-    """Indexes a stream of files(path, content, language, content_hash): each batch's files replace those of the same path."""
-
-    def batch(new: DataFrame, number: int) -> None:
-        spark = new.sparkSession
-        latest = new.dropDuplicates(["path"])
-        if published(spark, folder) is None:
-            publish(build_index(latest), folder)
-            return
-        g = current(spark, folder)
-        before = g.sources.join(latest.select("path"), "path", "left_anti").join(g.nodes.where("kind = 'file'").select(F.col("file_path").alias("path"), "language"), "path")
-        publish(update_index(g, before.select("path", "content", "content_hash", "language").unionByName(latest.select("path", "content", "content_hash", "language"))), folder)
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
