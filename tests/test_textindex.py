@@ -68,8 +68,8 @@ def table_of(spark, texts):
 def compare(spark, texts, queries, limit=20, first=1):
     docs = table_of(spark, texts)
     flat, totals = textindex.postings(docs), textindex.totals_of(docs)
-    blocks = textindex.stored(textindex.posting_blocks(flat), "t", "token", "block")
-    assert blocks.where(F.size("docs") > 1 << textindex.BLOCK).isEmpty()
+    blocks = textindex.stored(textindex.posting_blocks(docs), "t", "token", "block")
+    assert blocks.where(F.size("at") > 1 << textindex.BLOCK).isEmpty()
     for q in queries:
         want = [(r.id, r.score) for r in search.bm25(flat, totals, q.split(), limit).collect()]
         got = [(r.id, r.score) for r in BlockSearch(blocks, totals, q.split(), limit, first).rows().collect()]

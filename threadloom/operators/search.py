@@ -52,7 +52,7 @@ def semantic_texts(g: Graph) -> DataFrame:
 def semantic_index(g: Graph) -> tuple[DataFrame, DataFrame]:
     """The semantic index of symbols: blocks of postings, and one row with the numbers n of symbols and total of tokens."""
     texts = semantic_texts(g)
-    return posting_blocks(postings(texts)), totals_of(texts)
+    return posting_blocks(texts), totals_of(texts)
 
 
 def bm25(index: DataFrame, n_docs: DataFrame, query: list[str], limit: int | None = 20) -> DataFrame:

@@ -19,6 +19,8 @@ PAGE_ROWS = 2000
 BLOCK = 10
 #: Blocks of the best bounds that are scored first, for the threshold.
 FIRST_BLOCKS = 32
+#: What no token holds.
+SEPARATOR = "\x00"
 #: Blocks up to this number are given to the scan by number, more by a join.
 LISTED_BLOCKS = 500
 
@@ -80,14 +82,23 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
 
 
-def posting_blocks(index: DataFrame) -> DataFrame:
-    """postings -> token, block, n (documents), most (largest tf), least (smallest len), docs (array of id, tf, len).
+def posting_blocks(texts: DataFrame) -> DataFrame:
+    """texts(id, tokens array) -> token, block, n (documents), most (largest tf), least (smallest len), and in the order of ids
+    the arrays at (id less the first of the block), tf and len.
 
-    A block is bounded by its ids, however frequent the token.
+    A block is bounded by its ids, however frequent the token. Texts are dealt by block once; tokens are counted in their row.
     """
-    block = F.shiftright("id", BLOCK).alias("block")
-    docs = F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("docs")
-    return index.groupBy("token", block).agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), docs)
+    block = F.shiftright("id", BLOCK)
+    # a text travels as one string
+    dealt = texts.select("id", block.alias("block"), F.array_join("tokens", SEPARATOR).alias("text"), F.size("tokens").alias("len")).where("len > 0").repartition("block")
+    dealt = dealt.select("id", "block", "len", F.array_sort(F.split("text", SEPARATOR)).alias("tokens"))
+    tokens_, places = F.col("tokens"), F.sequence(F.lit(0), F.col("len") - 1)
+    first = F.filter(places, lambda i: (i == 0) | (F.get(tokens_, i) != F.get(tokens_, i - 1)))  # of each run of equal tokens
+    runs = F.transform("first", lambda i, nth: F.struct(F.get(tokens_, i).alias("token"), (F.coalesce(F.get(F.col("first"), nth + 1), F.col("len")) - i).alias("tf")))
+    counted = dealt.withColumn("first", first).select("id", "block", "len", F.inline(runs))
+    docs = F.sort_array(F.collect_list(F.struct((F.col("id") - F.shiftleft("block", BLOCK)).cast("int").alias("at"), "tf", "len"))).alias("docs")
+    grouped = counted.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), docs)
+    return grouped.select("token", "block", "n", "most", "least", F.col("docs.at").alias("at"), F.col("docs.tf").alias("tf"), F.col("docs.len").alias("len"))
 
 
 def totals_of(texts: DataFrame) -> DataFrame:
@@ -138,7 +149,7 @@ class BlockSearch:
 
     def scored(self, blocks: DataFrame) -> DataFrame:
         """id, score (smaller is better) of the documents with all tokens in these rows."""
-        docs = blocks.select("token", F.inline("docs"))
+        docs = blocks.select("token", "block", F.inline(F.arrays_zip("at", "tf", "len"))).withColumn("id", F.shiftleft("block", BLOCK) + F.col("at"))
         each = docs.groupBy("id").agg(F.count("*").alias("terms"), (-F.sum(self._part(F.col("tf"), F.col("len")))).alias("score"))
         return each.where(F.col("terms") == len(self.asked)).select("id", "score")
 

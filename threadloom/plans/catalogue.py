@@ -111,7 +111,7 @@ def semantic_search_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     texts = docs.select(F.col("doc_id").alias("id"), words.alias("tokens"))
-    blocks = textindex.stored(textindex.posting_blocks(textindex.postings(texts)), "posting-blocks", "token", "block")
+    blocks = textindex.stored(textindex.posting_blocks(texts), "posting-blocks", "token", "block")
     return textindex.BlockSearch(blocks, textindex.totals_of(texts), ["of", "and", "of"]).rows().select("id", F.round("score", 6).alias("score"))
 
 
