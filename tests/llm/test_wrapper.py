@@ -36,6 +36,37 @@ def test_matching_is_the_largest():
     assert [n.at for n in walk(align(data, "<div><p>x</p><hr></div>"))] == [0, 1, 2, -1]
 
 
+def unlike(rng, n, depth=2):
+    """Blocks of many shapes, so that none melts into another."""
+    inner = lambda: unlike(rng, rng.randint(0, 4), depth - 1) if depth else "x"
+    return "".join(f"<{t} class=c{rng.randint(0, 3)}>{inner()}</{t}>" for t in rng.choices(["div", "section", "h2", "blockquote"], k=n))
+
+
+@pytest.mark.parametrize("known", [3, 1 << 18])
+def test_a_match_is_the_same_at_any_number_of_pairs(monkeypatch, known):
+    import random
+
+    from threadloom.llm import wrapper
+
+    rng = random.Random(7)
+    pages = [(parse(unlike(rng, n)), parse(unlike(rng, m))) for n, m in [(1, 9), (7, 5), (30, 40), (90, 60)] * 4]
+    pages.append((parse("<div>" * 190 + "<p>x</p><h2>y</h2>"), parse("<div>" * 190 + "<h2>z</h2><p>x</p>")))
+    monkeypatch.setattr(wrapper, "KNOWN_SIZES", known)
+    found = {}
+    for many in (0, 20, 100_000):
+        monkeypatch.setattr(wrapper, "MANY_PAIRS", many)
+        found[many] = [(size, [(id(a), id(b)) for a, b in pairs]) for size, pairs in (matched(a, b) for a, b in pages)]
+    assert found[0] == found[20] == found[100_000]
+    assert all(size == len(pairs) for size, pairs in found[0])
+
+
+def test_matching_of_very_many_children_is_the_largest():
+    # 60 headings before the paragraphs that both pages have: no child's twin is near
+    rows = [f"<p class=r{i}>x</p>" for i in range(400)]
+    a, b = parse("".join(rows)), parse("".join(f"<h2 class=n{i}>y</h2>" for i in range(60)) + "".join(rows))
+    assert matched(a, b)[0] == matched(b, a)[0] == 401
+
+
 def test_constant_nodes_without_telling_names_are_template(spark):
     page = "<html><body><div class=top><p>Our site, since 1999</p></div><div class=x7><h2>Story {n}</h2><p>Text {n}</p></div><div class=y9><p>All rights</p></div></body></html>"
     rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(8)] + [(20, "http://one.example/", page.format(n=20)), (21, None, None), (22, "bad url", ""), (5, "http://h.example/5", page.format(n=5))]

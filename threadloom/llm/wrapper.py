@@ -28,11 +28,13 @@ template of a host; other columns are left out, whatever their names; an empty t
 from __future__ import annotations
 
 import html as entities
+import math
 import pickle
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +59,10 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl li dd dt table
 TOKEN = re.compile(r"[A-Za-z]+")
 #: Deeper elements hang on the one at this depth.
 DEEPEST = 200
-#: Pairs of children that are compared in full.
+#: Pairs of children up to which their matches are held at once; beyond, the same match is found by rows.
 MANY_PAIRS = 100_000
+#: Sizes of matches that are kept at a time; others are found again.
+KNOWN_SIZES = 1 << 18
 HEADING = re.compile(r"h[1-6](?:\.|$)")
 
 
@@ -218,10 +222,95 @@ def fold(root: Node, longest: int = 6) -> None:
         shape[id(n)] = hash((n.label, n.other, *(shape[id(x)] for x in out)))
 
 
-def matched(a: Node, b: Node):
+class Sizes:
+    """Sizes of the matches of what two trees hold. Nodes of equal shape (label and children's shapes) match alike, so shapes are matched."""
+
+    def __init__(self, a: Node, b: Node):
+        numbers: dict[tuple, int] = {}
+        names: dict[str, int] = {}
+        self.of: dict[int, int] = {}  # node -> number of its shape
+        self.children: list[tuple[int, ...]] = []
+        self.named: list[int] = []  # the label of each shape, by number
+        for n in reversed([*walk(a), *walk(b)]):
+            kind = (names.setdefault(n.label, len(names)), *(self.of[id(c)] for c in n.children))
+            i = self.of[id(n)] = numbers.setdefault(kind, len(numbers))
+            if i == len(self.named):
+                self.named.append(kind[0])
+                self.children.append(kind[1:])
+        self.label = np.array(self.named)
+        self.inner = np.array([bool(c) for c in self.children])
+        self.known: dict[tuple[int, int], int] = {}
+
+    def size(self, u: int, v: int) -> int:
+        """Of two shapes of one label."""
+        x, y = self.children[u], self.children[v]
+        if not x or not y:
+            return 1
+        size = self.known.get((u, v))
+        if size is None:
+            if len(x) * len(y) <= 256:
+                row = [0] * (len(y) + 1)
+                for p in x:
+                    above, row = row, [0]
+                    for j, q in enumerate(y):
+                        row.append(max(row[j], above[j + 1], above[j] + self.size(p, q) if self.named[p] == self.named[q] else 0))
+            else:
+                for row in self.rows(x, y):
+                    pass
+            size = 1 + int(row[-1])
+            if len(self.known) >= KNOWN_SIZES:
+                self.known.clear()  # sizes are found again
+            self.known[u, v] = size
+        return size
+
+    def rows(self, x, y, row: np.ndarray | None = None):
+        """For each of the shapes x a row of the table of largest matches: of what comes up to it with y[:0], y[:1], ... row: the one before."""
+        distinct, at = np.unique(np.array(y), return_inverse=True)
+        found: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, np.int32) if row is None else row
+        for u in x:
+            got = found.get(u)
+            if got is None:
+                got = (self.label[distinct] == self.label[u]).astype(np.int32)
+                if self.inner[u]:
+                    for i in np.flatnonzero((got > 0) & self.inner[distinct]).tolist():
+                        got[i] = self.size(u, int(distinct[i]))
+                if (len(found) + 1) * len(distinct) > KNOWN_SIZES:
+                    found.clear()
+                found[u] = got
+            best = row.copy()
+            np.maximum(row[1:], row[:-1] + got[at], out=best[1:])
+            row = np.maximum.accumulate(best)
+            yield row
+
+    def matched(self, a: Node, b: Node):
+        """matched() by rows, of which about the square root of their number are held at a time."""
+        x, y = [self.of[id(c)] for c in a.children], [self.of[id(c)] for c in b.children]
+        step = math.isqrt(len(x)) + 1
+        kept = [row := np.zeros(len(y) + 1, np.int32)]
+        for i, row in enumerate(self.rows(x, y), 1):
+            if i % step == 0:
+                kept.append(row)
+        pairs, size, j = [(a, b)], 1 + int(row[-1]), len(y)
+        for low in reversed(range(0, len(x), step)):
+            part = x[low : low + step]
+            best = [kept[low // step], *self.rows(part, y, kept[low // step])]
+            i = len(part)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    pairs.extend(matched(a.children[low + i], b.children[j], self)[1])
+        return size, pairs
+
+
+def matched(a: Node, b: Node, sizes: Sizes | None = None):
     """Simple tree matching: the size of the largest order-preserving match of two trees, and its pairs of nodes.
 
-    Where both have very many children of unlike shapes, each child is matched with the next of its label.
+    Where both have very many children, the same is found with less at a time (Sizes; sizes: those of trees around a and b).
     """
     if a.label != b.label:
         return 0, ()
@@ -229,14 +318,7 @@ def matched(a: Node, b: Node):
     if not x or not y:
         return 1, ((a, b),)
     if len(x) * len(y) > MANY_PAIRS:
-        size, pairs, at = 1, [(a, b)], 0
-        for p in x:
-            j = next((j for j in range(at, min(at + 50, len(y))) if y[j].label == p.label), None)
-            if j is not None:
-                n, found = matched(p, y[j])
-                size, at = size + n, j + 1
-                pairs.extend(found)
-        return size, pairs
+        return (sizes or Sizes(a, b)).matched(a, b)
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     pair: dict[tuple[int, int], tuple] = {}
     for i, p in enumerate(x):
@@ -244,7 +326,7 @@ def matched(a: Node, b: Node):
         for j, q in enumerate(y):
             most = above[j + 1] if above[j + 1] >= row[j] else row[j]
             if p.label == q.label:
-                got = pair[i, j] = matched(p, q)
+                got = pair[i, j] = matched(p, q, sizes)
                 if above[j] + got[0] > most:
                     most = above[j] + got[0]
             row[j + 1] = most
