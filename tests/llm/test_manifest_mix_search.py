@@ -238,6 +238,16 @@ def test_search_of_odd_rows(spark, k, block, group):
         assert search(index, queries.limit(0), k).count() == 0
 
 
+def test_index_has_few_blocks_in_a_row_group(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = index_documents(docs, 2)
+    groups = [m.row_group(g).num_rows for m in (pq.read_metadata(f.removeprefix("file://")) for f in index.inputFiles()) for g in range(m.num_row_groups)]
+    assert sum(groups) == index.count() == 100
+    assert max(groups) <= 16
+
+
 def test_search_leaves_out_blocks_below_the_threshold():
     rng = random.Random(2)
     docs = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(40)).encode()) for i in range(2000)]

@@ -31,13 +31,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, batches, split_words, spread, written
+from .shared import arrow_rows, batches, release, split_words, spread, written
 
 NO_ID = 2**63 - 1
 #: Bytes of a text to those of its terms: A-Z lower-cased, other ASCII than letters and digits to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 LIGHT = "block long, n_docs long, n_terms long, terms binary, df binary, best_counts binary, best_tf binary, best_n binary"
 FORWARD = "ids binary, lengths binary, doc_terms binary, term_at binary, tf binary"
+#: Blocks are wide, so few go in a row group: writers and readers hold a row group at a time. No two alike need a dictionary.
+WIDE_ROWS = {"parquet.block.row.count.limit": 16, "parquet.enable.dictionary": False}
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -85,7 +87,7 @@ def index_documents(docs: DataFrame, block_docs: int = 128, block_bytes: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=list(names))
             block += 1
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"{LIGHT}, {FORWARD}"), "lexical-index")
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"{LIGHT}, {FORWARD}"), "lexical-index", **WIDE_ROWS)
 
 
 @dataclass
@@ -169,9 +171,10 @@ def _read(record_batches, q: Queries, columns: list[str]) -> Iterator[Block]:
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    release()  # what indexing left in the process
     wanted = pa.array(q.terms, pa.large_binary())
     for rb in record_batches:
-        for row in pa.Table.from_batches([rb]).select(columns).to_batches(max_chunksize=64):
+        for row in pa.Table.from_batches([rb]).select(columns).to_batches(max_chunksize=8):
             rows = row.to_pylist()
             words = [pc.ascii_split_whitespace(pa.array([r["terms"]], pa.large_binary()).view(pa.large_string())).values.view(pa.large_binary()) for r in rows]
             for r, w in zip(rows, words, strict=True):

@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends at files that outlive executors."""
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """df written as Parquet, with the writer's options, in the shared folder and read back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
