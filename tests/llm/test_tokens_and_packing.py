@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from threadloom.llm.encoding import Encoder, encoder
-from threadloom.llm.packing import op10_exact_complement_packing, pack_documents, plan_packing
+from threadloom.llm.packing import cut_texts, op10_exact_complement_packing, pack_documents, plan_packing
 from threadloom.llm.shared import new_path
 from threadloom.llm.token_shards import from_planes, op1_bit_plane_shards, read_token_shards, to_planes, write_token_shards
 
@@ -133,6 +133,17 @@ def check_packing(rows, texts, capacity):
     return len(sequences), total
 
 
+def test_texts_are_cut_a_little_at_a_time():
+    import pyarrow as pa
+
+    texts = [f"some words of text {i} " * 500 for i in range(300)] + ["one long text " * 100_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(cut_texts([batch], BYTE, "spaces", 2, 1024))
+    docs = [sorted(set(p.column("doc_id").to_pylist())) for p in parts]
+    assert sum(docs, []) == list(range(len(texts)))
+    assert all(len(d) == 1 or sum(len(texts[i] or "") for i in d) <= 1 << 20 for d in docs)
+
+
 def test_packing_of_odd_rows(spark):
     docs = odd_docs(spark)
     texts: dict = {}

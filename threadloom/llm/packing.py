@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import arrow_rows, batches, shuffle_partitions, written
+from .shared import arrow_rows, batches, release, shuffle_partitions, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text that are encoded at a time; the encoder's arrays take about twenty times as much.
+PART_BYTES = 1 << 20
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -132,24 +134,30 @@ def _best_fit(left: dict[int, int], order: list[int], capacity: int) -> list[tup
     return [x for xs in opened.values() for x in xs]
 
 
+def cut_texts(record_batches, tokenizer: str, mode: str, end_id: int, capacity: int):
+    """Record batches of PIECES, each of about PART_BYTES of text."""
+    import pyarrow as pa
+
+    release(caches=False)  # what other stages left in the process; the encoder's cache stays
+    for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), PART_BYTES, caching=True):
+        encode = encoder(tokenizer, mode)
+        out: list[tuple] = []
+        for (doc_id, _), ids in zip(part, encode([r[1] for r in part]), strict=True):
+            ids = np.concatenate([ids.astype("<u4"), np.array([end_id], "<u4")])
+            start, piece = 0, 0
+            while start < len(ids):
+                n = (len(ids) - start) % capacity or capacity
+                out.append((doc_id, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+                start, piece = start + n, piece + 1
+        cols = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of at most capacity ids of docs(doc_id, text): PIECES. The first piece of a long document may be shorter."""
 
     def cut(record_batches):
-        import pyarrow as pa
-
-        for part in batches(arrow_rows(record_batches, "doc_id", "text"), lambda r: len(r[1] or b""), 8 << 20, caching=True):
-            encode = encoder(tokenizer, mode)
-            out: list[tuple] = []
-            for (doc_id, _), ids in zip(part, encode([r[1] for r in part]), strict=True):
-                ids = np.concatenate([ids.astype("<u4"), np.array([end_id], "<u4")])
-                start, piece = 0, 0
-                while start < len(ids):
-                    n = (len(ids) - start) % capacity or capacity
-                    out.append((doc_id, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
-                    start, piece = start + n, piece + 1
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        return cut_texts(record_batches, tokenizer, mode, end_id, capacity)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

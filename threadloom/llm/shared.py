@@ -55,13 +55,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 CACHES: list = []
 
 
-def release() -> None:
-    """Gives memory back to the system: caches of other operators' earlier tasks, and what the allocators hold unused."""
+def release(caches: bool = True) -> None:
+    """Gives memory back to the system: caches of other operators' earlier tasks, if asked for, and what the allocators hold unused."""
     import ctypes
 
     import pyarrow as pa
 
-    for c in CACHES:
+    for c in CACHES if caches else ():
         c.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
