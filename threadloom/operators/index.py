@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import NODES, REFS, Graph
-from ..sources.extract import generated, is_test_path, read_code, references, symbols
+from ..sources.extract import Code, generated, is_test_path, read_code, references, symbols
 from ..sources.manifest import manifest_symbols
 from .changes import changed_files
 from .resolve import references_to, resolve_references, resolve_some, touched_names
@@ -42,51 +42,75 @@ def numbered_files(files: DataFrame, first: int = 0) -> DataFrame:
 
 
 def extract_tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, contains edges and refs of files(path, content, language, seq)."""
+    """nodes, contains edges and refs of files(path, content, language, seq), from written tables."""
     code = read_code(files)
-    found = written(symbols(code), "symbols-found")
-    made = manifest_symbols(files).select("path", "kind", "name", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit("public").alias("visibility"), F.lit(True).alias("is_exported"))
-    false = F.lit(False)
-    both = found.unionByName(made, allowMissingColumns=True).fillna(False, ["is_async", "is_static", "is_test", "is_exported"])
-    head = files.select("path", "seq", F.col("language").alias("file_language"), generated(F.col("path"), F.col("content")).alias("is_generated"), F.size(F.split("content", "\n")).alias("n_lines"), is_test_path(F.col("path")).alias("in_tests"))
-    order = Window.partitionBy("path").orderBy("start_line", "start_column", "kind", "name")
-    numbered = both.withColumn("ordinal", F.row_number().over(order)).join(head, "path").withColumn("id", F.col("seq") * ROOM + _roomy(F.col("ordinal")))
-    numbered = checkpointed(numbered)
-    refs = references(code, found)
-    found = checkpointed(nested(numbered, refs))
-    placed = numbered.join(found.where("id IS NOT NULL").select("id", "outer", "qualified_name"), "id")
-    lang = F.coalesce("language", "file_language").alias("language")
-    nodes = placed.select("id", "kind", "name", "qualified_name", F.col("path").alias("file_path"), "start_line", "end_line", F.coalesce("start_column", F.lit(0)).alias("start_column"), F.lit(0).alias("end_column"), "signature", "visibility", "docstring", "is_async", "is_static", "is_exported", "is_test", "is_generated", lang)
-    file_nodes = head.select((F.col("seq") * ROOM).alias("id"), F.lit("file").alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.col("path").alias("file_path"), F.lit(0).alias("start_line"), F.col("n_lines").alias("end_line"), F.lit(0).alias("start_column"), F.lit(0).alias("end_column"), F.lit(None).cast("string").alias("signature"), F.lit("public").alias("visibility"), F.lit(None).cast("string").alias("docstring"), false.alias("is_async"), false.alias("is_static"), false.alias("is_exported"), F.col("in_tests").alias("is_test"), "is_generated", F.col("file_language").alias("language"))
-    contains = placed.select(F.coalesce(F.col("outer"), F.col("seq") * ROOM).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), F.col("path").alias("file_path"), F.col("start_line").alias("line"), F.lit(0).alias("column"), F.lit(None).cast("string").alias("detail"))
-    sites = found.where("id IS NULL").join(head.select("path", "seq"), "path").select(F.coalesce("outer", F.col("seq") * ROOM).alias("source_node_id"), "reference_name", "kind", F.col("path").alias("file_path"), "line", "detail")
+    numbered = numbered_symbols(files, code)
+    found = checkpointed(nested(numbered, references(code, numbered)))
+    every = checkpointed(placed_nodes(files, numbered, found.where("id IS NOT NULL")))
+    contains = every.where(F.col("id").bitwiseAND(F.lit(ROOM - 1)) > 0).select(F.coalesce(F.col("outer"), _file_number("id") * ROOM).alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), "file_path", F.col("start_line").alias("line"), F.lit(0).alias("column"), F.lit(None).cast("string").alias("detail"))
+    site = lambda source: [source.alias("source_node_id"), "reference_name", "kind", F.col("path").alias("file_path"), "line", "detail"]
+    sites = found.where("id IS NULL")
+    outside = sites.where("outer IS NULL").join(files.select("path", "seq"), "path")
+    sites = sites.where("outer IS NOT NULL").select(site(F.col("outer"))).unionByName(outside.select(site(F.col("seq") * ROOM)))
     once = sites.where(~F.col("kind").isin("calls", "imports")).groupBy("source_node_id", "reference_name", "kind", "file_path").agg(F.min("line").alias("line"), F.min("detail").alias("detail"))
     imports = sites.where("kind = 'imports'").distinct()
     all_refs = sites.where("kind = 'calls'").unionByName(once).unionByName(imports).withColumn("column", F.lit(0))
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "kind", "reference_name", "source_node_id"))
-    all_refs = all_refs.join(head.select(F.col("path").alias("file_path"), "seq"), "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth))
-    return file_nodes.unionByName(nodes), contains, all_refs.select([c.split()[0] for c in REFS.split(", ")])
+    all_refs = all_refs.withColumn("id", _file_number("source_node_id") * ROOM + _roomy(nth))
+    return every.drop("outer"), contains, checkpointed(all_refs.select([c.split()[0] for c in REFS.split(", ")]))
+
+
+def extract_nodes(files: DataFrame) -> DataFrame:
+    """The nodes of extract_tables alone: references aren't looked for."""
+    numbered = numbered_symbols(files, read_code(files))
+    return placed_nodes(files, numbered, nested(numbered)).drop("outer")
+
+
+def _file_number(node_id: str) -> Column:
+    """The number of the file that a node stands in."""
+    return F.shiftright(node_id, ROOM.bit_length() - 1)
+
+
+def numbered_symbols(files: DataFrame, code: Code) -> DataFrame:
+    """The symbols of code and manifests with their ids, written."""
+    made = manifest_symbols(files).select("path", "kind", "name", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.lit("public").alias("visibility"), F.lit(True).alias("is_exported"))
+    both = symbols(code).unionByName(made, allowMissingColumns=True).fillna(False, ["is_async", "is_static", "is_test", "is_exported"])
+    head = files.select("path", "seq", F.col("language").alias("file_language"), generated(F.col("path"), F.col("content")).alias("is_generated"))
+    order = Window.partitionBy("path").orderBy("start_line", "start_column", "kind", "name")
+    numbered = both.withColumn("ordinal", F.row_number().over(order)).join(head, "path")
+    return checkpointed(numbered.withColumn("id", F.col("seq") * ROOM + _roomy(F.col("ordinal"))))
+
+
+def placed_nodes(files: DataFrame, numbered: DataFrame, places: DataFrame) -> DataFrame:
+    """The nodes of files and symbols, and of the latter the symbol around it (outer); places(id, outer, qualified_name)."""
+    placed = numbered.join(places.select("id", "outer", "qualified_name"), "id")
+    nodes = placed.select("id", "outer", "kind", "name", "qualified_name", F.col("path").alias("file_path"), "start_line", "end_line", F.coalesce("start_column", F.lit(0)).alias("start_column"), F.lit(0).alias("end_column"), "signature", "visibility", "docstring", "is_async", "is_static", "is_exported", "is_test", "is_generated", F.coalesce("language", "file_language").alias("language"))
+    none, zero, false, path = F.lit(None).cast("string"), F.lit(0), F.lit(False), F.col("path")
+    file_nodes = files.select((F.col("seq") * ROOM).alias("id"), F.lit(None).cast("long").alias("outer"), F.lit("file").alias("kind"), F.substring_index("path", "/", -1).alias("name"), none.alias("qualified_name"), path.alias("file_path"), zero.alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), zero.alias("start_column"), zero.alias("end_column"), none.alias("signature"), F.lit("public").alias("visibility"), none.alias("docstring"), false.alias("is_async"), false.alias("is_static"), false.alias("is_exported"), is_test_path(path).alias("is_test"), generated(path, F.col("content")).alias("is_generated"), "language")
+    return file_nodes.unionByName(nodes)
 
 
-def nested(found: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each symbol (id) the innermost one around it and its qualified name; for each reference one row by symbol around it.
+def nested(found: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """For each symbol (id) the innermost one around it and its qualified name; for each reference, if given, one row by symbol around it.
 
     An import belongs to the innermost symbol or to the file (outer is null). One pass in line order over the files of a
     partition, with the open symbols on a stack.
     """
     none = lambda kind: F.lit(None).cast(kind)
     opens = found.select("path", F.col("start_line").alias("line"), "end_line", "ordinal", "id", "name", F.when(F.col("kind") == "import", 0).when(F.col("kind").isin("field", "enum_member", "constant", "type_alias") & (F.col("start_line") == F.col("end_line")), 1).otherwise(2).alias("holds"), none("string").alias("reference_name"), none("string").alias("kind"), none("string").alias("detail"), "number", "above")
-    asks = refs.select("path", "line", none("int").alias("end_line"), none("int").alias("ordinal"), none("long").alias("id"), none("string").alias("name"), F.lit(0).alias("holds"), "reference_name", "kind", "detail", none("int").alias("number"), none("array<int>").alias("above"))
-    rows = opens.unionByName(asks).repartition("path").sortWithinPartitions("path", "line", F.desc_nulls_last("end_line"), "ordinal")
+    if refs is not None:
+        opens = opens.unionByName(refs.select("path", "line", none("int").alias("end_line"), none("int").alias("ordinal"), none("long").alias("id"), none("string").alias("name"), F.when(F.col("kind") == "imports", -1).otherwise(0).alias("holds"), "reference_name", "kind", "detail", none("int").alias("number"), none("array<int>").alias("above")))
+    rows = opens.repartition("path").sortWithinPartitions("path", "line", F.desc_nulls_last("end_line"), "ordinal").drop("ordinal")
+    same = ("path", "line", "reference_name", "kind", "detail")
 
     def walk(record_batches):
         import pyarrow as pa
 
-        schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("id", pa.int64()), ("outer", pa.int64()), ("qualified_name", pa.string()), ("reference_name", pa.string()), ("kind", pa.string()), ("detail", pa.string())])
         here, stack = None, []  # of (last line, id, name, number of its statement, holds)
         for rb in record_batches:
-            out = []
-            for path, line, end, _, id_, name, holds, reference, kind, detail, number, above in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            found = []  # of (row of the batch, id, outer, qualified name)
+            read = (rb.column(n).to_pylist() for n in ("path", "line", "end_line", "id", "name", "holds", "number", "above"))
+            for at, (path, line, end, id_, name, holds, number, above) in enumerate(zip(*read, strict=True)):
                 if path != here:
                     here, stack = path, []
                 while stack and stack[-1][0] < line:
@@ -95,30 +119,31 @@ def nested(found: DataFrame, refs: DataFrame) -> DataFrame:
                 if id_ is not None:
                     # several on one line stand beside each other or within
                     around = [x for x in around if x[4] == 2] if above is None else [x for x in stack if x[3] in above]
-                    out.append((path, line, id_, around[-1][1] if around else None, "::".join([*(x[2] for x in around), name]), None, None, None))
+                    found.append((at, id_, around[-1][1] if around else None, "::".join([*(x[2] for x in around), name])))
                     if holds:
                         stack.append((end, id_, name, number, holds))
-                elif kind == "imports":
-                    out.append((path, line, None, around[-1][1] if around else None, None, reference, kind, detail))
+                elif holds < 0:
+                    found.append((at, None, around[-1][1] if around else None, None))
                 else:
-                    out += [(path, line, None, x[1], None, reference, kind, detail) for x in around]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    found += [(at, None, x[1], None) for x in around]
+            if found:
+                at, ids, outer, names = (pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True))
+                out = {n: rb.column(n).take(at) for n in same} | {"id": ids, "outer": outer, "qualified_name": names}
+                yield pa.RecordBatch.from_pydict({n: out[n] for n in ("path", "line", "id", "outer", "qualified_name", "reference_name", "kind", "detail")})
 
     return rows.mapInArrow(walk, "path string, line int, id long, outer long, qualified_name string, reference_name string, kind string, detail string")
 
 
-def numbered_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with ids by the file they stand in."""
-    seq = nodes.where("kind = 'file'").select("file_path", (F.col("id") / ROOM).cast("long").alias("seq"))
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """Edges with ids by the file they stand in, which is that of their source."""
     nth = F.row_number().over(Window.partitionBy("file_path").orderBy("line", "kind", "source_id", "target_id"))
-    return edges.join(seq, "file_path").withColumn("id", F.col("seq") * ROOM + _roomy(nth)).drop("seq")
+    return edges.withColumn("id", _file_number("source_id") * ROOM + _roomy(nth))
 
 
 def with_resolved(nodes: DataFrame, contains: DataFrame, refs: DataFrame, sources: DataFrame | None = None) -> Graph:
     """The graph of these tables: contained and resolved edges."""
     edges = contains.unionByName(resolve_references(Graph(nodes, contains, refs)).drop("ref_id"))
-    return Graph(nodes.select([c.split()[0] for c in NODES.split(", ")]), numbered_edges(edges, nodes), refs, sources)
+    return Graph(nodes.select([c.split()[0] for c in NODES.split(", ")]), numbered_edges(edges), refs, sources)
 
 
 @dataclass(frozen=True)
@@ -150,7 +175,7 @@ def read_once(files: DataFrame, known: DataFrame | None = None, counted: Observa
 def build_index(files: DataFrame, counted: Observation | None = None) -> Graph:
     """The graph of files(path, content, language); rows without text are left out. counted: see read_once."""
     files = checkpointed(numbered_files(read_once(files, counted=counted)))
-    nodes, contains, refs = (checkpointed(t) for t in extract_tables(files))
+    nodes, contains, refs = extract_tables(files)
     return with_resolved(nodes, contains, refs, files.select("path", "content", "content_hash"))
 
 
@@ -170,7 +195,7 @@ def updated(g: Graph, files: DataFrame, counted: Observation | None = None) -> t
     new = numbered_files(fresh.join(known, "path", "left_anti"), 0 if most is None else most + 1)
     changed = checkpointed(fresh.join(known, "path").select(*fresh.columns, "seq").unionByName(new.select(*fresh.columns, "seq")))
     columns = [c.split()[0] for c in NODES.split(", ")]
-    nodes, contains, refs = (checkpointed(t) for t in extract_tables(changed))
+    nodes, contains, refs = extract_tables(changed)
     nodes = nodes.select(columns)
     moved = state.where("state <> 'same'").select("path")
     replaced = checkpointed(moved.join(known, "path", "left").join(changed.select("path", F.col("seq").alias("new_seq")), "path", "left").select(F.col("path").alias("file_path"), F.coalesce("seq", "new_seq").alias("seq")))
@@ -185,7 +210,7 @@ def updated(g: Graph, files: DataFrame, counted: Observation | None = None) -> t
     old_targets = g.nodes.join(names, "name", "left_semi").select(F.col("id").alias("target_id"))
     kept = g.edges.join(others, "file_path", "left_semi").select(contains.columns)
     kept = stay(kept.where("kind = 'contains'").unionByName(kept.where("kind <> 'contains'").join(old_targets, "target_id", "left_anti").select(contains.columns)))
-    edges = checkpointed(numbered_edges(kept.unionByName(contains).unionByName(found), all_nodes))
+    edges = checkpointed(numbered_edges(kept.unionByName(contains).unionByName(found)))
     all_edges = g.edges.join(renumbered, "file_path", "left_anti").select(edges.columns).unionByName(edges)
     texts = changed.select("path", "content", "content_hash")
     rows = Graph(nodes, edges, refs, texts)

@@ -11,7 +11,7 @@ from ..functions.text import STOP_WORDS, task_keywords
 from ..operators import changes, coupling, lookup, resolve, search, textindex, traverse
 from ..schema import Graph
 from ..sources.slices import slice_lines
-from .order_sources import order_index
+from .order_sources import order_index, order_nodes
 from .star_graph import SQL, star_churn, star_graph, star_nodes, star_refs, table
 
 QUERIES: dict = {}
@@ -126,7 +126,7 @@ UNION ALL SELECT 'function', (SELECT count(*) FROM orders) + (SELECT count(DISTI
     graph=False,
 )
 def extracted_kinds(spark, sf_dir):
-    return order_index(spark, sf_dir, resolved=False).nodes.groupBy("kind").agg(F.count("*").alias("count"))
+    return order_nodes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("count"))
 
 
 @query("SELECT 'Customer_' || o_custkey AS name, 'customers/c' || o_custkey || '.py' AS file_path, 2 * count(*) AS uses FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey", graph=False)

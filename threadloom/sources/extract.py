@@ -112,54 +112,75 @@ def generated(path: Column, content: Column) -> Column:
 
 @dataclass(frozen=True)
 class Code:
-    """lines(path, language, line, text, code) and statements(path, language, number, parent, line, end_line, column, head, opens, raw, marks)."""
+    """lines(path, language, plain, line, text, code), statements(path, language, plain, number, parent, above, line, end_line, column, head, ruled, opens, raw, marks, first, inner) and the languages that are there."""
 
     lines: DataFrame
     statements: DataFrame
+    languages: tuple[str, ...]
 
 
 def read_code(files: DataFrame) -> Code:
     """The code of files(path, content) in languages that have rules."""
     lang = language(F.col("path"))
     source = files.where(F.col("content").isNotNull() & ~file_name(F.col("path")).isin(*MANIFESTS)).select("path", lang.alias("language"), "content").where(F.col("language").isin(*NO_CODE))
-    found = written(scanned(source), "code")  # read by many steps below
+    worded = _any(F.contains("content", F.lit(f" {w} ")) for w in ("async", "static"))
+    found = written(scanned(source.withColumn("marked", worded | F.col("content").rlike(TEST_MARKS))), "code")  # read by many steps below
+    there = {r[0] for r in found.where("number IS NULL").select("language").distinct().collect()}  # as many as have rules, at most
     pairs = F.arrays_zip(F.split("content", "\n").alias("text"), F.split("code", "\n").alias("code"))
-    lines = found.where("number IS NULL").select("path", "language", F.posexplode(pairs)).select("path", "language", (F.col("pos") + 1).cast("int").alias("line"), "col.text", "col.code")
+    lines = found.where("number IS NULL").select("path", "language", "plain", F.posexplode(pairs)).select("path", "language", "plain", (F.col("pos") + 1).cast("int").alias("line"), "col.text", "col.code")
     statements = found.where("number IS NOT NULL").drop("code", "content").withColumn("ruled", F.concat("head", F.when(F.col("opens"), " {").otherwise(";")))
-    return Code(lines, statements)
+    return Code(lines, statements, tuple(x for x in NO_CODE if x in there))
 
 
-def declared(statements: DataFrame) -> DataFrame:
-    """Statements with kind and name, as far as they declare something: by what they say, then by what they stand in."""
+def declared(code: Code) -> DataFrame:
+    """Statements with kind and name, as far as they declare something: by what they say, then by what they stand in.
 
-    def rule(free: bool):
-        found = F
-        for lang, rules in RULES.items():
-            for kind, pattern, around in rules:
-                if free != bool(around):
-                    found = found.when((F.col("language") == lang) & (F.lit(True) if free else F.col("around").isin(*around)) & F.col("ruled").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("ruled", pattern, 1).alias("name")))
-        return found
+    Only rules of languages that are there are planned for, and only statements of those with rules for members meet what
+    they stand in.
+    """
+    nothing = F.lit(None).cast("struct<kind: string, name: string>")
+
+    def choice(cases: list[tuple[Column, Column]]) -> Column:
+        out = F
+        for condition, value in cases:
+            out = out.when(condition, value)
+        return out.otherwise(nothing) if cases else nothing
+
+    def named(kind: str, pattern: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.regexp_extract("ruled", pattern, 1).alias("name"))
+
+    def rule(free: bool) -> Column:
+        by_language = []
+        for lang in code.languages:
+            cases = [((F.lit(True) if free else F.col("around").isin(*around)) & F.col("ruled").rlike(pattern), named(kind, pattern)) for kind, pattern, around in RULES[lang] if free != bool(around)]
+            by_language += [(F.col("language") == lang, choice(cases))] if cases else []
+        return choice(by_language)
 
     is_import = F.col("ruled").rlike(IMPORT)
-    rows = statements.withColumn("found", F.when(~is_import, rule(True)))
-    names = F
-    for lang, pattern in IMPORT_NAMES.items():
-        names = names.when((F.col("language") == lang) & F.col("ruled").rlike(pattern), F.struct(F.lit("import").alias("kind"), F.regexp_extract("ruled", pattern, 1).alias("name")))
-    rows = written(rows.withColumn("found", F.coalesce("found", names)), "declared")
+    names = choice([((F.col("language") == lang) & F.col("ruled").rlike(IMPORT_NAMES[lang]), named("import", IMPORT_NAMES[lang])) for lang in code.languages if lang in IMPORT_NAMES])
+    every = code.statements.withColumn("found", F.coalesce(F.when(~is_import, rule(True)), names))
+    held = [lang for lang in code.languages if any(around for _, _, around in RULES[lang])]
+    if not held:
+        return every
+    every = written(every, "declared")
+    rows, rest = every.where(F.col("language").isin(*held)), every.where(~F.col("language").isin(*held))
     literal = F.col("language").isin("typescript", "tsx", "javascript", "jsx") & F.col("ruled").rlike(LITERAL)
     for _ in range(2):  # what stands in a member, as fields of a variant do, comes after it
         around = rows.select("path", F.col("number").alias("parent"), F.coalesce("found.kind", F.when(literal, "literal"), F.lit("block")).alias("around"))
         rows = rows.join(around, ["path", "parent"], "left").withColumn("around", F.coalesce("around", F.lit("none"))).withColumn("found", F.coalesce("found", F.when(~is_import, rule(False)))).drop("around")
-    return rows
+    return rows.unionByName(rest)
 
 
 def symbols(code: Code) -> DataFrame:
-    """path, language, number, above, head, kind, name, start_line, end_line, start_column, signature, visibility, flags and docstring."""
-    lines, rows = code.lines, written(declared(code.statements), "symbols")
-    every = rows.where("found.name <> ''").select("*", "found.*").drop("found")
+    """path, language, number, above, head, kind, name, start_line, end_line, start_column, signature, visibility, flags and docstring.
+
+    In plain files no line says more about a symbol than its statement does; symbols of others meet what is told of lines.
+    """
+    columns = ["path", "language", "plain", "number", "above", "line", "end_line", "column", "head", "opens", "marks", "first", "inner"]
+    every = written(declared(code).where("found.name <> ''").select(*columns, "found.*"), "symbols")
+    lines = code.lines.where("NOT plain")
     # a text alone at the beginning of a block tells what it is about
-    trimmed = F.filter(F.transform(F.split("raw", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    bodies = rows.where((F.col("language") == "python") & F.col("head").rlike(r"^[rRuU]?\"\s*\"$") & (F.col("number") == F.col("parent") + 1)).select("path", F.col("parent").alias("number"), F.array_join(trimmed, "\n").alias("body"))
+    body = F.array_join(F.filter(F.transform(F.split("inner", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     by_path = Window.partitionBy("path").orderBy("line")
     # words anywhere in a symbol's lines: how many lines up to each have them
     so_far = by_path.rowsBetween(Window.unboundedPreceding, 0)
@@ -170,18 +191,20 @@ def symbols(code: Code) -> DataFrame:
         (F.coalesce(F.last(F.when(F.col("text").rlike(TEST_MARKS), F.col("line")), ignorenulls=True).over(ahead), F.lit(0)) > F.coalesce(F.last(F.when(~attribute & (F.trim("text") != ""), F.col("line")), ignorenulls=True).over(ahead), F.lit(0))).alias("test_above"),
     )
     at_end = counts.select("path", F.col("line").alias("end_line"), F.col("async_upto").alias("async_end"), F.col("static_upto").alias("static_end"))
-    full = every.join(counts, ["path", "line"]).join(at_end, ["path", "end_line"], "left").join(comments(lines), ["path", "line"], "left").join(bodies, ["path", "number"], "left")
-    first = F.expr("substring(text, column + 1)")
+    told = every.where("NOT plain").join(counts, ["path", "line"]).join(at_end, ["path", "end_line"], "left").join(comments(lines), ["path", "line"], "left").withColumn("first", F.expr("substring(text, column + 1)")).drop("text")
+    none = {f"{w}_{x}": F.lit(None).cast("long") for w in ("async", "static") for x in ("upto", "end")}
+    full = told.unionByName(every.where("plain").withColumns(none | {"test_above": F.lit(False), "comment": F.lit(None).cast("string")}))
+    first = F.col("first")
     head = F.trim(F.regexp_replace(first, F.when(F.col("opens"), r"\{.*$").otherwise(r"\{.*$|\s*\}\s*$"), F.lit("")))
     cut = F.when(F.length(head) > 200, F.concat(F.substring(head, 1, 200), F.lit("..."))).otherwise(head)
     signature = F.when(F.col("kind").isin("function", "method"), cut).when(F.col("kind").isin("class", "struct", "interface"), head)
     lang = F.col("language")
     word = _text(F.regexp_extract("head", r"^(?:export\s+)?(pub|public|private|protected)\b", 1))
     visibility = F.coalesce(F.when(word == "pub", "public").otherwise(word), F.when(F.col("head").rlike(r"^export\b"), "public"), F.when(lang.isin("go", "python"), "public").when(lang.isin("rust", "typescript", "tsx", "javascript", "jsx"), "private").otherwise("unknown"))
-    has = lambda w: F.col("head").rlike(rf"^(?:.* )?{w} ") | (F.coalesce(f"{w}_end", f"{w}_upto") > F.col(f"{w}_upto"))
+    has = lambda w: F.col("head").rlike(rf"^(?:.* )?{w} ") | F.coalesce(F.coalesce(f"{w}_end", f"{w}_upto") > F.col(f"{w}_upto"), F.lit(False))
     marked = F.col("test_above") | F.concat_ws(" ", "marks", first).rlike(TEST_MARKS)
     return full.select(
-        "path", "language", "number", "above", "kind", "name", "head", F.col("line").alias("start_line"), "end_line", F.col("column").alias("start_column"), signature.alias("signature"), visibility.alias("visibility"), F.coalesce("comment", "body").alias("docstring"),
+        "path", "language", "number", "above", "kind", "name", "head", F.col("line").alias("start_line"), "end_line", F.col("column").alias("start_column"), signature.alias("signature"), visibility.alias("visibility"), F.coalesce("comment", body).alias("docstring"),
         has("async").alias("is_async"), has("static").alias("is_static"), F.col("head").rlike(r"^(?:export\b|pub )").alias("is_exported"), (is_test_path(F.col("path")) | (F.col("kind").isin("function", "method", "class") & (is_test_name(F.col("name")) | marked))).alias("is_test"),
     )
 
@@ -201,47 +224,60 @@ def _text(column: Column) -> Column:
 
 def matched_lines(code: Code) -> DataFrame:
     """The lines with in_match: whether a match of Rust is around them or on them."""
-    spans = code.statements.where((F.col("language") == "rust") & F.col("head").rlike(r"\bmatch\b"))
+    none = code.lines.withColumn("in_match", F.lit(False))
+    if "rust" not in code.languages:
+        return none
+    is_rust = F.col("language") == "rust"
+    spans = code.statements.where(is_rust & F.col("head").rlike(r"\bmatch\b"))
     steps = spans.select("path", "line", F.lit(1).alias("step")).unionByName(spans.select("path", (F.col("end_line") + 1).alias("line"), F.lit(-1).alias("step"))).groupBy("path", "line").agg(F.sum("step").alias("step"))
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return code.lines.join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
+    matched = code.lines.where(is_rust).join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
+    return matched.unionByName(none.where(~is_rust))
 
 
-def without_declared(calls: DataFrame, found: DataFrame, statements: DataFrame) -> DataFrame:
-    """Calls less the names of declarations without a word that marks them: of each the first place from its line on."""
+def without_declared(rows: DataFrame, found: DataFrame, code: Code) -> DataFrame:
+    """References less, of calls, the names of declarations without a word that marks them: of each the first place from its line on."""
     name = F.regexp_replace("name", "^~", "")
-    bare = found.where(F.col("kind").isin("function", "method", "class", "enum_member", "type_alias") & (F.contains("head", F.concat(name, F.lit("("))) | F.contains("head", F.concat(name, F.lit(" (")))) & ~F.col("head").rlike(DECLARED)).select("path", F.col("start_line").alias("line"), name.alias("reference_name"))
-    # what a header, an interface or an enum only promises
-    promise = rf"^(?!(?:return|throw|new|delete|goto|else|case|typedef|using)\b)(?:[\w\s*&:<>,~\[\]]*?[\s*&>~])?{W}\s*\([^=]*\)[^=]*;$"
-    holders = found.where(F.col("kind").isin("class", "struct", "interface", "enum") & F.col("language").isin("c", "cpp", "go", "java", "csharp")).select("path", F.col("number").alias("parent"), F.lit(True).alias("held"))
-    outside = F.col("parent").isNull() & F.col("language").isin("c", "cpp") & F.col("ruled").rlike(r"^[\w:~]+[\s*&<]")
-    promised = statements.join(holders, ["path", "parent"], "left").where(~F.col("opens") & (F.col("held") | outside) & F.col("ruled").rlike(promise)).select("path", "line", F.regexp_extract("ruled", promise, 1).alias("reference_name"))
-    promised = promised.join(bare, ["path", "line", "reference_name"], "left_anti")
-    names = bare.unionByName(promised).withColumn("nth", F.lit(-1))
-    order = Window.partitionBy("path", "reference_name").orderBy("line", "nth")
-    rows = calls.unionByName(names, allowMissingColumns=True).withColumn("after", F.lag("nth").over(order))
-    return rows.where((F.col("nth") >= 0) & ~F.coalesce(F.col("after") < 0, F.lit(False))).drop("after", "nth")
+    names = found.where(F.col("kind").isin("function", "method", "class", "enum_member", "type_alias") & (F.contains("head", F.concat(name, F.lit("("))) | F.contains("head", F.concat(name, F.lit(" (")))) & ~F.col("head").rlike(DECLARED)).select("path", F.col("start_line").alias("line"), name.alias("reference_name"))
+    promising = [x for x in ("c", "cpp", "go", "java", "csharp") if x in code.languages]
+    if promising:
+        # what a header, an interface or an enum only promises
+        promise = rf"^(?!(?:return|throw|new|delete|goto|else|case|typedef|using)\b)(?:[\w\s*&:<>,~\[\]]*?[\s*&>~])?{W}\s*\([^=]*\)[^=]*;$"
+        holders = found.where(F.col("kind").isin("class", "struct", "interface", "enum") & F.col("language").isin(*promising)).select("path", F.col("number").alias("parent"), F.lit(True).alias("held"))
+        outside = F.col("parent").isNull() & F.col("language").isin("c", "cpp") & F.col("ruled").rlike(r"^[\w:~]+[\s*&<]")
+        promised = code.statements.where(F.col("language").isin(*promising)).join(holders, ["path", "parent"], "left").where(~F.col("opens") & (F.col("held") | outside) & F.col("ruled").rlike(promise)).select("path", "line", F.regexp_extract("ruled", promise, 1).alias("reference_name"))
+        names = names.unionByName(promised.join(names, ["path", "line", "reference_name"], "left_anti"))
+    names = written(names, "bare-names")
+    if names.isEmpty():
+        return rows
+    order = Window.partitionBy("path", "kind", "reference_name").orderBy("line", "nth")
+    rows = rows.unionByName(names.select("*", F.lit("calls").alias("kind"), F.lit(-1).alias("nth")), allowMissingColumns=True).withColumn("after", F.lag("nth").over(order))
+    return rows.where((F.col("nth") >= 0) & ~F.coalesce(F.col("after") < 0, F.lit(False))).drop("after")
 
 
 def references(code: Code, found: DataFrame) -> DataFrame:
     """path, line, reference_name, kind, detail: calls, field reads and writes, matched variants, imports, changed parameters; found: the symbols."""
     lang, text = F.col("language"), F.col("code")
     body = matched_lines(code).where((F.trim("code") != "") & ~text.rlike(IMPORT) & ~(lang.isin(*PREPROCESSED) & text.rlike(r"^\s*#")))
-    fielded = lang.isin(*FIELD_LANGUAGES)
     plain = F.when(lang == "rust", F.regexp_replace("code", r"#!?\[[^\]]*\]", "")).when(lang.isin(*ANNOTATED), F.regexp_replace("code", r"@[\w.]+", "")).when(lang == "csharp", F.regexp_replace("code", r"^\s*\[[^\]]*\]", "")).otherwise(text)
-
-    def each(kind: str, where: Column, rule: str, detail: str | None = None, source: Column = plain) -> DataFrame:
-        names = F.posexplode(F.regexp_extract_all(source, F.lit(rule), F.lit(1))).alias("nth", "reference_name")
-        return body.where(where).select("path", "line", names, F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"))
-
-    calls = each("calls", F.lit(True), rf"(?<![\w$]){W}\s*(?:::<[^>]*>|<[\w\s,.:*&?\[\]]*>)?\(", source=F.regexp_replace(plain, DECLARED, "")).where(~F.col("reference_name").isin(*KEYWORDS))
-    calls = calls.where((F.col("reference_name") != "in") | ~F.regexp_extract("path", r"\.(\w+)$", 1).isin("py", "pyi", "js", "jsx", "ts", "tsx", "mjs", "cjs", "kt", "kts", "groovy", "gradle"))
-    out = without_declared(calls, found, code.statements)
-    macros = each("calls", lang == "rust", rf"(?<![\w$]){W}!\s*[(\[{{]")
-    writes = each("mutates", fielded, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
-    reads = each("accesses", fielded, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
-    variants = each("references", (lang == "rust") & F.col("in_match"), r"\b\w+::(\w+)\b(?!::)", "dispatch", source=F.regexp_replace(plain, r"<[^<>]*>", ""))
-    cases = each("references", lang.isin("typescript", "tsx", "javascript", "jsx", "python") & text.rlike(r"^\s*case\b"), r"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch")
+    kinds = []
+
+    def each(kind: str, languages: tuple[str, ...] | None, rule: str, detail: str | None = None, source: Column = plain, where: Column = F.lit(True)) -> None:
+        """One more kind of names on a line, if its languages (none: all) are there."""
+        if languages is None or not set(languages).isdisjoint(code.languages):
+            at = where if languages is None else lang.isin(*languages) & where
+            kinds.append(F.struct(F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"), F.when(at, F.regexp_extract_all(source, F.lit(rule), F.lit(1))).alias("names")))
+
+    each("calls", None, rf"(?<![\w$]){W}\s*(?:::<[^>]*>|<[\w\s,.:*&?\[\]]*>)?\(", source=F.regexp_replace(plain, DECLARED, ""))
+    each("macros", ("rust",), rf"(?<![\w$]){W}!\s*[(\[{{]")
+    each("mutates", FIELD_LANGUAGES, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
+    each("accesses", FIELD_LANGUAGES, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
+    each("references", ("rust",), r"\b\w+::(\w+)\b(?!::)", "dispatch", F.regexp_replace(plain, r"<[^<>]*>", ""), F.col("in_match"))
+    each("references", ("typescript", "tsx", "javascript", "jsx", "python"), r"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch", where=text.rlike(r"^\s*case\b"))
+    wanted = (F.col("kind") != "calls") | ~F.col("reference_name").isin(*KEYWORDS) & ((F.col("reference_name") != "in") | ~F.regexp_extract("path", r"\.(\w+)$", 1).isin("py", "pyi", "js", "jsx", "ts", "tsx", "mjs", "cjs", "kt", "kts", "groovy", "gradle"))
+    rows = body.select("path", "line", F.inline(F.array(*kinds))).select("path", "line", F.posexplode("names").alias("nth", "reference_name"), "kind", "detail").where(wanted)
+    # macros are calls that no declaration looks like
+    out = without_declared(rows, found, code).drop("nth").withColumn("kind", F.when(F.col("kind") == "macros", "calls").otherwise(F.col("kind")))
     # parameters may stand on any line of a declaration
     heads = found.where("language = 'rust' AND kind = 'function'")
     changed = heads.select("path", F.col("start_line").alias("line"), F.explode(F.regexp_extract_all("head", F.lit(r":\s*&(?:\s*'\w+)?\s*mut\s+(?:\w+::)*([A-Z]\w*)"), F.lit(1))).alias("reference_name"), F.lit("mutates").alias("kind"), F.lit("mut_param").alias("detail"))
@@ -249,6 +285,4 @@ def references(code: Code, found: DataFrame) -> DataFrame:
     # the module of 'from x import y' comes first and the name last; braces hold several
     brought = code.statements.where(F.col("ruled").rlike(IMPORT) & (lang != "csharp") | (lang == "csharp") & F.col("ruled").rlike(r"^using\s+(?!.*[=(])"))
     imports = brought.select("path", "line", F.element_at(F.when(F.size(words) > 0, words), -1).alias("reference_name"), F.lit("imports").alias("kind"), F.when(F.contains("head", F.lit("*")), "glob").alias("detail")).where("reference_name IS NOT NULL")
-    for more in (macros, writes, reads, variants, cases):
-        out = out.unionByName(more.drop("nth"))
-    return out.unionByName(changed).unionByName(imports)
+    return (out.unionByName(changed) if "rust" in code.languages else out).unionByName(imports)
