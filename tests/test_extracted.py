@@ -1,8 +1,10 @@
 """Extraction of many small files: work goes with the files' text, and only what is in them is planned for."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from threadloom.operators.index import build_index
+from threadloom.operators.index import build_index, extract_nodes, numbered_files
 from threadloom.sources.extract import declared, read_code, references, symbols
 from threadloom.sources.lexer import scanned
 
@@ -70,3 +72,22 @@ def test_graph_of_small_files(spark):
     assert {(ids[e.source_id].kind, ids[e.target_id].kind) for e in edges} == {("file", "class"), ("class", "function")} and len(edges) == 60
     assert {ids[r.source_node_id].name for r in g.refs.where("reference_name = 'lift_9'").collect()} == {"Box_9", "open_9"}
     assert all(r.id >> 24 == r.source_node_id >> 24 for r in g.refs.collect())
+
+
+def test_nodes_alone_look_for_no_references(spark):
+    files = small(spark, 30).unionByName(small(spark, 1).withColumn("path", F.lit("a.py")))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    nodes = extract_nodes(numbered_files(files))
+    got = sorted(map(tuple, nodes.collect()))
+    made = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert made == {"round", "code", "symbols"}  # names of calls would be in bare-names
+    assert got == sorted(map(tuple, build_index(files).nodes.select(nodes.columns).collect()))
+
+
+def test_equal_paths_have_one_number(spark):
+    files = small(spark, 50)
+    got = {}
+    for r in numbered_files(files.unionByName(files)).collect():
+        got.setdefault(r.path, set()).add(r.seq)
+    assert got == {p: {i} for i, p in enumerate(sorted(got))} and len(got) == 50

@@ -33,7 +33,8 @@ def _roomy(place: Column) -> Column:
 
 def numbered_files(files: DataFrame, first: int = 0) -> DataFrame:
     """files with seq: their rank by path, counted by partition, from first on."""
-    ranged = checkpointed(files.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").select("path", F.monotonically_increasing_id().alias("_m")))
+    # equal paths meet in a range, so distinct deals out nothing anew
+    ranged = checkpointed(files.select("path").repartitionByRange("path").distinct().sortWithinPartitions("path").select("path", F.monotonically_increasing_id().alias("_m")))
     part, place = F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
     sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
