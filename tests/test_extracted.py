@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from threadloom.operators.index import build_index, extract_nodes, numbered_files
+from threadloom.operators.index import ROOM, build_index, extract_nodes, extract_tables, numbered_edges, numbered_files
 from threadloom.sources.extract import declared, read_code, references, symbols
 from threadloom.sources.lexer import scanned
 
@@ -91,3 +91,24 @@ def test_equal_paths_have_one_number(spark):
     for r in numbered_files(files.unionByName(files)).collect():
         got.setdefault(r.path, set()).add(r.seq)
     assert got == {p: {i} for i, p in enumerate(sorted(got))} and len(got) == 50
+
+
+def test_edges_are_numbered_without_a_join(spark):
+    nodes, contains, _ = extract_tables(numbered_files(small(spark, 5)))
+    edges = numbered_edges(contains)
+    assert "Join" not in plan(edges)
+    path = {r.id: r.file_path for r in nodes.collect()}
+    first = {r.file_path: r.id for r in nodes.where("kind = 'file'").collect()}
+    got = edges.collect()
+    assert len({e.id for e in got}) == len(got) == 10
+    assert all(path[e.source_id] == e.file_path and first[e.file_path] < e.id < first[e.file_path] + ROOM for e in got)
+
+
+def test_rules_of_references_run_on_lines_with_their_marks(spark):
+    code = read_code(spark.createDataFrame([("m.py", "def f(a):\n    a.b = c.d\n    g(a.e)\n    match a:\n        case K.V:\n            pass\n"), ("m.rs", "fn f() {\n    go!(x);\n    match k {\n        K::V => h(),\n    }\n}\n")], "path string, content string"))
+    found = references(code, symbols(code))
+    assert "Contains(code#" in plan(found)
+    assert {(r.path, r.kind, r.reference_name) for r in found.collect()} == {
+        ("m.py", "mutates", "b"), ("m.py", "accesses", "d"), ("m.py", "accesses", "e"), ("m.py", "accesses", "V"), ("m.py", "calls", "g"), ("m.py", "references", "V"),
+        ("m.rs", "calls", "go"), ("m.rs", "calls", "h"), ("m.rs", "references", "V"),
+    }

@@ -262,18 +262,18 @@ def references(code: Code, found: DataFrame) -> DataFrame:
     plain = F.when(lang == "rust", F.regexp_replace("code", r"#!?\[[^\]]*\]", "")).when(lang.isin(*ANNOTATED), F.regexp_replace("code", r"@[\w.]+", "")).when(lang == "csharp", F.regexp_replace("code", r"^\s*\[[^\]]*\]", "")).otherwise(text)
     kinds = []
 
-    def each(kind: str, languages: tuple[str, ...] | None, rule: str, detail: str | None = None, source: Column = plain, where: Column = F.lit(True)) -> None:
-        """One more kind of names on a line, if its languages (none: all) are there."""
+    def each(kind: str, mark: str, languages: tuple[str, ...] | None, rule: str, detail: str | None = None, source: Column = plain, where: Column = F.lit(True)) -> None:
+        """One more kind of names on a line, if its languages (none: all) are there; no match is without the mark."""
         if languages is None or not set(languages).isdisjoint(code.languages):
-            at = where if languages is None else lang.isin(*languages) & where
+            at = F.contains("code", F.lit(mark)) & (where if languages is None else lang.isin(*languages) & where)
             kinds.append(F.struct(F.lit(kind).alias("kind"), F.lit(detail).cast("string").alias("detail"), F.when(at, F.regexp_extract_all(source, F.lit(rule), F.lit(1))).alias("names")))
 
-    each("calls", None, rf"(?<![\w$]){W}\s*(?:::<[^>]*>|<[\w\s,.:*&?\[\]]*>)?\(", source=F.regexp_replace(plain, DECLARED, ""))
-    each("macros", ("rust",), rf"(?<![\w$]){W}!\s*[(\[{{]")
-    each("mutates", FIELD_LANGUAGES, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
-    each("accesses", FIELD_LANGUAGES, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
-    each("references", ("rust",), r"\b\w+::(\w+)\b(?!::)", "dispatch", F.regexp_replace(plain, r"<[^<>]*>", ""), F.col("in_match"))
-    each("references", ("typescript", "tsx", "javascript", "jsx", "python"), r"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch", where=text.rlike(r"^\s*case\b"))
+    each("calls", "(", None, rf"(?<![\w$]){W}\s*(?:::<[^>]*>|<[\w\s,.:*&?\[\]]*>)?\(", source=F.regexp_replace(plain, DECLARED, ""))
+    each("macros", "!", ("rust",), rf"(?<![\w$]){W}!\s*[(\[{{]")
+    each("mutates", ".", FIELD_LANGUAGES, rf"\.{W}\s*(?:[-+*/%|&^]|<<|>>)?=(?![=>])")
+    each("accesses", ".", FIELD_LANGUAGES, rf"(?<=[\w)\]])\.(?![\d.]){W}\b(?!\s*(?:\(|::|!|(?:[-+*/%|&^]|<<|>>)?=(?![=>])))")
+    each("references", "::", ("rust",), r"\b\w+::(\w+)\b(?!::)", "dispatch", F.regexp_replace(plain, r"<[^<>]*>", ""), F.col("in_match"))
+    each("references", ".", ("typescript", "tsx", "javascript", "jsx", "python"), r"\b[A-Z]\w*\.([A-Z]\w*)", "dispatch", where=text.rlike(r"^\s*case\b"))
     wanted = (F.col("kind") != "calls") | ~F.col("reference_name").isin(*KEYWORDS) & ((F.col("reference_name") != "in") | ~F.regexp_extract("path", r"\.(\w+)$", 1).isin("py", "pyi", "js", "jsx", "ts", "tsx", "mjs", "cjs", "kt", "kts", "groovy", "gradle"))
     rows = body.select("path", "line", F.inline(F.array(*kinds))).select("path", "line", F.posexplode("names").alias("nth", "reference_name"), "kind", "detail").where(wanted)
     # macros are calls that no declaration looks like
