@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from threadloom.operators.index import ROOM, build_index, extract_nodes, extract_tables, numbered_edges, numbered_files
-from threadloom.sources.extract import declared, read_code, references, symbols
+from threadloom.sources.extract import declared, matched_lines, read_code, references, symbols
 from threadloom.sources.lexer import scanned
 
 SMALL = "class Box_{0}(Base):\n    def open_{0}(self):\n        lift_{0}()\n"
@@ -108,6 +108,7 @@ def test_rules_of_references_run_on_lines_with_their_marks(spark):
     code = read_code(spark.createDataFrame([("m.py", "def f(a):\n    a.b = c.d\n    g(a.e)\n    match a:\n        case K.V:\n            pass\n"), ("m.rs", "fn f() {\n    go!(x);\n    match k {\n        K::V => h(),\n    }\n}\n")], "path string, content string"))
     found = references(code, symbols(code))
     assert "Contains(code#" in plan(found)
+    assert "content" not in plan(matched_lines(code)).split("Relation")[0]  # texts aren't cut into lines for references
     assert {(r.path, r.kind, r.reference_name) for r in found.collect()} == {
         ("m.py", "mutates", "b"), ("m.py", "accesses", "d"), ("m.py", "accesses", "e"), ("m.py", "accesses", "V"), ("m.py", "calls", "g"), ("m.py", "references", "V"),
         ("m.rs", "calls", "go"), ("m.rs", "calls", "h"), ("m.rs", "references", "V"),

@@ -112,9 +112,10 @@ def generated(path: Column, content: Column) -> Column:
 
 @dataclass(frozen=True)
 class Code:
-    """lines(path, language, plain, line, text, code), statements(path, language, plain, number, parent, above, line, end_line, column, head, ruled, opens, raw, marks, first, inner) and the languages that are there."""
+    """lines(path, language, plain, line, text, code), the same without text (codes), statements(path, language, plain, number, parent, above, line, end_line, column, head, ruled, opens, raw, marks, first, inner) and the languages that are there."""
 
     lines: DataFrame
+    codes: DataFrame
     statements: DataFrame
     languages: tuple[str, ...]
 
@@ -126,10 +127,13 @@ def read_code(files: DataFrame) -> Code:
     worded = _any(F.contains("content", F.lit(f" {w} ")) for w in ("async", "static"))
     found = written(scanned(source.withColumn("marked", worded | F.col("content").rlike(TEST_MARKS))), "code")  # read by many steps below
     there = {r[0] for r in found.where("number IS NULL").select("language").distinct().collect()}  # as many as have rules, at most
+    texts = found.where("number IS NULL")
     pairs = F.arrays_zip(F.split("content", "\n").alias("text"), F.split("code", "\n").alias("code"))
-    lines = found.where("number IS NULL").select("path", "language", "plain", F.posexplode(pairs)).select("path", "language", "plain", (F.col("pos") + 1).cast("int").alias("line"), "col.text", "col.code")
+    line = (F.col("pos") + 1).cast("int").alias("line")
+    lines = texts.select("path", "language", "plain", F.posexplode(pairs)).select("path", "language", "plain", line, "col.text", "col.code")
+    codes = texts.select("path", "language", F.posexplode(F.split("code", "\n")).alias("pos", "code")).select("path", "language", line, "code")
     statements = found.where("number IS NOT NULL").drop("code", "content").withColumn("ruled", F.concat("head", F.when(F.col("opens"), " {").otherwise(";")))
-    return Code(lines, statements, tuple(x for x in NO_CODE if x in there))
+    return Code(lines, codes, statements, tuple(x for x in NO_CODE if x in there))
 
 
 def declared(code: Code) -> DataFrame:
@@ -223,15 +227,15 @@ def _text(column: Column) -> Column:
 
 
 def matched_lines(code: Code) -> DataFrame:
-    """The lines with in_match: whether a match of Rust is around them or on them."""
-    none = code.lines.withColumn("in_match", F.lit(False))
+    """The lines of code with in_match: whether a match of Rust is around them or on them."""
+    none = code.codes.withColumn("in_match", F.lit(False))
     if "rust" not in code.languages:
         return none
     is_rust = F.col("language") == "rust"
     spans = code.statements.where(is_rust & F.col("head").rlike(r"\bmatch\b"))
     steps = spans.select("path", "line", F.lit(1).alias("step")).unionByName(spans.select("path", (F.col("end_line") + 1).alias("line"), F.lit(-1).alias("step"))).groupBy("path", "line").agg(F.sum("step").alias("step"))
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    matched = code.lines.where(is_rust).join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
+    matched = code.codes.where(is_rust).join(steps, ["path", "line"], "left").withColumn("in_match", F.coalesce(F.sum("step").over(so_far), F.lit(0)) > 0).drop("step")
     return matched.unionByName(none.where(~is_rust))
 
 
